@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusmill.llm.chat import OP5_SQL, op5_chat
 from corpusmill.llm.decontam import OP1_SQL, op1_decontamination
 from corpusmill.llm.html_extract import op10_html
+from corpusmill.llm.jaccard_join import OP4_SQL, op4_jaccard_join
 from corpusmill.llm.mixing import OP6_SQL, op6_mixing
 from corpusmill.llm.sharding import OP3_SQL, op3_sharding
 from corpusmill.llm.warc import OP9_SQL, op9_warc
@@ -16,10 +17,11 @@ from corpusmill.llm.warc import OP9_SQL, op9_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_sharding": op3_sharding,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_chat": op5_chat,
     "op6_mixing": op6_mixing,
     "op9_warc": op9_warc,
     "op10_html": op10_html,
 }
 
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_sharding": OP3_SQL, "op5_chat": OP5_SQL, "op6_mixing": OP6_SQL, "op9_warc": OP9_SQL}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_sharding": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op5_chat": OP5_SQL, "op6_mixing": OP6_SQL, "op9_warc": OP9_SQL}
