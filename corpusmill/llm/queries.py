@@ -11,11 +11,13 @@ from corpusmill.llm.decontam import OP1_SQL, op1_decontamination
 from corpusmill.llm.html_extract import op10_html
 from corpusmill.llm.jaccard_join import OP4_SQL, op4_jaccard_join
 from corpusmill.llm.mixing import OP6_SQL, op6_mixing
+from corpusmill.llm.perplexity import op2_quality_classifier
 from corpusmill.llm.sharding import OP3_SQL, op3_sharding
 from corpusmill.llm.warc import OP9_SQL, op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_sharding": op3_sharding,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_chat": op5_chat,
