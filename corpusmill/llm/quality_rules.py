@@ -28,11 +28,11 @@ KEPT, MIN_ROWS, MIN_Z = 2048, 4, 4.0
 #: Fixed thresholds on the calibrated probabilities.
 MIN_QUALITY, MAX_TOXIC = 0.5, 0.5
 
-_KINDS = {"word": np.uint64(1), "pair": np.uint64(2), "repeat": np.uint64(3), "char": np.uint64(4)}
+_SALTS = {"word": np.uint64(0xD6E8FEB86659FD93), "pair": np.uint64(0xA5CB9243E1F1C4A5), "repeat": np.uint64(0x2545F4914F6CDD1D)}
 
 
 def _bucket(h: np.ndarray, kind: str) -> np.ndarray:
-    return (mix(h + _KINDS[kind] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)).astype(np.int32)
+    return (mix(h + _SALTS[kind]) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
 def features(column: pa.Array) -> Iterator[tuple[int, int, list[tuple[np.ndarray, np.ndarray]]]]:
@@ -96,9 +96,26 @@ class Head:
     shift: float
 
     def probability(self, column: pa.Array) -> np.ndarray:
+        return Heads([self]).probabilities(column)[0]
+
+
+class Heads:
+    """Several heads, whose features are found in one pass over the texts."""
+
+    def __init__(self, heads: list[Head]) -> None:
+        self.heads = heads
+        used = np.flatnonzero(np.any([h.chosen >= 0 for h in heads], axis=0))
+        self.chosen = np.full(1 << BITS, -1, np.int32)
+        self.chosen[used] = np.arange(len(used))
+        self.weights = [np.where(h.chosen[used] >= 0, h.weights[h.chosen[used]], 0.0) for h in heads]
+
+    def probabilities(self, column: pa.Array) -> list[np.ndarray]:
         rows, cols = presence(column, self.chosen)
-        logit = self.bias + np.bincount(rows, weights=self.weights[cols], minlength=len(column))
-        return 1.0 / (1.0 + np.exp(-np.clip(self.scale * logit + self.shift, -30, 30)))
+        out = []
+        for h, w in zip(self.heads, self.weights, strict=True):
+            logit = h.bias + (np.bincount(rows, weights=w[cols], minlength=len(column)) if len(cols) else np.zeros(len(column)))
+            out.append(1.0 / (1.0 + np.exp(-np.clip(h.scale * logit + h.shift, -30, 30))))
+        return out
 
 
 def _rows_with(column: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,12 +220,12 @@ def apply_rules(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id:
     scored, however long, and repeated rows each.  With labels of one class only, a head answers with that class.
     """
     quality, toxic = train(docs, labels, rows, id, text)
-    heads = docs.sparkSession.sparkContext.broadcast((quality, toxic))
+    heads = docs.sparkSession.sparkContext.broadcast(Heads([quality, toxic]))
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q, t = (np.round(h.probability(batch.column(1)), 4) for h in heads.value)
+            q, t = (np.round(p, 4) for p in heads.value.probabilities(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q), pa.array(t), pa.array((q >= MIN_QUALITY) & (t <= MAX_TOXIC))], ["doc_id", "quality", "toxic", "keep"])
 
     return docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, quality double, toxic double, keep boolean")

@@ -12,6 +12,8 @@ from corpusmill.llm.html_extract import op10_html
 from corpusmill.llm.jaccard_join import OP4_SQL, op4_jaccard_join
 from corpusmill.llm.mixing import OP6_SQL, op6_mixing
 from corpusmill.llm.perplexity import op2_quality_classifier
+from corpusmill.llm.pii_crf import op8_pii
+from corpusmill.llm.quality_rules import op7_quality_rules
 from corpusmill.llm.sharding import OP3_SQL, op3_sharding
 from corpusmill.llm.warc import OP9_SQL, op9_warc
 
@@ -22,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_chat": op5_chat,
     "op6_mixing": op6_mixing,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_pii": op8_pii,
     "op9_warc": op9_warc,
     "op10_html": op10_html,
 }
