@@ -36,7 +36,8 @@ class _Members:
 
     def __init__(self, source: IO[bytes]) -> None:
         self.source, self.raw, self.out, self.ended = source, b"", bytearray(), False
-        self.raw = source.read(PIECE)
+        while len(self.raw) < 2 and (more := source.read(PIECE)):
+            self.raw += more
         self.gzip = self.raw[:2] == b"\x1f\x8b"
         self.inflater = zlib.decompressobj(31) if self.gzip else None
 
