@@ -128,7 +128,7 @@ def as_collected(conversations: DataFrame) -> DataFrame:
     b = by.select("conv_id", "t", kind.alias("k"), F.when(whole, roles).otherwise("").alias("s"))
 
     def record(**fields: Column) -> Column:
-        return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]))
+        return F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
 
     other = {"user": "human", "assistant": "gpt"}
 
