@@ -105,8 +105,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     """(k, lp, bo) from (g, c): log-probabilities of the n-grams of all orders and log back-off weights of those that are contexts.
 
     ``k`` is the key of an n-gram.  ``lp`` is null for n-grams that are only contexts, ``bo`` for those that are no context; a
-    missing ``bo`` stands for 0, back-off without loss.  Orders below the highest count distinct left neighbours.  An order
-    in which some count of 1 to 4 never occurs takes the discounts that its counts allow, between 0 and the count.
+    missing ``bo`` stands for 0, back-off without loss.  Orders below the highest count distinct left neighbours.  A discount
+    that the counts of counts don't give is half of its count; all lie between a tenth of it and it, so no n-gram has probability 0.
     """
     level = {ORDER: counts.select("g", "c")}
     for n in range(ORDER - 1, 0, -1):
@@ -119,7 +119,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
         def discount(i: int, y: Column = y) -> Column:
             made = F.lit(float(i)) - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")
-            return F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0), F.greatest(F.lit(0.0), F.least(F.lit(float(i)), made))).otherwise(0.0).alias(f"d{i}")
+            return F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0), F.greatest(F.lit(i / 10), F.least(F.lit(float(i)), made))).otherwise(i / 2).alias(f"d{i}")
 
         d = d.select(*[discount(i) for i in (1, 2, 3)])
         ctx = F.expr("g >> 8")
