@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import table, written
+from corpusmill.llm.common import checked_broadcast, map_arrow, table, written
 from corpusmill.llm.tokens import combine, words
 
 K1, B = 1.2, 0.75
@@ -30,7 +30,9 @@ THRESHOLD = 0.6
 QUESTION, ANSWER = 0.6, 0.6
 GRAM = 3
 #: Items in a block, and items in an index shard; with more items each document meets several shards.
-BLOCK, SHARD_ITEMS = 16, 20_000
+BLOCK, SHARD_ITEMS = 4, 2_000
+#: Cells of block bounds that are held at a time.
+CELLS = 4_000_000
 
 
 @dataclass
@@ -112,39 +114,48 @@ def search(index: Index, h: np.ndarray, at: np.ndarray, threshold: float = THRES
     hit = np.flatnonzero(index.terms[row] == h)
     if not len(hit):
         return
-    # upper bound of each half passage; a passage is two successive halves of one text
+    # each passage is two successive halves of one text; its distinct terms give its bounds
     text = np.searchsorted(at, hit, side="right") - 1
-    lengths = np.diff(at)
-    halves = np.maximum(1, -(-lengths // half))
+    halves = np.maximum(1, -(-np.diff(at) // half))
     base = np.concatenate([[0], np.cumsum(halves)])
     slot = base[text] + (hit - at[text]) // half
-    bound = np.bincount(slot, weights=index.most[row[hit]], minlength=base[-1] + 1)
-    last = np.zeros(base[-1] + 1, bool)
-    last[base[1:] - 1] = True
-    both = bound[:-1] + np.where(last[:-1], 0.0, bound[1:])
-    for s in np.flatnonzero(both >= need):
-        i = int(np.searchsorted(base, s, side="right") - 1)
-        if s > base[i] and last[s]:
-            continue  # the last half alone is part of the passage before
-        a = int(at[i] + (s - base[i]) * half)
-        b = int(min(a + 2 * half, at[i + 1]))
-        inside = hit[np.searchsorted(hit, a) : np.searchsorted(hit, b)]
-        terms = np.unique(row[inside])
-        if index.most[terms].sum() < need:
-            continue
-        opened = np.flatnonzero(index.block_most[terms].sum(axis=0) >= need)
-        if not len(opened):
-            continue
-        n = index.bounds[terms + 1] - index.bounds[terms]
-        post = np.repeat(index.bounds[terms] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        keep = np.isin(index.items[post] // BLOCK, opened)
-        scores = np.bincount(index.items[post[keep]], weights=index.impacts[post[keep]], minlength=len(index.ids))
-        own = None
-        for item in np.flatnonzero(scores >= need):
-            if own is None:
-                own = grams(h[a:b])
-            if all(len(g) == 0 or int(np.isin(g, own).sum()) >= share * len(g) for g, share in zip(index.grams[item], (question, answer), strict=True)):
-                yield i, int(item), int(scores[item])
+    last, only = slot == base[text + 1] - 1, halves[text] == 1
+    n_terms = len(index.terms)
+    first = np.unique(np.where(last & ~only, slot - 1, slot) * n_terms + row[hit])
+    before = (slot > base[text]) & ~last
+    both = np.unique(np.concatenate([first, (slot[before] - 1) * n_terms + row[hit[before]]]))
+    passage, term = both // n_terms, both % n_terms
+    starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
+    ends = np.append(starts[1:], len(passage))
+    some = np.flatnonzero(np.add.reduceat(index.most[term], starts) >= need)
+    if not len(some):
+        return
+    size = ends[some] - starts[some]
+    chunk = np.cumsum(size) * index.block_most.shape[1] // CELLS
+    for some_ in np.split(np.arange(len(some)), np.flatnonzero(np.diff(chunk)) + 1):
+        offset = np.concatenate([[0], np.cumsum(size[some_])[:-1]])
+        inside = np.repeat(starts[some[some_]] - offset, size[some_]) + np.arange(size[some_].sum())
+        bounds = np.add.reduceat(index.block_most[term[inside]], offset, axis=0)
+        for k in np.flatnonzero((bounds >= need).any(axis=1)):
+            g = some[some_[k]]
+            yield from _open(index, h, at, half, base, term[starts[g] : ends[g]], int(passage[starts[g]]), np.flatnonzero(bounds[k] >= need), need, (question, answer))
+
+
+def _open(index: Index, h: np.ndarray, at: np.ndarray, half: int, base: np.ndarray, terms: np.ndarray, s: int, opened: np.ndarray, need: int, shares: tuple[float, float]) -> Iterator[tuple[int, int, int]]:
+    """The verified items of one passage, from its opened blocks."""
+    i = int(np.searchsorted(base, s, side="right") - 1)
+    a = int(at[i] + (s - base[i]) * half)
+    b = int(min(a + 2 * half, at[i + 1]))
+    n = index.bounds[terms + 1] - index.bounds[terms]
+    post = np.repeat(index.bounds[terms] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    keep = np.isin(index.items[post] // BLOCK, opened)
+    scores = np.bincount(index.items[post[keep]], weights=index.impacts[post[keep]], minlength=len(index.ids))
+    own = None
+    for item in np.flatnonzero(scores >= need):
+        if own is None:
+            own = grams(h[a:b])
+        if all(len(g) == 0 or int(np.isin(g, own).sum()) >= share * len(g) for g, share in zip(index.grams[item], shares, strict=True)):
+            yield i, int(item), int(scores[item])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,7 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             if ids:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)).cast(id_type), pa.array(found, item_type), pa.array(scores, pa.int32())], ["doc_id", "item_id", "score"])
 
-    pairs = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL").mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, score int")
+    pairs = map_arrow(docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL"), run, f"doc_id {kind}, item_id {item_kind}, score int")
     return pairs.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
@@ -194,8 +205,6 @@ def _arrow(df: DataFrame, name: str) -> pa.DataType:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; documents with a null id stay, as no pair names them."""
     leaks = written(contaminated(docs, benchmark, **options).select("doc_id").where("doc_id IS NOT NULL").distinct(), "leaks")
-    from corpusmill.llm.common import checked_broadcast
-
     return docs.join(checked_broadcast(leaks.withColumnRenamed("doc_id", "__leak")), F.col("__leak") == docs["doc_id"], "left_anti")
 
 
