@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import hash60, per_batch, table
+from corpusmill.llm.common import hash60, map_arrow, per_batch, table
 
-#: Labelled pages from which the weights are learned: those with the lowest hashes of their ids.
+#: Labelled pages from which the weights are learned: about so many, those whose id hashes are lowest.
 TRAIN_PAGES = 1500
 LABEL_TAGS = ("article", "main")
 WORD_WEIGHTS = (0.02, 0.05, 0.1, 0.2, 0.4, 0.8)
@@ -134,12 +134,14 @@ def extract(html: str | None, weights: dict[str, float]) -> tuple[str | None, in
 def extract_content(pages: DataFrame, train_pages: int = TRAIN_PAGES, id: str = "page_id", html: str = "html") -> DataFrame:
     """(page_id, text, n_words) for each row of ``pages``.
 
-    The weights come from at most ``train_pages`` labelled pages, those with the lowest id hashes.  Null pages give null
+    The weights come from about ``train_pages`` labelled pages, those whose id hashes are lowest.  Null pages give null
     text and 0 words; pages in which no words outweigh the tags, empty ones among them, give the empty text.  Repeated
     rows give repeated rows; pages are whole, however long; other columns are left out.
     """
     marked = pages.where(F.lower(html).rlike("<(article|main)[\\s>]"))
-    sample = [r[0] for r in marked.select(F.col(html), hash60(id).alias("__h")).orderBy("__h", F.md5(html)).limit(train_pages).collect()]
+    n = marked.count()
+    cut = int(min(1.0, train_pages / max(n, 1)) * (1 << 60))
+    sample = sorted(r[0] for r in marked.where(hash60(id) < cut).select(html).collect())
     weights = learn(sample)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -147,7 +149,7 @@ def extract_content(pages: DataFrame, train_pages: int = TRAIN_PAGES, id: str =
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int32())], ["page_id", "text", "n_words"])
 
     kind = pages.schema[id].dataType.simpleString()
-    return pages.select(F.col(id).alias("page_id"), F.col(html).cast("string").alias("html")).mapInArrow(per_batch(run), f"page_id {kind}, text string, n_words int")
+    return map_arrow(pages.select(F.col(id).alias("page_id"), F.col(html).cast("string").alias("html")), per_batch(run), f"page_id {kind}, text string, n_words int")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
