@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.common import checked_broadcast, filesystem, hash60, scratch, table, written
+from corpusmill.llm.common import checked_broadcast, filesystem, hash60, map_arrow, scratch, table, written
 from corpusmill.llm.tokens import as_strings, buffers, pieces
 
 ORDER = 5
@@ -98,7 +98,7 @@ def count_grams(texts: DataFrame) -> DataFrame:
         for lo in range(0, len(grams.keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(grams.keys[lo : lo + 100_000]), pa.array(grams.counts[lo : lo + 100_000])], ["g", "c"])
 
-    return texts.select("text").where("text IS NOT NULL").mapInArrow(run, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
+    return map_arrow(texts.select("text").where("text IS NOT NULL"), run, "g bigint, c bigint").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def kneser_ney(counts: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
                 part = keys[lo : lo + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), value)), pa.array(part)], ["block", "k"])
 
-    asked = blocked.select("__block", F.col(text).cast("string")).mapInArrow(ask, "block bigint, k bigint")
+    asked = map_arrow(blocked.select("__block", F.col(text).cast("string")), ask, "block bigint, k bigint")
     answers = asked.join(model, "k").select("block", "k", "lp", "bo")
     answers.repartition("block").sortWithinPartitions("block", "k").write.partitionBy("block").parquet(path)
     none = np.iinfo(np.int32).min
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(sums), pa.array(counts)], [*(names[i] for i in keep), "__lp", "__n"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    return blocked.withColumn("__text", F.col(text).cast("string")).drop(text).mapInArrow(tell, f"{schema}, __lp bigint, __n bigint")
+    return map_arrow(blocked.withColumn("__text", F.col(text).cast("string")).drop(text), tell, f"{schema}, __lp bigint, __n bigint")
 
 
 def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

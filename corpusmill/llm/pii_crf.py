@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import hash60, table
+from corpusmill.llm.common import hash60, map_arrow, table
 from corpusmill.llm.tokens import as_strings, buffers, pieces
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET")
@@ -390,7 +390,7 @@ def find_private(docs: DataFrame, train_docs: int = TRAIN_DOCS, id: str = "doc_i
                     es = pa.array([[{"label": x, "start": y, "end": z} for x, y, z in s] for s in spans], struct)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([len(s) for s in spans], pa.int32()), es, pa.array(texts, pa.string())], ["doc_id", "n_entities", "entities", "redacted"])
 
-    return marked.mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return map_arrow(marked, run, f"doc_id {kind}, {SCHEMA}")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

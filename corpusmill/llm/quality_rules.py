@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import checked_broadcast, hash60, table, written
+from corpusmill.llm.common import checked_broadcast, hash60, map_arrow, table, written
 from corpusmill.llm.tokens import as_strings, buffers, combine, mix, pieces, words
 
 #: Labelled rows that the model is fitted on: about so many, those whose id hashes are lowest.
@@ -228,7 +228,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id:
             q, t = (np.round(p, 4) for p in heads.value.probabilities(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q), pa.array(t), pa.array((q >= MIN_QUALITY) & (t <= MAX_TOXIC))], ["doc_id", "quality", "toxic", "keep"])
 
-    return docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, quality double, toxic double, keep boolean")
+    return map_arrow(docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {kind}, quality double, toxic double, keep boolean")
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

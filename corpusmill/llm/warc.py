@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from corpusmill.llm.common import filesystem, scratch, table
+from corpusmill.llm.common import filesystem, map_arrow, scratch, table
 
 PIECE = 1 << 16
 #: Most bytes of a header block; a longer one is a broken record.
@@ -251,7 +251,7 @@ def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url
         to.move(own, final)
         yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
-    pages.select(F.col(id).alias("id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    map_arrow(pages.select(F.col(id).alias("id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")), write, "n long").agg(F.sum("n")).collect()
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
