@@ -189,12 +189,16 @@ def _suffixes(g: np.ndarray) -> np.ndarray:
 def score(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``__lp``, the sum of the log-probabilities of a text's 5-grams in 1 / SCALE nats, and ``__n``, their number; 0 for null texts and those of under five bytes.
 
-    A block is a split of the input file; if rows don't come from files, blocks are hashes of the text.
+    A block is an input file.  Rows that don't come from files are written to some first; those that lost their file in
+    a shuffle are blocks by the hash of their text.
     """
     spark = docs.sparkSession
+    if not docs.inputFiles():
+        docs = written(docs, "texts")
     path = scratch(spark, "answers")
-    place = F.concat_ws(":", F.input_file_name(), F.input_file_block_start().cast("string"))
-    blocked = docs.withColumn("__block", F.when(F.input_file_name() != "", F.xxhash64(place)).otherwise(F.xxhash64(text) % 64))
+    # not by split: how a file is split may differ between two scans, as executors come and go
+    file = F.input_file_name()
+    blocked = docs.withColumn("__block", F.when(file != "", F.xxhash64(file)).otherwise(F.xxhash64(text) % 64))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, _Grams] = {}
@@ -213,7 +217,8 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
 
     asked = map_arrow(blocked.select("__block", F.col(text).cast("string")), ask, "block bigint, k bigint")
     answers = asked.join(model, "k").select("block", "k", "lp", "bo")
-    answers.repartition("block").sortWithinPartitions("block", "k").write.partitionBy("block").parquet(path)
+    answers = answers.repartition("block").dropDuplicates(["block", "k"])
+    answers.sortWithinPartitions("block", "k").write.partitionBy("block").parquet(path)
     none = np.iinfo(np.int32).min
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,3 +323,54 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their perplexities."""
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).where("keep")
+
+
+def sql_judge(docs: str, name: str) -> str:
+    """DuckDB CTEs that leave (doc_id, lang, n_grams, perplexity, deviation, keep) of ``docs`` in ``name``."""
+    held = "('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % " + str(HELD_OUT) + " = 0"
+    out = [
+        f"""{name}_r AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, text FROM {docs}),
+{name}_t AS MATERIALIZED (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1 AND coalesce(max(toxic), 0) = 0),
+{name}_b AS (SELECT r, unnest(l) AS b, generate_subscripts(l, 1) AS i FROM (SELECT r, string_split(regexp_replace(hex(encode(text)), '(..)', '\\1 ', 'g'), ' ') AS l FROM {name}_r WHERE text IS NOT NULL)),
+{name}_g AS MATERIALIZED (SELECT r, b || b1 || b2 || b3 || b4 AS g FROM (SELECT r, b, lead(b, 1) OVER w AS b1, lead(b, 2) OVER w AS b2, lead(b, 3) OVER w AS b3, lead(b, 4) OVER w AS b4 FROM {name}_b WHERE b <> '' WINDOW w AS (PARTITION BY r ORDER BY i)) WHERE b4 IS NOT NULL),
+{name}_c5 AS MATERIALIZED (SELECT g, count(*) AS c FROM {name}_g WHERE r IN (SELECT r FROM {name}_r WHERE NOT ({held}) AND doc_id IN (SELECT doc_id FROM {name}_t)) GROUP BY g)"""
+    ]
+    for n in range(ORDER - 1, 0, -1):
+        out.append(f"{name}_c{n} AS MATERIALIZED (SELECT substr(g, 3) AS g, count(*) AS c FROM {name}_c{n + 1} GROUP BY 1)")
+    for n in range(1, ORDER + 1):
+        d = ", ".join(f"CASE WHEN n1 > 0 AND n{i} > 0 THEN greatest({i / 10}::DOUBLE, least({i}::DOUBLE, {i}.0::DOUBLE - {i + 1} * (n1 / (n1 + 2 * n2)) * n{i + 1} / n{i})) ELSE {i / 2}::DOUBLE END AS d{i}" for i in (1, 2, 3))
+        counts = ", ".join(f"count_if(c = {i})::DOUBLE AS n{i}" for i in range(1, 5))
+        low = f"p + gamma / 256.0::DOUBLE AS p FROM {name}_w{n}" if n == 1 else f"w.p + gamma * q.p AS p FROM {name}_w{n} w JOIN {name}_p{n - 1} q ON q.g = substr(w.g, 3)"
+        g = "g" if n == 1 else "w.g"
+        out.append(
+            f"""{name}_d{n} AS (SELECT {d} FROM (SELECT {counts} FROM {name}_c{n})),
+{name}_w{n} AS MATERIALIZED (SELECT g, h, greatest(c - CASE c WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END, 0) / total AS p, (d1 * m1 + d2 * m2 + d3 * m3) / total AS gamma FROM (
+  SELECT g, h, c, d1, d2, d3, sum(c) OVER o AS total, count_if(c = 1) OVER o AS m1, count_if(c = 2) OVER o AS m2, count_if(c >= 3) OVER o AS m3 FROM (SELECT g, c, substr(g, 1, {2 * (n - 1)}) AS h FROM {name}_c{n}), {name}_d{n} WINDOW o AS (PARTITION BY h))),
+{name}_p{n} AS MATERIALIZED (SELECT {g} AS g, {low}),
+{name}_l{n} AS MATERIALIZED (SELECT g, round_even(CASE WHEN p > 0 THEN greatest(ln(p), {_FLOOR}) ELSE {_FLOOR} END * {SCALE}, 0)::BIGINT AS lp FROM {name}_p{n}),
+{name}_o{n - 1} AS MATERIALIZED (SELECT h, round_even(CASE WHEN any_value(gamma) > 0 THEN greatest(ln(any_value(gamma)), {_FLOOR}) ELSE {_FLOOR} END * {SCALE}, 0)::BIGINT AS bo FROM {name}_w{n} GROUP BY h)"""
+        )
+    lp, joins = str(int(np.rint(-np.log(256.0) * SCALE))), ""
+    for n in range(1, ORDER + 1):
+        at = 2 * (ORDER - n) + 1
+        lp = f"coalesce(l{n}.lp, coalesce(o{n - 1}.bo, 0) + {lp})"
+        joins += f" LEFT JOIN {name}_l{n} l{n} ON l{n}.g = substr(u.g, {at}) LEFT JOIN {name}_o{n - 1} o{n - 1} ON o{n - 1}.h = substr(u.g, {at}, {2 * (n - 1)})"
+    dev = f"floor((-lp * {10_000 / SCALE}::DOUBLE / n - {{m}}) * sqrt(n / (n + {SHORT}.0::DOUBLE)))::INTEGER"
+    loss = f"floor(-lp * {10_000 / SCALE}::DOUBLE / n)"
+    limit = f"quantile_cont(dev, {HIGH}) + abs(quantile_cont(dev, {HIGH})) * 2 / sqrt(count(*)::DOUBLE) AS h"
+    out.append(
+        f"""{name}_u AS MATERIALIZED (SELECT u.g, {lp} AS lp FROM (SELECT DISTINCT g FROM {name}_g) u{joins}),
+{name}_s AS MATERIALIZED (SELECT r.r, doc_id, lang, coalesce(lp, 0) AS lp, coalesce(n, 0) AS n FROM {name}_r r LEFT JOIN (SELECT r, sum(lp)::BIGINT AS lp, count(*) AS n FROM {name}_g JOIN {name}_u USING (g) GROUP BY r) s ON s.r = r.r),
+{name}_h AS MATERIALIZED (SELECT * FROM {name}_s WHERE {held} AND n > 0 AND doc_id IN (SELECT doc_id FROM {name}_t)),
+{name}_m AS (SELECT lang, quantile_cont({loss}, 0.5) AS m FROM {name}_h GROUP BY lang HAVING count(*) >= {LEAST_HELD}),
+{name}_q AS (SELECT lang, m, {limit} FROM (SELECT x.lang, m, {dev.format(m='m')} AS dev FROM {name}_h x JOIN {name}_m y ON x.lang IS NOT DISTINCT FROM y.lang) GROUP BY lang, m),
+{name}_ma AS (SELECT quantile_cont({loss}, 0.5) AS m FROM {name}_h HAVING count(*) > 0),
+{name}_qa AS (SELECT m, {limit} FROM (SELECT m, {dev.format(m='m')} AS dev FROM {name}_h, {name}_ma) GROUP BY m),
+{name} AS MATERIALIZED (SELECT doc_id, lang, n AS n_grams, perplexity, dev AS deviation, coalesce(dev <= h, true) AS keep FROM (
+  SELECT doc_id, s.lang, n, CASE WHEN n > 0 THEN round(exp(-lp / {SCALE}.0::DOUBLE / n), 4) END AS perplexity, CASE WHEN n > 0 THEN {dev.format(m='CASE WHEN q.m IS NOT NULL THEN q.m ELSE a.m END')} END AS dev, CASE WHEN q.m IS NOT NULL THEN q.h ELSE a.h END AS h
+  FROM {name}_s s LEFT JOIN {name}_q q ON s.lang IS NOT DISTINCT FROM q.lang LEFT JOIN {name}_qa a ON true))"""
+    )
+    return ",\n".join(out)
+
+
+OP2_SQL = f"WITH {sql_judge('documents', 'judged')} SELECT * FROM judged WHERE keep"

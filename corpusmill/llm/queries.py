@@ -11,7 +11,7 @@ from corpusmill.llm.decontam import OP1_SQL, op1_decontamination
 from corpusmill.llm.html_extract import op10_html
 from corpusmill.llm.jaccard_join import OP4_SQL, op4_jaccard_join
 from corpusmill.llm.mixing import OP6_SQL, op6_mixing
-from corpusmill.llm.perplexity import op2_quality_classifier
+from corpusmill.llm.perplexity import OP2_SQL, op2_quality_classifier
 from corpusmill.llm.pii_crf import op8_pii
 from corpusmill.llm.quality_rules import op7_quality_rules
 from corpusmill.llm.sharding import OP3_SQL, op3_sharding
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html": op10_html,
 }
 
-SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_sharding": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op5_chat": OP5_SQL, "op6_mixing": OP6_SQL, "op9_warc": OP9_SQL}
+SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op2_quality_classifier": OP2_SQL, "op3_sharding": OP3_SQL, "op4_jaccard_join": OP4_SQL, "op5_chat": OP5_SQL, "op6_mixing": OP6_SQL, "op9_warc": OP9_SQL}
