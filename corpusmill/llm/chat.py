@@ -45,7 +45,7 @@ _SYSTEM = "named_struct('role', 'system', 'text', r.system)"
 
 LAYOUTS = [
     Layout("messages", {"messages": [{"role": "x", "content": "x"}]}, "struct<messages:array<struct<role:string,content:string>>>", "transform(r.messages, m -> named_struct('role', m.role, 'text', m.content))", _META),
-    Layout("parts", {"messages": [{"role": "x", "content": [{"type": "text", "text": "x"}]}]}, "struct<messages:array<struct<role:string,content:array<struct<type:string,text:string>>>>>", "transform(r.messages, m -> named_struct('role', m.role, 'text', array_join(transform(filter(m.content, p -> p.type = 'text'), p -> p.text), '')))", _META),
+    Layout("parts", {"messages": [{"role": "x", "content": [{"text": "x", "type": "text"}]}]}, "struct<messages:array<struct<role:string,content:array<struct<type:string,text:string>>>>>", "transform(r.messages, m -> named_struct('role', m.role, 'text', array_join(transform(filter(m.content, p -> p.type = 'text'), p -> p.text), '')))", _META),
     Layout("from_value", {"conversations": [{"from": "x", "value": "x"}]}, "struct<system:string,conversations:array<struct<`from`:string,value:string>>>", f"concat(array({_SYSTEM}), transform(r.conversations, m -> named_struct('role', m.`from`, 'text', m.value)))", _META | {"system": "x"}),
     Layout("dialogue", {"dialogue": {"turns": [{"speaker": "x", "utterance": "x"}]}}, "struct<dialogue:struct<turns:array<struct<speaker:string,utterance:string>>>>", "transform(r.dialogue.turns, m -> named_struct('role', m.speaker, 'text', m.utterance))", _META),
     Layout("history", {"history": [["x", "x"]], "query": "x"}, "struct<system:string,history:array<array<string>>,query:string,response:string>", f"concat(array({_SYSTEM}), flatten(transform(r.history, h -> array(named_struct('role', 'user', 'text', h[0]), named_struct('role', 'assistant', 'text', h[1])))), array(named_struct('role', 'user', 'text', r.query), named_struct('role', 'assistant', 'text', r.response)))", {"response": "x", "system": "x"} | _META),

@@ -39,11 +39,11 @@ _MARK[[*range(48, 58), 64]] = True
 _EDGE = re.compile(r"^[^0-9A-Za-z@+(]+|[^0-9A-Za-z@)]+$")
 _ALNUM = re.compile(r"[^0-9a-z]+")
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.ASCII)
+_EMAIL = re.compile(r"[%+.0-9A-Z_a-z-]+@[0-9A-Za-z-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", re.ASCII)
 _IP = re.compile(r"(?:\d{1,3}\.){3}\d{1,3}", re.ASCII)
 _CARD = re.compile(r"(?:4\d{12}(?:\d{3})?|5[1-5]\d{14}|3[47]\d{13})", re.ASCII)
 _HEX = re.compile(r"[0-9A-Za-z_\-]{16,}", re.ASCII)
-_KEY = re.compile(r"(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|glpat-[\w-]{20,}|sk-[\w-]{32,}|xox[baprs]-[\w-]{10,}|AIza[\w-]{35}", re.ASCII)
+_KEY = re.compile(r"A(?:KI|SI|ID|RO)A[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|glpat-[\w-]{20,}|sk-[\w-]{32,}|xox[baprs]-[\w-]{10,}|AIza[\w-]{35}", re.ASCII)
 _ASSIGN = re.compile(r"([A-Za-z_-]+[\"']?)([=:])[\"']?([^\s\"']{8,})", re.ASCII)
 _NAMES = re.compile(r"(?:api[_-]?key|token|secret|password|passwd|pwd)[\"']?$", re.I)
 

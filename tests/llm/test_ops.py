@@ -38,7 +38,7 @@ def test_tokens():
     assert found == [[word_hash(w) for w in split(t or "")] for t in texts]
 
 
-# ---- 3 sharding -----------------------------------------------------------------------------------------------------------
+# ---- 3 sharding
 
 
 def slow_jump(key: int, n: int) -> int:
@@ -72,7 +72,7 @@ def test_sharding_awkward(spark, awkward, nothing):
         sharding.assign_shards(nothing, shards=0)
 
 
-# ---- 6 mixing -------------------------------------------------------------------------------------------------------------
+# ---- 6 mixing
 
 
 def test_mixing_awkward(spark, awkward, nothing):
@@ -99,7 +99,7 @@ def rows_of(df):
     return sorted((r.doc_id, r.copy) for r in df.select("doc_id", "copy").collect())
 
 
-# ---- 9 WARC ---------------------------------------------------------------------------------------------------------------
+# ---- 9 WARC
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -137,7 +137,7 @@ def test_warc_empty(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0
 
 
-# ---- 10 HTML --------------------------------------------------------------------------------------------------------------
+# ---- 10 HTML
 
 
 def test_best_region_is_best():
@@ -170,7 +170,7 @@ def test_html_awkward(spark):
     assert html_extract.extract("<p>a &amp; b", {"": 1.0, "?": -1.0}) == ("a & b", 3)
 
 
-# ---- 5 chat ---------------------------------------------------------------------------------------------------------------
+# ---- 5 chat
 
 
 def test_chat_layouts(spark):
@@ -179,7 +179,7 @@ def test_chat_layouts(spark):
         '{"messages":[{"role":"system","content":"s"},{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}': turns,
         '{"id":"7","conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}],"system":"s"}': turns,
         '{"dialogue":{"turns":[{"speaker":" Human ","utterance":"q"},{"speaker":"BOT","utterance":"a"}]}}': turns[1:],
-        '{"messages":[{"role":"user","content":[{"type":"text","text":"q"}]}]}': turns[1:2],
+        '{"messages":[{"role":"user","content":[{"text":"q","type":"text"}]}]}': turns[1:2],
         '{"system":"s","history":[["q","a"]],"query":"q","response":"a"}': [*turns, *turns[1:]],
         '{"instruction":"q","input":"more","output":"a"}': [("user", "q\nmore"), ("assistant", "a")],
         '{"instruction":"q","input":"","output":"a"}': turns[1:],
@@ -209,7 +209,7 @@ def test_chat_awkward_tables(spark):
         chat.mappings(spark, [*chat.LAYOUTS, chat.Layout("twin", {"prompt": "x", "completion": "x"}, "struct<prompt:string>", "array()")])
 
 
-# ---- 1 decontamination ----------------------------------------------------------------------------------------------------
+# ---- 1 decontamination
 
 
 def slow_leaks(docs, items):
@@ -268,7 +268,7 @@ def test_decontamination_awkward(spark, awkward, nothing, prose_of, monkeypatch)
     assert decontam.contaminated(nothing, items).count() == 0 and decontam.contaminated(awkward, items.limit(0)).count() == 0
 
 
-# ---- 4 Jaccard ------------------------------------------------------------------------------------------------------------
+# ---- 4 Jaccard
 
 
 def trigrams(t):
@@ -346,7 +346,7 @@ def test_components(spark):
     assert {r.root for r in jaccard_join.components(pairs).collect()} == {1, 50}
 
 
-# ---- 2 perplexity ---------------------------------------------------------------------------------------------------------
+# ---- 2 perplexity
 
 
 def slow_kn(texts):
@@ -414,7 +414,7 @@ def test_classifier_awkward(spark, awkward, labels, nothing):
     assert perplexity.judge(nothing, labels).count() == 0
 
 
-# ---- 7 quality rules ------------------------------------------------------------------------------------------------------
+# ---- 7 quality rules
 
 
 def test_rules_held_out():
@@ -452,7 +452,7 @@ def test_rules_awkward(spark, awkward, labels, nothing):
     assert quality_rules.apply_rules(nothing, labels).count() == 0
 
 
-# ---- 8 PII ----------------------------------------------------------------------------------------------------------------
+# ---- 8 PII
 
 
 def test_messages_are_exact_on_trees():
