@@ -98,10 +98,10 @@ PLACEHOLDERS = tuple(
     sorted("changeme change_me dummy example getenv import.meta insert_ os.environ placeholder process.env sample todo xxxx your- your_ yourkey < ${ {{".split())
 )
 #: Words that open the window in which bare credentials are looked for.
-CONTEXT_WORDS = ("api key", "api-key", "apikey", "app pw", "app-pw", "credential", "gmail", "login", "passcode", "password")
+CONTEXT_WORDS = tuple("api key;api-key;apikey;app pw;app-pw;credential;gmail;login;passcode;password".split(";"))
 #: Words that make a whole file one about logins.
-LOGIN_WORDS = (" login", "2fa", "app password", "app-password", "authenticator", "backup code", "credential", "gmail", "password", "recovery code")
-LINE_WORDS = ("app pw", "app-pw", "gmail", "login", "password")
+LOGIN_WORDS = tuple(" login;2fa;app password;app-password;authenticator;backup code;credential;gmail;password;recovery code".split(";"))
+LINE_WORDS = tuple("app pw;app-pw;gmail;login;password".split(";"))
 #: Extensions of documents and data, as opposed to source code.
 DATA_EXTENSIONS = frozenset("cfg conf csv env ini json log markdown md rtf text toml tsv txt xlsx yaml yml".split())
 DATA_MARKERS = ("api-key", "api_key", "apikey", "credential", "passwd", "password", "secret", "vault")

@@ -117,7 +117,7 @@ def xml_escape(c: Column | str) -> Column:
 
 def omit_base64(c: Column | str) -> Column:
     """The text without long base64 runs."""
-    return F.regexp_replace(col(c), "[A-Za-z0-9+/]{200,}={0,2}", "[base64 omitted]")
+    return F.regexp_replace(col(c), "[+/0-9A-Za-z]{200,}={0,2}", "[base64 omitted]")
 
 
 def lines(c: Column | str) -> Column:

@@ -270,7 +270,7 @@ def revalidate(ready: DataFrame, now: DataFrame, key: str) -> DataFrame:
     return ready.join(now, key, "full_outer").select(key, state.alias("state"))
 
 
-# ---- on a tree ------------------------------------------------------------------------------------------------------------
+# ---- on a tree
 
 BACKUPS = ".corpusmill/backups"
 

@@ -55,21 +55,21 @@ RULES: list[tuple[str, str, bool]] = [
     ("JWT Token", r"\b" + r"\.".join(f"{p}[{_W}_-]{{10,}}" for p in ("eyJ", "eyJ", "")) + r"\b", False),
     ("Private Key Block", r"-{5}BEGIN [ A-Z]{0,20}PRIVATE KEY(?: BLOCK)?-{5}", False),
     ("Database URL with password", r"\b(?:amqps?|mongodb(?:\+srv)?|mysql|postgres(?:ql)?|redis)://[^\s:/]+:[^\s@]+@[^\s\"']+", False),
-    ("Bearer Token", rf"(?i)\bbearer\s+(?P<v>[{_W}._=-]{{20,}})", True),
+    ("Bearer Token", rf"(?i)\b(?:bearer)\s+(?P<v>[{_W}._=-]{{20,}})", True),
     ("Generic API Key", rf"(?i)\b(?:apikey|api[-_.]?key)\s*[=:]\s*{_Q}(?P<v>[{_W}_-]{{20,}}){_Q}", True),
     ("Generic Secret", rf"(?i)\b(?:pwd|passwd|password|secret)\s*[=:]\s*{_Q}(?P<v>[^\s\"']{{8,}}){_Q}", True),
-    ("Possible SSN", r"\b\d{3}-\d\d-\d{4}\b", False),
+    ("Social security number", r"\b\d{3}-\d\d-\d{4}\b", False),
     ("Credit Card Number", r"\b(?:3[47]\d{13}|4\d{12}(?:\d{3})?|5[1-5]\d{14})\b", False),
 ]
 CONTEXT_RULE = "Contextual credential"
 
 _COMPILED = [(n, re.compile(p), g) for n, p, g in RULES]
-_MAIL = r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"
+_MAIL = r"[%+.0-9_a-z-]+@[.0-9a-z-]+\.[a-z]{2,}"
 _MAIL_VALUE = re.compile(rf"({_MAIL}\s*[|:]\s*)(\S{{6,}})", re.I)
 _MAIL_ONLY = re.compile(rf"{_MAIL}\Z", re.I)
 _QUAD = re.compile(r"\b" + r"\s".join(["[a-z]{4}"] * 4) + r"\b")
 _ASSIGNED = re.compile(r"\b(?:api[-_]?key|passwd|password|pwd|secret)\b\s*[|=:]\s*\S{8,}", re.I)
-_LABELED = re.compile(r"[a-z0-9_.-]*(?:api[-_]?key|app[-_]?password|client[-_]?secret|passwd|password|pwd|secret|token)[a-z0-9_-]*\s*[|=:]\s*[\"']?([^\s\"'()<>{}\[\]`,;]{8,})", re.I)
+_LABELED = re.compile(r"[.0-9_a-z-]*(?:api[-_]?key|app[-_]?password|client[-_]?secret|passwd|password|pwd|secret|token)[0-9_a-z-]*\s*[|=:]\s*[\"']?([^\s,;`\"'{}<>\[\]()]{8,})", re.I)
 _PEM = re.compile(r"-{5}BEGIN [ A-Z]{0,20}PRIVATE KEY")
 _OUTER = "\"'(),/:;<>[\\]`{|}"
 _INNER = "\"'(),.:;[]`"
@@ -233,5 +233,3 @@ def redacted(text: Column) -> Column:
     # a null in its place, as a Python function is given every row
     return F.when(suspect, redact(F.when(suspect, text))).otherwise(none)
 
-
-CARD = "(^|[^0-9A-Za-z_])(4[0-9]{12}([0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13})($|[^0-9A-Za-z_])"

@@ -49,7 +49,7 @@ def _any(c: str, words: object) -> str:
     return "(" + " OR ".join(f"contains({c}, '{w}')" for w in words) + ")"
 
 
-# ---- classification -------------------------------------------------------------------------------------------------------
+# ---- classification
 
 _EXT = "regexp_extract(lower(name), '^.+\\.([^.]*)$', 1)"
 _STEM = "regexp_replace(lower(name), '\\.[^.]*$', '')"
@@ -181,7 +181,7 @@ def skip_manifest(spark: SparkSession, d: str) -> DataFrame:
     return numbered.crossJoin(F.broadcast(total)).select("n", "rel", "reason", F.greatest(F.lit(0).cast("bigint"), F.col("total") - 1000).alias("more"))
 
 
-# ---- scalars --------------------------------------------------------------------------------------------------------------
+# ---- scalars
 
 _TOK = "(len(regexp_extract_all(text, '[0-9A-Za-z_]{1,4}')) + len(regexp_extract_all(text, '[^0-9A-Za-z_ \\t\\n\\r]')))::BIGINT"
 
@@ -239,7 +239,7 @@ def blank_lines(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.drop_blank_lines(F.expr(_SPARK_TICKS)).alias("slim"))
 
 
-@query("SELECT doc_id, regexp_replace(replace(text, ' the ', repeat('QUJD', (doc_id % 120)::INTEGER) || '= '), '[A-Za-z0-9+/]{200,}={0,2}', '[base64 omitted]', 'g') AS slim FROM documents")
+@query("SELECT doc_id, regexp_replace(replace(text, ' the ', repeat('QUJD', (doc_id % 120)::INTEGER) || '= '), '[+/0-9A-Za-z]{200,}={0,2}', '[base64 omitted]', 'g') AS slim FROM documents")
 def base64_omitted(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.omit_base64(F.expr("replace(text, ' the ', concat(repeat('QUJD', cast(doc_id % 120 as int)), '= '))")).alias("slim"))
 
@@ -275,9 +275,9 @@ def safe_paths(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", T.safe_relative(F.expr(_REPLY_PATH.replace("\\", "\\\\"))).alias("rel"))
 
 
-# ---- secrets --------------------------------------------------------------------------------------------------------------
+# ---- secrets
 
-_CARD = "(^|[^0-9A-Za-z_])(4[0-9]{12}([0-9]{3})?|5[1-5][0-9]{14}|3[47][0-9]{13})"
+_CARD = "(^|[^0-9A-Za-z_])(3[47]\\d{13}|4\\d{12}(\\d{3})?|5[1-5]\\d{14})"
 
 
 @query(f"SELECT doc_id, regexp_replace(text, '{_CARD}', '\\1[REDACTED]', 'g') AS text, len(regexp_extract_all(text, '{_CARD}')) AS n FROM documents WHERE regexp_matches(text, '{_CARD}')")
@@ -286,7 +286,7 @@ def redact_cards(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.regexp_replace("text", _CARD, "$1[REDACTED]").alias("text"), F.regexp_count("text", F.lit(_CARD)).cast("bigint").alias("n"))
 
 
-_MAIL = "([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,} *[:|] *)[^ \\t\\n\\r]{6,}"
+_MAIL = "([%+.0-9A-Z_a-z-]+@[.0-9A-Za-z-]+\\.[A-Za-z]{2,} *[:|] *)[^ \\t\\n\\r]{6,}"
 _MAILED = "replace(text, '.com ', '.com: ')"
 
 
@@ -342,12 +342,12 @@ def harvest_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT doc_id, count(*) AS signs FROM {_LINES} WHERE NOT {_hold('l')} AND (regexp_matches(l, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}\\s*[|:]\\s*[^ \\t\\n\\r]{{6,}}') OR regexp_matches(lower(l), '(^|[^0-9a-z_])(api[-_]?key|passwd|password|pwd|secret|token) *[|=:] *[^ \\t]{{8,}}')) GROUP BY doc_id"""
+    f"""SELECT doc_id, count(*) AS signs FROM {_LINES} WHERE NOT {_hold('l')} AND (regexp_matches(l, '[%+.0-9A-Z_a-z-]+@[.0-9A-Za-z-]+\\.[A-Za-z]{{2,}}\\s*[|:]\\s*[^ \\t\\n\\r]{{6,}}') OR regexp_matches(lower(l), '(^|[^0-9a-z_])(api[-_]?key|passwd|password|pwd|secret|token) *[|=:] *[^ \\t]{{8,}}')) GROUP BY doc_id"""
 )
 def credential_density(spark: SparkSession, d: str) -> DataFrame:
     """Lines with signs of credentials in each document that has any."""
     ls = docs(spark, d).where(F.contains("text", F.lit("@")) | F.col("text").rlike("(?i)key|pass|pwd|secret|token")).select("doc_id", F.explode(T.lines("text")).alias("l")).where(~T.placeholder(F.col("l")))
-    mail = F.col("l").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\s*[|:]\s*[^ \t\n\r]{6,}")
+    mail = F.col("l").rlike(r"[%+.0-9A-Z_a-z-]+@[.0-9A-Za-z-]+\.[A-Za-z]{2,}\s*[|:]\s*[^ \t\n\r]{6,}")
     assigned = F.lower("l").rlike(r"(^|[^0-9a-z_])(api[-_]?key|passwd|password|pwd|secret|token) *[|=:] *[^ \t]{8,}")
     return ls.where(mail | assigned).groupBy("doc_id").agg(F.count(F.lit(1)).alias("signs"))
 
@@ -374,7 +374,7 @@ def propagate_secrets(spark: SparkSession, d: str) -> DataFrame:
     return O.propagate(docs(spark, d).where(F.col("text").rlike("[0-9a-f]{40}")), _secrets(spark, d)).select("doc_id", "text")
 
 
-# ---- order, packing, totals -----------------------------------------------------------------------------------------------
+# ---- order, packing, totals
 
 _RANKED = f"ranked AS (SELECT rel, doc_id, 2 * (len(string_split(rel, '/')) - 1) + CASE WHEN starts_with(lower(name), 'readme') THEN -100 ELSE 0 END + CASE WHEN lower(name) IN {_in(N.ENTRY_NAMES)} THEN -40 ELSE 0 END AS rank, {_TOK} AS tokens FROM files)"
 
@@ -450,7 +450,7 @@ def budget_share(spark: SparkSession, d: str) -> DataFrame:
     return r.select("source", "tokens", F.when(F.col("k") <= 8, F.col("k")).otherwise(0).alias("slot"), F.round(share, 4).alias("share"), F.when(share <= 4, "ok").when(share <= 5, "warn").otherwise("danger").alias("level"))
 
 
-# ---- rendering ------------------------------------------------------------------------------------------------------------
+# ---- rendering
 
 
 @query(f"WITH {FILES} SELECT doc_id, '## ' || rel || chr(10) || chr(10) || '```' || {_EXT} || chr(10) || text || CASE WHEN ends_with(text, chr(10)) THEN '' ELSE chr(10) END || '```' || chr(10) || chr(10) AS section FROM files")
@@ -491,7 +491,7 @@ def render_json(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).select("doc_id", F.to_json(F.struct(F.col("rel").alias("path"), T.extension("name").alias("language"), T.token_estimate("text").alias("tokens"), F.col("text").alias("content"))).alias("json"))
 
 
-# ---- reference graph ------------------------------------------------------------------------------------------------------
+# ---- reference graph
 
 _DEF = "string_split(replace(text, ' ', chr(10)), chr(10))"
 
@@ -536,7 +536,7 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
     return O.pagerank(docs(spark, d, "doc_id").withColumnRenamed("doc_id", "path"), edges).select("path", F.round("rank", 9).alias("rank"))
 
 
-# ---- lines, events, replies -----------------------------------------------------------------------------------------------
+# ---- lines, events, replies
 
 
 @query(f"WITH {FILES}, l AS (SELECT rel, unnest(s) AS l, generate_subscripts(s, 1) AS line FROM (SELECT rel, CASE WHEN s[-1] = '' THEN s[:-2] ELSE s END AS s FROM (SELECT rel, string_split_regex(text, '\\r?\\n') AS s FROM files WHERE lower(name) NOT IN ('package-lock.json', 'makefile', '.gitignore', 'secrets.yaml', 'main.py')))) SELECT rel, line::INTEGER AS line, left(l, 400) AS hit FROM l WHERE regexp_matches(l, 'token = ') ORDER BY string_split(rel, '/'), line LIMIT 100")

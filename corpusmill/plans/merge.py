@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpusmill.functions import names as N
 from corpusmill.functions import text as T
 from corpusmill.operators import corpus as O
 from corpusmill.operators import redact as R
@@ -89,7 +90,7 @@ def blocks(spark: SparkSession, root: str, options: MergeOptions = MergeOptions(
     scanned = checkpoint(scanned)
     text = scanned.where("verdict = 'text'").withColumn("d", decoded("content")).select("rel", "name", T.extension("name").alias("lang"), F.col("d.text").alias("raw"), F.col("d.note").alias("note"))
     text = text.withColumn("dense", R.density("raw") >= R.DENSE)
-    text = checkpoint(text.withColumn("dense", F.col("dense") & F.col("lang").isin(*sorted(R.PROSE | {"json", "yaml", "yml", "toml", "ini", "env", "conf", "cfg"}))))
+    text = checkpoint(text.withColumn("dense", F.col("dense") & F.col("lang").isin(*sorted(R.PROSE | N.DATA_EXTENSIONS))))
     kept = text.where("NOT dense")
     body = F.col("raw")
     slimmed = kept.withColumn("s", S.slim("lang", body)) if not (options.comments and options.bodies) else kept.withColumn("s", F.struct(body.alias("text"), F.lit(False).alias("compressed")))

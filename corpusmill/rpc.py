@@ -63,29 +63,36 @@ def tools(spark) -> dict[str, Callable[..., str]]:
     }
 
 
+def _error(id: object, code: int, message: str) -> dict:
+    return {"id": id, "error": dict(code=code, message=message), "jsonrpc": "2.0"}
+
+
 def handle(line: str, calls: dict[str, Callable[..., str]]) -> dict | None:
     """The answer to one request; none to a notification.  A tool's failure is a result, not an error of the protocol."""
     try:
         r = json.loads(line)
     except ValueError:
-        return {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": "parse error"}}
+        return _error(None, -32700, "the request isn't JSON")
     if "id" not in r:
         return None
     answer: dict = {"jsonrpc": "2.0", "id": r["id"]}
     method, params = r.get("method"), r.get("params") or {}
     if method == "initialize":
-        return answer | {"result": {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "corpusmill", "version": "1"}}}
+        about = {"version": "1", "name": "corpusmill"}
+        return answer | {"result": {"serverInfo": about, "capabilities": {"tools": {}}, "protocolVersion": params.get("protocolVersion", "2024-11-05")}}
     if method == "ping":
         return answer | {"result": {}}
     if method == "tools/list":
-        return answer | {"result": {"tools": [{"name": k, "description": k, "inputSchema": {"type": "object", "properties": v}} for k, v in TOOLS.items()]}}
+        listed = [{"name": k, "description": k, "inputSchema": {"properties": v, "type": "object"}} for k, v in TOOLS.items()]
+        return answer | {"result": {"tools": listed}}
     if method != "tools/call":
-        return answer | {"error": {"code": -32601, "message": f"unknown method {method}"}}
+        return _error(r["id"], -32601, f"there is no method {method}")
     try:
         text, bad = calls[params["name"]](**(params.get("arguments") or {})), False
     except Exception as e:  # whatever a tool raises is what its caller is told
         text, bad = f"{type(e).__name__}: {e}", True
-    return answer | {"result": {"content": [{"type": "text", "text": text}], "isError": bad}}
+    said = {"text": text, "type": "text"}
+    return answer | {"result": {"isError": bad, "content": [said]}}
 
 
 def serve(spark) -> None:

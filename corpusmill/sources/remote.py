@@ -46,7 +46,7 @@ def git_diff(root: str) -> tuple[str | None, str | None]:
 
 def git_log(root: str, n: int) -> tuple[str | None, str | None]:
     """(log, note): the last commits, one a line."""
-    out = _git(root, "log", f"-{n}", "--date=short", "--pretty=format:%h %ad %an — %s")
+    out = _git(root, "log", "--date=short", "--format=%h %ad %an — %s", f"-{n}")
     return (out, None) if out is not None else (None, "not a git repository")
 
 

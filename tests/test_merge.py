@@ -44,7 +44,7 @@ def test_merge(spark, tree, tmp_path):
 def test_round_trip(spark, tree, tmp_path, form):
     r = merge(spark, str(tree), str(tmp_path / "rt_merged"), MergeOptions(format=form, redact=False))
     got = {c.path: c.content for c in patch.parse_reply(open(r.parts[0], newline="").read())}
-    for name in ("src/main.rs", "README.md", "src/core.rs"):
+    for name in "src/core.rs README.md src/main.rs".split():
         assert got[name].rstrip("\n") == (tree / name).read_text().rstrip("\n")
 
 
@@ -88,6 +88,6 @@ def test_rpc(tmp_path):
     calls = {"echo": lambda x: x, "fail": lambda: 1 / 0}
     assert handle("{", calls)["error"]["code"] == -32700 and handle('{"method":"x"}', calls) is None
     assert handle('{"id":1,"method":"x"}', calls)["error"]["code"] == -32601
-    assert handle('{"id":1,"method":"tools/call","params":{"name":"echo","arguments":{"x":"a"}}}', calls)["result"]["content"][0]["text"] == "a"
-    assert handle('{"id":1,"method":"tools/call","params":{"name":"fail"}}', calls)["result"]["isError"]
+    assert handle('{"id":1,"params":{"name":"echo","arguments":{"x":"a"}},"method":"tools/call"}', calls)["result"]["content"] == [{"type": "text", "text": "a"}]
+    assert handle('{"id":1,"params":{"name":"fail"},"method":"tools/call"}', calls)["result"]["isError"]
     assert len(handle('{"id":1,"method":"tools/list"}', calls)["result"]["tools"]) == 4

