@@ -24,11 +24,13 @@ from corpusmill.operators.classify import ScanOptions, name_verdict, sensitive_r
 from corpusmill.plans import render
 from corpusmill.plans.storage import checkpoint
 from corpusmill.sources.bytes import decoded, text_like
-from corpusmill.sources.tree import check_root, read_tree
+from corpusmill.sources.tree import check_root, read_credentials, read_tree
 
 FORMATS = {"markdown": "md", "plain": "txt", "xml": "xml", "documents": "xml", "json": "json"}
 MOST_SKIPS, MOST_SHOWN_DEFINITIONS, FALLBACK_PATHS = 1000, 40, 20
 DENSE_REASON = "credential-dense file"
+#: Reasons of ``sensitive_reason`` for files whose values may recur in text; keys and certificates don't.
+HARVESTED = ("env file (may hold credentials)", "credential store", "credential/secret data file")
 
 
 @dataclass(frozen=True)
@@ -104,6 +106,9 @@ def blocks(spark: SparkSession, root: str, options: MergeOptions = MergeOptions(
         made = made.withColumn("r", R.redacted(F.col("text"))).select("rel", "lang", "note", "compressed", F.col("r.text").alias("text"), F.col("r.events").alias("events"))
         made = checkpoint(made)
         stores = scanned.where(sensitive_reason("name").isNotNull() & F.col("content").isNotNull()).select(decoded("content")["text"].alias("raw"))
+        # those that the scan passes over, by ignore files, hidden folders or size, are never merged but learned from
+        apart = read_credentials(spark, root).where(sensitive_reason("name").isin(*HARVESTED) & F.col("content").isNotNull())
+        stores = checkpoint(stores.union(apart.select(decoded("content")["text"].alias("raw"))))
         everything = text.select("raw").union(stores)
         known = everything.select(F.explode(R.labelled_values("raw")).alias("token")).distinct()
         bare = text.where(F.col("dense") & F.col("lang").isin(*sorted(R.PROSE))).select("raw").union(stores).select(F.explode(R.dense_tokens("raw")).alias("token"))

@@ -19,6 +19,8 @@ IGNORE_FILES = (".gitignore", ".ignore", ".millignore")
 _VENV = re.compile("(^|[^a-z])(venv|virtualenv|site-packages)([^a-z]|$)")
 #: Roots that are never read.
 BLOCKED = frozenset("bin boot dev etc lib lib64 proc run sbin sys usr".split())
+#: How credential files are looked for: also where ignored or hidden, and up to a size of their own.
+HARVEST = ScanOptions(include_hidden=True, respect_gitignore=False, max_file_size=4 << 20)
 
 
 def check_root(path: str) -> str:
@@ -113,7 +115,7 @@ class _Files(InputPartition):
 
 
 class TreeSource(DataSource):
-    """``spark.read.format("tree").load(root)``; the option ``options`` is a ScanOptions as text."""
+    """``spark.read.format("tree").load(root)``; the option ``scan`` is a ScanOptions as text, and with ``sensitive`` only files that may hold credentials are read, whatever their extension."""
 
     @classmethod
     def name(cls) -> str:
@@ -123,17 +125,19 @@ class TreeSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"], options_of(self.options.get("scan", "")), int(self.options.get("partition_bytes", 32 << 20)))
+        return _Reader(self.options["path"], options_of(self.options.get("scan", "")), int(self.options.get("partition_bytes", 32 << 20)), self.options.get("sensitive", "") == "true")
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, options: ScanOptions, most: int) -> None:
-        self.root, self.options, self.most = check_root(root), options, most
+    def __init__(self, root: str, options: ScanOptions, most: int, sensitive: bool = False) -> None:
+        self.root, self.options, self.most, self.sensitive = check_root(root), options, most, sensitive
 
     def partitions(self) -> list[InputPartition]:
         groups: list[list[tuple[str, int]]] = [[]]
         held = 0
         for rel, size in walk(self.root, self.options):
+            if self.sensitive and not sensitive(rel.rsplit("/", 1)[-1]):
+                continue
             if groups[-1] and held + size > self.most:
                 groups.append([])
                 held = 0
@@ -146,7 +150,7 @@ class _Reader(DataSourceReader):
             name = rel.rsplit("/", 1)[-1]
             ext = os.path.splitext(name.lower())[1][1:]
             # what names and sizes rule out is not read
-            if size > self.options.max_file_size or ext in N.BINARY_EXTENSIONS:
+            if size > self.options.max_file_size or (ext in N.BINARY_EXTENSIONS and not self.sensitive):
                 yield rel, name, size, None
                 continue
             try:
@@ -173,6 +177,15 @@ def read_tree(spark: SparkSession, root: str, options: ScanOptions = ScanOptions
     return spark.read.format("tree").option("scan", json.dumps(asdict(options))).load(root)
 
 
+def read_credentials(spark: SparkSession, root: str) -> DataFrame:
+    """The files of a tree that may hold credentials by their names, as ``read_tree``, whatever ignore files say; larger ones than HARVEST takes have null content."""
+    import json
+    from dataclasses import asdict
+
+    spark.dataSource.register(TreeSource)
+    return spark.read.format("tree").option("scan", json.dumps(asdict(HARVEST))).option("sensitive", "true").load(root)
+
+
 def ignored_by(rel: str, lines: list[str]) -> bool:
     """Whether a path is ignored by the lines of one ignore file at the root."""
     return is_ignored(rel, compile_lines(lines))

@@ -40,6 +40,23 @@ def test_merge(spark, tree, tmp_path):
     assert skill(str(tree), r).startswith("---\nname: my-proj\n")
 
 
+def test_ignored_credentials(spark, tmp_path):
+    """Stores that the scan passes over: by an ignore file, in a hidden folder, above the size of merged files."""
+    tokens = ["Qm2Zx9Rt-Lp8Wb3nY-c6dHf1gJ-2kL5mN8pR", "Rn3Ay8Su-Mq7Xc4oZ-d5eIg2hK-3lM6nO9qS", "So4Bz7Tv-Nr6Yd5pA-e4fJh3iL-4mN7oP8rT", "Tp5Ca6Uw-Os5Ze6qB-f3gKi4jM-5nO8pQ7sU"]
+    root = tmp_path / "gi"
+    files = {
+        ".gitignore": "MASTER_CREDENTIALS_*.md\nprivate/\n", "MASTER_CREDENTIALS_2026-07-03T1950Z.md": f"# creds\n\nSUPABASE_ACCESS_TOKEN={tokens[0]}\n", ".hid/secrets.yml": f"access_token: {tokens[1]}\n",
+        "credentials.json": f"ACCESS_TOKEN={tokens[2]}\n" + "# filler\n" * 300_000, "private/.env": f"ACCESS_TOKEN={tokens[3]}\n", "NOTES.md": "".join(f"Deploy used {t} last night\n" for t in tokens),
+    }
+    for k, v in files.items():
+        (root / k).parent.mkdir(parents=True, exist_ok=True)
+        (root / k).write_text(v)
+    r = merge(spark, str(root), str(tmp_path / "gi_merged"))
+    text = open(r.parts[0]).read()
+    assert not [t for t in tokens if t in text] and text.count("Deploy used [REDACTED] last night") == 4
+    assert "## MASTER_CREDENTIALS" not in text and r.merged == 2
+
+
 @pytest.mark.parametrize("form", ["markdown", "documents"])
 def test_round_trip(spark, tree, tmp_path, form):
     r = merge(spark, str(tree), str(tmp_path / "rt_merged"), MergeOptions(format=form, redact=False))
