@@ -1,8 +1,10 @@
 """Personal data and secrets by a skip-chain conditional random field (after Sutton and McCallum, 2004).
 
-Tokens are the runs between white space.  Successive tokens share a potential, and so do distant tokens of one document
-that are the same or similar, which means the same letters and digits in the same order; loopy message passing makes
-their labels agree over the whole document.  So a secret that is named once is found wherever it recurs.
+Tokens are the runs between white space.  Successive tokens share a potential.  All tokens of one document that are the same
+or similar, which means the same letters and digits in the same order, share one factor, however many and far apart they
+are: each is linked to that other one of them that speaks most for an entity.  Recurrences without a name are the same
+evidence again, so they don't outvote it.  Loopy message passing until the messages stand still makes labels agree over
+the whole document.  So a secret that is named once is found wherever it recurs.
 
 Every token of every document is a node of the field.  A token without a digit and without '@' can't be any entity here, so its
 label is known to be O, and it takes part as an observed neighbour only; messages are passed among the other tokens.
@@ -29,7 +31,8 @@ from corpusmill.llm.tokens import as_strings, buffers, pieces
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET")
 #: Documents that the weights are learned from: about so many with any digit or '@', those whose id hashes are lowest.
 TRAIN_DOCS = 3000
-ROUNDS, DAMP = 12, 0.3
+#: A document's messages are passed until none changes by more than STILL; a field that swings without end is left after ROUNDS.
+ROUNDS, DAMP, STILL = 1000, 0.3, 1e-6
 SCHEMA = "n_entities int, entities array<struct<label:string,start:int,end:int>>, redacted string"
 
 _SPACE = np.zeros(256, bool)
@@ -190,43 +193,98 @@ class Field:
         return out
 
 
+def _successive(tokens: list[Token]) -> list[tuple[int, int]]:
+    return [(i, i + 1) for i in range(len(tokens) - 1) if tokens[i + 1].index == tokens[i].index + 1]
+
+
+def _same(t: Token) -> str | None:
+    """What tokens that are linked have in common: their letters and digits, at least six."""
+    k = _ALNUM.sub("", t.core.lower())
+    return k if len(k) >= 6 else None
+
+
 def links(tokens: list[Token]) -> tuple[np.ndarray, np.ndarray]:
-    """(chain, skip) edges: between successive tokens, and from each token to the last one before it with the same letters and digits, of at least six."""
-    chain = [(i, i + 1) for i in range(len(tokens) - 1) if tokens[i + 1].index == tokens[i].index + 1]
+    """(chain, skip) edges: between successive tokens, and from each token to the last one before it with the same letters and digits, of at least six.
+
+    The skip edges are what potentials are counted over; labels are found with ``groups``.
+    """
+    chain = _successive(tokens)
     last: dict[str, int] = {}
     skip = []
     for i, t in enumerate(tokens):
-        k = _ALNUM.sub("", t.core.lower())
-        if len(k) >= 6:
-            if k in last and (last[k], i) not in chain:
+        if (k := _same(t)) is not None:
+            # a chain edge to the token before
+            if k in last and not (last[k] == i - 1 and t.index == tokens[i - 1].index + 1):
                 skip.append((last[k], i))
             last[k] = i
     return np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
 
 
-def marginals(unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int = ROUNDS, damp: float = DAMP) -> np.ndarray:
-    """Label probabilities of each node by loopy sum-product message passing; exact where there is no loop and enough rounds.
+def groups(tokens: list[Token]) -> list[list[int]]:
+    """The tokens with the same letters and digits, of at least six, where there are several."""
+    found: dict[str, list[int]] = {}
+    for i, t in enumerate(tokens):
+        if (k := _same(t)) is not None:
+            found.setdefault(k, []).append(i)
+    return [g for g in found.values() if len(g) > 1]
+
 
-    ``edges`` (a, b), ``potentials`` the log potentials of each edge, by label of a and label of b.  All messages of a round are
-    made at once from those of the round before.
+def marginals(
+    unary: np.ndarray, edges: np.ndarray, potentials: np.ndarray, rounds: int = ROUNDS, damp: float = DAMP,
+    same: list[np.ndarray] | None = None, skip: np.ndarray | None = None, doc: np.ndarray | None = None,
+) -> np.ndarray:
+    """Label probabilities of each node by loopy sum-product message passing; exact where there is no loop and no group of over two.
+
+    ``edges`` (a, b), ``potentials`` the log potentials of each edge, by label of a and label of b.  ``same`` has groups of at
+    least two nodes, no node in two of them; each node's message from its group is the one that the node of the others with the best odds against
+    label 0 sends by ``skip``, which is symmetric.  All messages of a round are made at once from those of the round before.  Each document of
+    ``doc``, by default all nodes, ends when its messages stand still, so that no document's labels depend on another.
     """
     n, labels = unary.shape
-    if not len(edges):
+    same = same or []
+    if not len(edges) and not same:
         return _softmax(unary)
+    doc = np.zeros(n, np.int64) if doc is None else doc
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     pot = np.concatenate([potentials, potentials.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
-    m = np.zeros((len(source), labels))
-    for _ in range(max(rounds, 1)):
-        total = unary.copy()
-        np.add.at(total, target, m)
-        x = (total[source] - m[back])[:, :, None] + pot
+    member = np.concatenate(same) if same else np.zeros(0, np.int64)
+    group = np.repeat(np.arange(len(same)), [len(g) for g in same])
+    m, s = np.zeros((len(source), labels)), np.zeros((len(member), labels))
+    live = np.ones(int(doc.max()) + 1, bool)
+    total = unary.copy()
+    e, o, nodes = np.arange(len(source)), np.arange(len(member)), np.arange(n)
+
+    def send(x: np.ndarray) -> np.ndarray:
         top = x.max(axis=1)
         new = top + np.log(np.exp(x - top[:, None, :]).sum(axis=1))
-        new -= new.max(axis=1, keepdims=True)
-        m = damp * m + (1 - damp) * new
-    total = unary.copy()
-    np.add.at(total, target, m)
+        return new - new.max(axis=1, keepdims=True)
+
+    for _ in range(max(rounds, 1)):
+        moved = np.zeros(len(live))
+        m_new = damp * m[e] + (1 - damp) * send((total[source[e]] - m[back[e]])[:, :, None] + pot[e])
+        np.maximum.at(moved, doc[target[e]], np.abs(m_new - m[e]).max(axis=1))
+        if len(o):
+            own = total[member[o]] - s[o]
+            odds = np.logaddexp.reduce(own[:, 1:], axis=1) - own[:, 0]
+            order = np.lexsort((-odds, group[o]))
+            first = np.flatnonzero(np.diff(group[o], prepend=-1))
+            at = np.cumsum(np.diff(group[o], prepend=-1) > 0) - 1
+            best, second = order[first], order[first + 1]
+            by = np.where(best[at] == np.arange(len(o)), second[at], best[at])
+            s_new = damp * s[o] + (1 - damp) * send(own[by][:, :, None] + skip)
+            np.maximum.at(moved, doc[member[o]], np.abs(s_new - s[o]).max(axis=1))
+            s[o] = s_new
+        m[e] = m_new
+        total[nodes] = unary[nodes]
+        np.add.at(total, target[e], m[e])
+        total[member[o]] += s[o]
+        now = live & (moved > STILL)
+        if not now.any():
+            break
+        if not np.array_equal(now, live):
+            live = now
+            e, o, nodes = e[live[doc[target[e]]]], o[live[doc[member[o]]]], nodes[live[doc[nodes]]]
     return _softmax(total)
 
 
@@ -314,12 +372,11 @@ def label_batch(field: Field, docs: list[list[Token]]) -> list[np.ndarray]:
     """The most probable label of each token of each document; one message passing for all."""
     tokens = [t for ts in docs for t in ts]
     unary = field.scores(tokens)
-    edges, pots = [], []
+    edges, same = [], []
     base = 0
     for ts in docs:
-        for e, p in zip(links(ts), (field.chain, field.skip), strict=True):
-            edges.append(e + base)
-            pots.append(np.broadcast_to(p, (len(e), *p.shape)))
+        edges.append(np.array(_successive(ts), np.int64).reshape(-1, 2) + base)
+        same += [np.array(g) + base for g in groups(ts)]
         # neighbours that are known to be O
         for i, t in enumerate(ts):
             if t.before and (i == 0 or ts[i - 1].index != t.index - 1):
@@ -327,10 +384,14 @@ def label_batch(field: Field, docs: list[list[Token]]) -> list[np.ndarray]:
             if t.after and (i + 1 == len(ts) or ts[i + 1].index != t.index + 1):
                 unary[base + i] += field.chain[:, 0]
         base += len(ts)
-    p = marginals(unary, np.concatenate(edges), np.concatenate(pots)) if docs else unary
+    if not tokens:
+        return [np.zeros(0, np.int64) for _ in docs]
+    chain = np.concatenate(edges)
+    doc = np.repeat(np.arange(len(docs)), [len(ts) for ts in docs])
+    p = marginals(unary, chain, np.broadcast_to(field.chain, (len(chain), *field.chain.shape)), same=same, skip=field.skip, doc=doc)
     best = p.argmax(axis=1)
     ends = np.cumsum([len(ts) for ts in docs])
-    return np.split(best, ends[:-1]) if docs else []
+    return np.split(best, ends[:-1])
 
 
 def entities(tokens: list[Token], labels: np.ndarray) -> list[tuple[str, int, int]]:

@@ -499,6 +499,36 @@ def test_links_make_labels_agree(field):
     assert skip.tolist() == [[0, 1], [1, 2]]
 
 
+@pytest.mark.parametrize("leaning", [1.4, 2.0])
+@pytest.mark.parametrize("named_at", [0, 25, 50])
+def test_named_once_found_everywhere(leaning, named_at):
+    k = len(pii_crf.LABELS)
+    skip = np.where(np.eye(k, dtype=bool), 3.0, -3.0)
+    skip[0, 0] = 1.5
+    bias, named = np.full(k, -9.0), np.zeros(k)
+    bias[0], bias[5], named[5] = 0, -leaning, 8
+    f = pii_crf.Field({"named": named}, bias, np.zeros((k, k)), skip)
+    secret = "deploy-77xq9931zz"
+    bare = [f"then see {secret} again"] * 50
+    text = " ".join([*bare[:named_at], f"password = {secret}", *bare[named_at:]])
+    other = " ".join(bare)
+    docs = [pii_crf.candidates(t) for t in (other, text, other)]
+    got = pii_crf.label_batch(f, docs)
+    assert got[1].tolist() == [5] * 51 and secret not in pii_crf.redact(text, pii_crf.entities(docs[1], got[1]))
+    assert not got[0].any() and not got[2].any()
+
+
+def test_messages_reach_along_a_chain():
+    """Evidence at one end of a long chain."""
+    unary = np.zeros((40, 2))
+    unary[0, 1] = 30
+    edges = np.array([(i, i + 1) for i in range(39)])
+    pot = np.broadcast_to(np.array([[3.0, -3.0], [-3.0, 3.0]]), (39, 2, 2))
+    p = pii_crf.marginals(unary, edges, pot)
+    want = 0.5 + 0.5 * math.tanh(3) ** 39
+    assert abs(p[-1, 1] - want) < 1e-4
+
+
 def test_pii_examples(field):
     f, _ = field
     text = "call +1 (743) 555-3824 or ab.19@mail5.example.com from 76.34.228.86, card 4111111111111111. Version 2.0, license 3. token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\""
