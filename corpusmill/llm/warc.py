@@ -2,7 +2,8 @@
 
 A ``.warc.gz`` file holds one gzip member for each record.  The reader takes the file as a stream: it
 inflates it piece by piece, starts a new inflater where a member ends, cuts records by Content-Length and
-checks digests.  It never holds more than one record and one piece of input.  A file is one unit of work,
+checks digests.  It never holds more than one record and one piece of input.  Behind a bad record it goes back
+to where that one's member starts and takes the next member that begins with a record.  A file is one unit of work,
 as records can only be found by reading from the start; a crawl of many files is read by as many tasks.
 """
 
@@ -36,16 +37,62 @@ class _Members:
 
     def __init__(self, source: IO[bytes]) -> None:
         self.source, self.raw, self.out, self.ended = source, b"", bytearray(), False
-        while len(self.raw) < 2 and (more := source.read(PIECE)):
+        self.base = source.tell() if source.seekable() else None
+        #: Where the current member starts, and how far the source is read, from the base.
+        self.start = self.at = 0
+        while len(self.raw) < 2 and (more := self._read()):
             self.raw += more
         self.gzip = self.raw[:2] == b"\x1f\x8b"
         self.inflater = zlib.decompressobj(31) if self.gzip else None
 
+    def _read(self) -> bytes:
+        data = self.source.read(PIECE)
+        self.at += len(data)
+        return data
+
+    def _seek(self, to: int) -> None:
+        self.source.seek(self.base + to)
+        self.at = to
+
+    def again(self, start: int) -> bool:
+        """Goes to the first member after the offset ``start`` that begins with a record; False if there is none or the source can't go back."""
+        if not self.gzip or self.base is None:
+            return False
+        self._seek(start + 1)
+        held = b""
+        while True:
+            if (i := held.find(b"\x1f\x8b\x08")) < 0:
+                held = held[-2:]
+                if not (more := self._read()):
+                    return False
+                held += more
+                continue
+            here = self.at - len(held) + i
+            if self._begins(here):
+                break
+            self._seek(here + 1)
+            held = b""
+        self._seek(here)
+        self.start, self.raw, self.out, self.ended = here, b"", bytearray(), False
+        self.inflater = zlib.decompressobj(31)
+        return True
+
+    def _begins(self, here: int) -> bool:
+        """Whether the bytes at an offset inflate to the beginning of a record; three bytes may look like a member by chance."""
+        self._seek(here)
+        probe, found = zlib.decompressobj(31), b""
+        try:
+            while len(found) < 5 and not probe.eof and (data := probe.unconsumed_tail or self._read()):
+                found = (found + probe.decompress(data, 16)).lstrip(b"\r\n")
+        except zlib.error:
+            return False
+        return found.startswith(b"WARC/")
+
     def more(self) -> bool:
         """Adds some bytes to ``out``; False at the end."""
         while not self.ended:
             if not self.raw:
-                self.raw = self.source.read(PIECE)
+                self.raw = self._read()
                 if not self.raw:
                     self.ended = True
                     if self.inflater is not None and not self.inflater.eof:
@@ -59,7 +106,7 @@ class _Members:
                 self.raw = self.raw.lstrip(b"\0")
                 if not self.raw:
                     continue
-                self.inflater = zlib.decompressobj(31)
+                self.inflater, self.start = zlib.decompressobj(31), self.at - len(self.raw)
             data = self.inflater.decompress(self.raw, PIECE * 16)
             self.raw = self.inflater.unused_data if self.inflater.eof else self.inflater.unconsumed_tail
             if data:
@@ -95,6 +142,13 @@ class _Members:
             if self.out or not self.more():
                 return
 
+    def at_record(self) -> bool:
+        """Whether a record or the end comes next."""
+        self.skip_newlines()
+        while len(self.out) < 5 and self.more():
+            pass
+        return not self.out or self.out.startswith(b"WARC/")
+
 
 def _digest_ok(wanted: str | None, block: bytes) -> bool | None:
     """Whether the block has this digest (sha1, sha256 or md5, in base 32 or hex); None if there is none to check."""
@@ -112,14 +166,16 @@ def read_records(source: IO[bytes]) -> Iterator[dict]:
     """The records of one WARC stream in their order.
 
     Each has ``record`` (its number from 0), ``headers`` (names in lower case), ``payload`` and ``digest_ok`` (None without a
-    digest).  Where the stream is broken a last record with ``error`` says so, and reading ends: what comes after can't
-    be framed.  An empty stream has no records.
+    digest).  Where the stream is broken a record with ``error`` says so, and reading goes on at the next gzip member that begins
+    with a record; members between them that don't inflate even to its first bytes are part of the same error.  Without
+    gzip, or where the source can't seek, reading ends there: what comes after can't be framed.  An empty stream has no records.
     """
-    n = 0
-    try:
-        members = _Members(source)
-        while True:
+    members, n = _Members(source), 0
+    while True:
+        at = None
+        try:
             members.skip_newlines()
+            at = members.start
             head = members.until(b"\r\n\r\n", MOST_HEADER)
             if head is None:
                 if bytes(members.out).strip(b"\r\n\0"):
@@ -141,10 +197,19 @@ def read_records(source: IO[bytes]) -> Iterator[dict]:
             if not length.isdigit():
                 raise ValueError("a record has no Content-Length")
             block = members.take(int(length))
-            yield {"record": n, "headers": headers, "payload": block, "digest_ok": _digest_ok(headers.get("warc-block-digest") or headers.get("warc-payload-digest"), block), "error": None}
+            ok = _digest_ok(headers.get("warc-block-digest") or headers.get("warc-payload-digest"), block)
+            # a wrong length would take the records of the next members for its own
+            if members.start != at and not ok and (ok is False or not members.at_record()):
+                raise ValueError("a record runs beyond its gzip member")
+            row = {"record": n, "headers": headers, "payload": block, "digest_ok": ok, "error": None}
+        except (ValueError, zlib.error) as e:
+            yield {"record": n, "headers": {}, "payload": None, "digest_ok": None, "error": str(e)}
             n += 1
-    except (ValueError, zlib.error) as e:
-        yield {"record": n, "headers": {}, "payload": None, "digest_ok": None, "error": str(e)}
+            if not members.again(members.start if at is None else at):
+                return
+            continue
+        yield row
+        n += 1
 
 
 def record_bytes(payload: bytes, uri: str | None, kind: str = "resource", record_id: str | None = None, date: str = "1970-01-01T00:00:00Z", extra: dict[str, str] | None = None) -> bytes:
@@ -191,7 +256,7 @@ class _WarcReader(DataSourceReader):
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:
         fs, _ = filesystem(self.path)
-        with fs.open_input_stream(partition.path, compression=None) as stream:
+        with fs.open_input_file(partition.path) as stream:
             rows: list[dict] = []
             held = 0
             for r in read_records(stream):
@@ -221,7 +286,7 @@ def _batch(path: str, rows: list[dict]) -> pa.RecordBatch:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files at ``path``; a broken file gives its sound records and one row with ``error``."""
+    """The records of all WARC files at ``path``; a broken file gives its sound records and a row with ``error`` for each bad one, as ``read_records`` says."""
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").load(path)
 

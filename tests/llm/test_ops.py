@@ -132,6 +132,36 @@ def test_warc_broken():
     assert len(list(warc.read_records(Slow(one + two)))) == 2
 
 
+def test_warc_goes_on_after_bad_records(spark, tmp_path):
+    r = random.Random(5)
+    many = [warc.record_bytes(f"page {i} ".encode() + r.randbytes(3000), f"u{i}", record_id=f"<{i}>") for i in range(8)]
+    # inside a member that looks like one
+    many[3] = warc.record_bytes(b"x" + b"\x1f\x8b\x08" * 3 + r.randbytes(500), "u3", record_id="<3>")
+
+    def flipped(m, at):
+        return m[:at] + bytes([m[at] ^ 0xFF]) + m[at + 1 :]
+
+    def relength(m, to):
+        return gzip.compress(re.sub(rb"Content-Length: \d+", b"Content-Length: %d" % to, gzip.decompress(m)))
+
+    undigested = gzip.compress(re.sub(rb"WARC-Block-Digest: .*\r\n", b"", gzip.decompress(many[2])))
+    cases = {
+        "header": flipped(many[2], 0), "checksum": flipped(many[2], -6 % len(many[2])), "cut": many[2][:-900], "no record": gzip.compress(b"garbage " * 9),
+        "long": relength(many[2], 7000), "long, no digest": relength(undigested, 7000), "no length": gzip.compress(gzip.decompress(many[2]).replace(b"Content-Length", b"Content-Longth")),
+    }
+    for name, bad in cases.items():
+        got = warc.records_of(b"".join([*many[:2], bad, *many[3:5], bad, *many[6:]]))
+        sound = [x["headers"]["warc-record-id"] for x in got if x["digest_ok"]]
+        assert [x for x in sound if x not in ("<2>", "<5>")] == ["<0>", "<1>", "<3>", "<4>", "<6>", "<7>"], name
+        assert sum(x["error"] is not None for x in got) == 2 and [x["record"] for x in got] == list(range(len(got))), name
+    (tmp_path / "a.warc.gz").write_bytes(b"".join([*many[:2], cases["cut"], *many[3:]]))
+    got = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    assert [x.uri for x in got if x.error is None] == ["u0", "u1", "u3", "u4", "u5", "u6", "u7"] and sum(x.error is not None for x in got) == 1
+    # a record in two members
+    whole = gzip.decompress(undigested)
+    assert [x["error"] for x in warc.records_of(gzip.compress(whole[:600]) + gzip.compress(whole[600:]) + many[4])] == [None, None]
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0
