@@ -108,10 +108,10 @@ def known_in_few(tokens: DataFrame, blocks: DataFrame, known: DataFrame, most: i
 def propagate(blocks: DataFrame, secrets: DataFrame, text: str = "text", into: str = "text") -> DataFrame:
     """``blocks`` with every known secret masked wherever it occurs, the longest first, and of the same length in their order.
 
-    Up to FOLD_SECRETS secrets are a fold of replacements in the JVM; more are found by one automaton in Arrow batches, which
-    reads each text once however many they are, leftmost-longest.
+    Each is replaced over the whole text before the next one is looked for.  Up to FOLD_SECRETS secrets are a fold of
+    replacements in the JVM; of more, one automaton in Arrow batches finds those that a text has, and only they are replaced, in the same order.
     """
-    order = secrets.select("token").distinct().orderBy(F.octet_length("token").desc(), "token")
+    order = secrets.select("token").where("token <> ''").distinct().orderBy(F.octet_length("token").desc(), "token")
     some = [r[0] for r in order.limit(FOLD_SECRETS + 1).collect()]
     if len(some) <= FOLD_SECRETS:
         out = F.col(text)
@@ -125,18 +125,19 @@ def propagate(blocks: DataFrame, secrets: DataFrame, text: str = "text", into: s
         import ahocorasick
 
         a = ahocorasick.Automaton()
-        for s in shared.value:
-            a.add_word(s, len(s))
+        for i, s in enumerate(shared.value):
+            a.add_word(s, i)
         a.make_automaton()
+        # what a mask and the text beside it may make up, so that the text before masking doesn't tell
+        ends = [MASK[:i] for i in range(1, len(MASK))], [MASK[i:] for i in range(1, len(MASK))]
+        made = {i for i, s in enumerate(shared.value) if s in MASK or MASK in s or s.endswith(tuple(ends[0])) or s.startswith(tuple(ends[1]))}
 
         def one(t: str | None) -> str | None:
             if t is None:
                 return None
-            out, at = [], 0
-            for end, n in a.iter_long(t):
-                out += [t[at : end + 1 - n], MASK]
-                at = end + 1
-            return "".join([*out, t[at:]])
+            for i in sorted({i for _, i in a.iter(t)} | made):
+                t = t.replace(shared.value[i], MASK)
+            return t
 
         return texts.map(one)
 

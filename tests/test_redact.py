@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -71,6 +73,25 @@ def test_propagation(spark):
     assert {r.id: r.text for r in O.propagate(blocks, many).collect()} == want
 
 
+def test_propagation_at_every_number(spark, monkeypatch):
+    """Overlapping secrets, and those that a mask makes, on both sides of the limit."""
+    r = random.Random(4)
+    texts = ["abcdefgh", "xxabcdefghcd", "b1234567", "REDACTED", None, *("".join(r.choice("abc[R]") for _ in range(60)) for _ in range(30))]
+    tokens = ["abcd", "cdefgh", "1234567", "b[RED", "]ca", *sorted({"".join(r.choice("abc[R]") for _ in range(r.randrange(2, 6))) for _ in range(60)})]
+    blocks = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+
+    def want(t, known):
+        for s in sorted(known, key=lambda s: (-len(s), s)):
+            t = t if t is None else t.replace(s, MASK)
+        return t
+
+    some = tokens[:25]
+    for limit in (len(some), len(some) - 1):
+        monkeypatch.setattr(O, "FOLD_SECRETS", limit)
+        got = O.propagate(blocks, spark.createDataFrame([(s,) for s in some], "token string")).collect()
+        assert {x.id: x.text for x in got} == {i: want(t, some) for i, t in enumerate(texts)}
+
+
 def test_redact_column(spark):
     df = spark.createDataFrame([(1, f"a {TOKEN} b"), (2, "clean"), (3, None), (4, "")], "id int, text string")
     got = {r.id: r.r for r in df.select("id", R.redacted(df.text).alias("r")).collect()}
