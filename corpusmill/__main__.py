@@ -21,6 +21,8 @@ def main(args: list[str] | None = None) -> int:
     m.add_argument("--format")
     m.add_argument("--ordering")
     m.add_argument("--tokens", type=int)
+    m.add_argument("--git-diff", action="store_true", default=None)
+    m.add_argument("--git-log", type=int, metavar="N")
     g = sub.add_parser("map")
     g.add_argument("source")
     g.add_argument("--tokens", type=int, default=1024)
@@ -64,7 +66,7 @@ def main(args: list[str] | None = None) -> int:
     if o.command == "map":
         print(repo_map(spark, root, o.tokens, options))
     else:
-        given = {k: v for k, v in (("format", o.format), ("ordering", o.ordering), ("token_budget", o.tokens)) if v is not None}
+        given = {k: v for k, v in (("format", o.format), ("ordering", o.ordering), ("token_budget", o.tokens), ("git_diff", o.git_diff), ("git_log", o.git_log)) if v is not None}
         r = merge(spark, root, o.out, replace(PRESETS[o.preset], **given), options)
         print(f"merged {r.merged} of {r.files} files, ~{r.tokens} tokens, {r.secrets} secrets masked:", *r.parts)
     if held:

@@ -23,6 +23,7 @@ from corpusmill.operators import slim as S
 from corpusmill.operators.classify import ScanOptions, name_verdict, sensitive_reason
 from corpusmill.plans import render
 from corpusmill.plans.storage import checkpoint
+from corpusmill.sources import remote
 from corpusmill.sources.bytes import decoded, text_like
 from corpusmill.sources.tree import check_root, read_credentials, read_tree
 
@@ -47,6 +48,9 @@ class MergeOptions:
     token_budget: int | None = None
     selection: tuple[str, ...] | None = None
     forced: tuple[str, ...] = ()
+    #: Sections of git at the end: the uncommitted changes, and so many of the last commits.
+    git_diff: bool = False
+    git_log: int = 0
 
 
 PRESETS = {
@@ -80,8 +84,25 @@ def scan(spark: SparkSession, root: str, scan_options: ScanOptions = ScanOptions
     return files.select("rel", "name", "size", "content", verdict.alias("verdict"), reason.alias("reason"))
 
 
+def git_sections(root: str, options: MergeOptions) -> tuple[list[tuple[str, str, str]], list[tuple[str, str]]]:
+    """(name, lang, text) of the sections of git asked for, and (name, reason) of those there is nothing for."""
+    found, skips = [], []
+    if options.git_diff:
+        text, note = remote.git_diff(root)
+        found += [("GIT DIFF (working tree vs HEAD)", "diff", text)] if text else []
+        skips += [] if text else [("GIT DIFF", note)]
+    if options.git_log > 0:
+        text, note = remote.git_log(root, options.git_log)
+        found += [(f"GIT LOG (last {options.git_log} commits)", "", text)] if text else []
+        skips += [] if text else [("GIT LOG", note or "no commits")]
+    return found, skips
+
+
 def blocks(spark: SparkSession, root: str, options: MergeOptions = MergeOptions(), scan_options: ScanOptions = ScanOptions()) -> tuple[DataFrame, DataFrame]:
-    """(blocks, skips): (rel, lang, text, tokens, note, events, compressed) of the files merged, and (rel, reason) of the rest."""
+    """(blocks, skips): (rel, lang, text, tokens, note, events, compressed, git) of the files merged, and (rel, reason) of the rest.
+
+    Sections of git are blocks as well, with ``git`` their number from 1, 0 for files; they are masked as files are.
+    """
     scanned = scan(spark, root, scan_options)
     if options.selection is not None:
         chosen = spark.createDataFrame([(r,) for r in options.selection], "rel string")
@@ -101,9 +122,13 @@ def blocks(spark: SparkSession, root: str, options: MergeOptions = MergeOptions(
         body = T.omit_base64(body)
     if options.drop_blank_lines:
         body = T.drop_blank_lines(body)
-    made = slimmed.select("rel", "lang", "note", body.alias("text"), F.col("s.compressed").alias("compressed"))
+    made = slimmed.select("rel", "lang", "note", body.alias("text"), F.col("s.compressed").alias("compressed"), F.lit(0).alias("git"))
+    sections, missing = git_sections(root, options)
+    if sections:
+        rows = [(name, lang, None, t, False, i + 1) for i, (name, lang, t) in enumerate(sections)]
+        made = made.unionByName(spark.createDataFrame(rows, "rel string, lang string, note string, text string, compressed boolean, git int"))
     if options.redact:
-        made = made.withColumn("r", R.redacted(F.col("text"))).select("rel", "lang", "note", "compressed", F.col("r.text").alias("text"), F.col("r.events").alias("events"))
+        made = made.withColumn("r", R.redacted(F.col("text"))).select("rel", "lang", "note", "compressed", "git", F.col("r.text").alias("text"), F.col("r.events").alias("events"))
         made = checkpoint(made)
         stores = scanned.where(sensitive_reason("name").isNotNull() & F.col("content").isNotNull()).select(decoded("content")["text"].alias("raw"))
         # those that the scan passes over, by ignore files, hidden folders or size, are never merged but learned from
@@ -122,6 +147,8 @@ def blocks(spark: SparkSession, root: str, options: MergeOptions = MergeOptions(
         made = made.withColumn("events", F.array().cast(R.EVENTS))
     made = checkpoint(made.withColumn("tokens", T.token_estimate("text")))
     skips = scanned.where("verdict <> 'text'").select("rel", "reason").union(text.where("dense").select("rel", F.lit(DENSE_REASON)))
+    if missing:
+        skips = skips.union(spark.createDataFrame(missing, "rel string, reason string"))
     return made, skips
 
 
@@ -129,8 +156,8 @@ def merge(spark: SparkSession, root: str, out: str, options: MergeOptions = Merg
     """Writes the merge of a tree to ``out`` (a path without extension) and its parts, and returns its totals."""
     root = check_root(root)
     made, skips = blocks(spark, root, options, scan_options)
-    order = O.read_order(options.ordering)
-    packed = O.pack(made, options.token_budget or 1 << 60, *order)
+    order = [F.col("git"), *O.read_order(options.ordering)]
+    packed = O.pack(made, options.token_budget or 1 << 60, *order).join(made.select("rel", "git"), "rel")
     ordered = made.join(packed.select("rel", "part"), "rel").withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy(*order)))
     section = {
         "markdown": render.markdown_section("rel", "lang", "text"),

@@ -77,6 +77,26 @@ def test_formats_and_parts(spark, tree, tmp_path):
     assert "fn main() { ... }" in text and "// hi" not in text and r.merged == 2 and r.compressed == 1
 
 
+def test_git_sections(spark, tree, tmp_path):
+    """Uncommitted changes and commits at the end, masked like files."""
+    wanted = MergeOptions(git_diff=True, git_log=3, ordering="important-last")
+    r = merge(spark, str(tree), str(tmp_path / "g0_merged"), wanted)
+    assert dict(r.skips)["GIT DIFF"] == dict(r.skips)["GIT LOG"] == "not a git repository" and r.merged == 5
+    git = lambda *a: subprocess.run(["git", "-C", str(tree), "-c", "user.name=a", "-c", "user.email=a@b.c", *a], check=True, capture_output=True)
+    git("init", "-q")
+    git("add", ".")
+    git("commit", "-qm", "rotated rN7vB2#mQ9")
+    other = "ghp_" + "z9Y8x7W6v5U4" * 3
+    (tree / "src/core.rs").write_text(f"pub fn core() -> u8 {{ 2 }}\n// {other} rN7vB2#mQ9\n")
+    r = merge(spark, str(tree), str(tmp_path / "g_merged"), wanted)
+    text = open(r.parts[0]).read()
+    assert other not in text and "rN7vB2#mQ9" not in text and "+pub fn core() -> u8 { 2 }" in text and r.merged == 7
+    diff, log = text.index("\n## GIT DIFF (working tree vs HEAD)\n"), text.index("\n## GIT LOG (last 3 commits)\n")
+    assert text.index("\n## README.md\n") < diff < log and text.index("\n## src/config.py\n") < diff and "rotated [REDACTED]" in text[log:]
+    r = merge(spark, str(tree), str(tmp_path / "p_merged"), replace(wanted, token_budget=20))
+    assert "GIT LOG" in open(r.parts[-1]).read()
+
+
 def test_map(spark, tree):
     text = repo_map(spark, str(tree))
     assert "src/core.rs:\n│ pub fn core() -> u8" in text and text.index("src/core.rs") < text.index("src/main.rs")
