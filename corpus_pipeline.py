@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm.common import table, written
 from corpusmill.llm.decontam import decontaminate, sql_leaks
-from corpusmill.llm.jaccard_join import one_of_each, sql_pairs
+from corpusmill.llm.jaccard_join import one_of_each, sql_classes
 from corpusmill.llm.mixing import mix, sql_mix
 from corpusmill.llm.perplexity import keep_good, sql_judge
 from corpusmill.llm.sharding import SHARDS, assign_shards, sql_jump
@@ -64,10 +64,8 @@ _SAME = "doc_id IS NULL OR doc_id NOT IN"
 #: DuckDB SQL for the rows of ``run``.
 ORACLE_SQL = f"""WITH RECURSIVE {sql_judge("documents", "judged")},
 good AS MATERIALIZED (SELECT * FROM documents WHERE {_SAME} (SELECT doc_id FROM judged WHERE NOT keep AND doc_id IS NOT NULL)),
-{sql_pairs("good", "near")},
-links AS MATERIALIZED (SELECT doc_id AS a, other_id AS b FROM near),
-reach(a, b) AS (SELECT a, b FROM links UNION SELECT b, a FROM links UNION SELECT r.a, e.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON e.a = r.b),
-one AS MATERIALIZED (SELECT * FROM good WHERE {_SAME} (SELECT a FROM reach WHERE b < a)),
+{sql_classes("good", "near")},
+one AS MATERIALIZED (SELECT * FROM good WHERE {_SAME} (SELECT doc_id FROM near WHERE doc_id <> class_id)),
 {sql_leaks("one", "leaks")},
 clean AS MATERIALIZED (SELECT * FROM one WHERE {_SAME} (SELECT doc_id FROM leaks WHERE doc_id IS NOT NULL)),
 {sql_mix("clean", "mixed")},

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -40,19 +41,95 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of tables that results may still read; they go when the driver ends.
+_LEFT: set[str] = set()
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read again: lineage ends there and a lost executor loses nothing."""
+    """``df`` as a table in the shared folder, read again: lineage ends there and a lost executor loses nothing.
+
+    The shuffle files that went into it are freed at once.  The table goes when the driver ends; one that is needed for a
+    shorter time is made by a Workspace.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    _LEFT.add(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(path: str) -> None:
+    fs, at = filesystem(path)
+    try:
+        fs.delete_dir(at)
+    except OSError:
+        pass
+    _LEFT.discard(path)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_LEFT):
+        _remove(path)
+
+
+class Workspace:
+    """Intermediate tables: ``written`` ones are deleted where the ``with`` block ends, ``kept`` ones stay for the result."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths:
+            _remove(path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        before = set(_LEFT)
+        out = written(df, name)
+        self.paths += _LEFT - before
+        return out
+
+    @staticmethod
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return written(df, name)
+
+    def drop(self, *names: str) -> None:
+        """Deletes the tables of these names that are no longer read."""
+        gone = [p for p in self.paths if p.rsplit("/", 1)[-1].rpartition("-")[0] in names]
+        self.paths = [p for p in self.paths if p not in gone]
+        for p in gone:
+            _remove(p)
+
+
 def checked_broadcast(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows, else as it is: the join then shuffles."""
     n = df.count() if rows is None else rows
     return F.broadcast(df) if n <= most else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name beginning with ``name`` that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame, id: str = "doc_id", rows: int | None = None) -> DataFrame:
+    """``docs`` without the rows whose ``id`` is in the only column of ``gone``; null ids stay, and columns may have any names."""
+    name = fresh(docs, "gone")
+    return docs.join(checked_broadcast(gone.toDF(name), rows), F.col(name) == docs[id], "left_anti")
+
+
 def hash60(*parts: Column | str) -> Column:
     """A stable non-negative 60-bit hash of the parts' text, nulls as empty; in SQL the first 15 hex digits of the md5 of the parts joined by '|'."""
     text = F.concat_ws("|", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts])

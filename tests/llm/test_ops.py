@@ -17,6 +17,7 @@ import pytest
 from oracle import expected, rows
 
 from corpusmill.llm import chat, decontam, html_extract, jaccard_join, mixing, perplexity, pii_crf, quality_rules, sharding, warc
+from corpusmill.llm.common import Workspace
 from corpusmill.llm.queries import QUERIES, SQL
 from corpusmill.llm.tokens import word_hash, words
 
@@ -344,36 +345,81 @@ def test_jaccard_recall(spark, prose_of):
     assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 100
 
 
-def test_jaccard_heavy_tokens(spark, prose_of, monkeypatch):
-    """Many variants of one text and many texts with one long header, with the heavy limit far below their number."""
-    monkeypatch.setattr(jaccard_join, "HEAVY", 5)
+def slow_classes(docs, threshold=0.5):
+    """(doc_id, class_id, links) by comparing all documents."""
+    near = {(a, b) for a, b, _ in slow_pairs(docs, threshold)}
+    links = Counter(x for p in near for x in p)
+    root = {x: x for x in links}
+    while any(root[a] != root[b] for a, b in near):
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+    return {(d, root[d], n) for d, n in links.items()}
+
+
+def test_jaccard_large_groups(spark, prose_of, monkeypatch):
+    """Many variants of one text and many texts with one long header, in groups far larger than a block."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4000)
     monkeypatch.setattr(jaccard_join, "ROWS", 16)
     monkeypatch.setattr(jaccard_join, "CELLS", 2000)
     base, head = prose_of(120, 5).split(), prose_of(30, 6)
     r = random.Random(3)
     docs = [(i, " ".join(w if r.random() > 0.04 else f"v{i}" for w in base)) for i in range(60)]
+    docs += [(70 + i, docs[i][1]) for i in (3, 3, 9)] + [(80, docs[3][1])]
     docs += [(100 + i, head + " " + prose_of(r.choice([5, 10, 40]), 900 + i)) for i in range(40)]
+    docs += [(200 + i, prose_of(100, 9) + " " + prose_of(90 * (i % 2), 950 + i)) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
     want = slow_pairs(docs)
+    got = [tuple(x) for x in jaccard_join.similar_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.98 * len(want) and len(want) > 1000
+    near, classes = Counter(x for a, b, _ in got for x in (a, b)), {tuple(x) for x in jaccard_join.linked(df).collect()}
+    assert {d: n for d, _, n in classes} == near
+    assert {d: c for d, c, _ in classes} == {d: c for d, c, _ in slow_classes(docs)}
+
+
+def test_jaccard_thresholds(spark, prose_of):
+    for t in (0.3, 0.8, 1.0):
+        docs = corpus(prose_of, 7, 12)
+        want = slow_pairs(docs, t)
+        got = {tuple(x) for x in jaccard_join.similar_pairs(spark.createDataFrame(docs, "doc_id long, text string"), t).collect()}
+        assert got <= want and len(got) >= 0.98 * len(want)
+    assert jaccard_join.needs(0.5)[:4] == [1, 1, 1, 1] and jaccard_join.needs(0.5)[47] == 13 and jaccard_join.needs(1.0)[9] == 10
+
+
+def test_jaccard_small_sets(spark, prose_of):
+    """Texts of a few words, which are sampled whole: no pair is missed."""
+    words_ = prose_of(4, 8).split()
+    r = random.Random(11)
+    docs = [(i, " ".join(r.choice(words_) for _ in range(r.randrange(1, 9)))) for i in range(150)]
     got = {tuple(x) for x in jaccard_join.similar_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got <= want and len(got) >= 0.97 * len(want) and len(want) > 1000
+    assert got == slow_pairs(docs) and len(got) > 50
 
 
 def test_jaccard_without_broadcast(spark, prose_of, monkeypatch):
     monkeypatch.setattr(jaccard_join, "JOBS", 0)
     docs = corpus(prose_of, 4, 10)
-    assert {tuple(x) for x in jaccard_join.similar_pairs(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == slow_pairs(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(x) for x in jaccard_join.similar_pairs(df).collect()} == slow_pairs(docs)
+    assert {tuple(x) for x in jaccard_join.linked(df).collect()} == slow_classes(docs)
 
 
 def test_jaccard_awkward(spark, awkward, nothing):
     assert {tuple(r) for r in jaccard_join.similar_pairs(awkward).collect()} == {(1, 2, 1.0)}
+    assert {tuple(r) for r in jaccard_join.linked(awkward).collect()} == {(1, 1, 1), (2, 1, 1)}
     kept = jaccard_join.one_of_each(awkward)
     assert kept.columns == awkward.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted("1 1 3 4 None 5 6 7 8 9 10".split())
-    assert jaccard_join.similar_pairs(nothing).count() == 0 and jaccard_join.one_of_each(nothing).count() == 0
+    assert jaccard_join.similar_pairs(nothing).count() == 0 and jaccard_join.one_of_each(nothing).count() == 0 and jaccard_join.linked(nothing).count() == 0
+
+
+def test_jaccard_id_with_two_texts(spark, prose_of):
+    a, b = prose_of(40, 1), prose_of(40, 2)
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, b)], "doc_id long, text string")
+    assert sorted(tuple(x) for x in jaccard_join.linked(df).collect()) == [(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (4, 1, 2)]
 
 
 def test_components(spark):
     pairs = spark.createDataFrame([(i, i + 1, 1, 1) for i in range(1, 30)] + [(50, 51, 1, 1)], "a long, b long, shared long, total long")
-    assert {r.root for r in jaccard_join.components(pairs).collect()} == {1, 50}
+    with Workspace() as w:
+        assert {r.root for r in jaccard_join.components(pairs, w).collect()} == {1, 50}
 
 
 # ---- 2 perplexity
