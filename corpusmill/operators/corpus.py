@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,14 +11,15 @@ from pyspark.sql.window import Window
 from corpusmill.functions import names as N
 from corpusmill.functions.text import MASK, entry_rank
 from corpusmill.functions.udf import vectorized
+from corpusmill.operators.order import fresh, numbered, pack, pack_best  # noqa: F401
 
 #: A bare token found in more blocks than this is a name, not a secret.
 MOST_BLOCKS = 8
 #: Names defined by more files than this link nothing; a file's references to one name count so often at most.
 MOST_DEFINERS, MOST_WEIGHT = 5, 5
 DAMPING, ROUNDS = 0.85, 30
-#: Secrets up to which they are replaced by a fold over a broadcast array; beyond that by a search automaton.
-FOLD_SECRETS = 200
+#: Bytes of secrets that are broadcast at a time; more of them are masked in several passes.
+SECRET_BYTES = 16 << 20
 
 
 def select_files(files: DataFrame, selection: DataFrame) -> DataFrame:
@@ -48,41 +50,6 @@ def read_order(ordering: str, rel: str = "rel") -> list[Column]:
     raise ValueError(f"unknown ordering {ordering}")
 
 
-def pack(blocks: DataFrame, budget: int, *order: Column, tokens: str = "tokens", rel: str = "rel") -> DataFrame:
-    """(rel, tokens, part): blocks in their order, a new part where the next one would exceed the budget; a larger block is alone.
-
-    The sum starts anew with each part, so it is a fold and no running sum.  It runs over (rel, tokens) in one array: a pass
-    over a list of names, never over contents.  All is one part if it fits.
-    """
-    w = Window.orderBy(*order)
-    numbered = blocks.withColumn("ord", F.row_number().over(w)).select("ord", rel, tokens)
-    listed = numbered.agg(F.sort_array(F.collect_list(F.struct("ord", rel, tokens))).alias("l"), F.sum(tokens).alias("total"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.lit(1).alias("part"), F.array().cast("array<int>").alias("parts"))
-
-    def step(s: Column, x: Column) -> Column:
-        t = x[tokens].cast("bigint")
-        new = (s["used"] > 0) & (s["used"] + t > budget)
-        part = F.when(new, s["part"] + 1).otherwise(s["part"])
-        return F.struct(F.when(new, t).otherwise(s["used"] + t).alias("used"), part.alias("part"), F.concat(s["parts"], F.array(part)).alias("parts"))
-
-    parts = F.when(F.col("total") > budget, F.aggregate("l", start, step)["parts"]).otherwise(F.transform("l", lambda _: F.lit(1)))
-    return listed.select(F.explode(F.arrays_zip(F.col("l"), parts.alias("p"))).alias("x")).select(F.col(f"x.l.{rel}").alias(rel), F.col(f"x.l.{tokens}").alias(tokens), F.col("x.p").alias("part"))
-
-
-def pack_best(items: DataFrame, budget: int, *order: Column, cost: str = "cost") -> DataFrame:
-    """The items taken in their order while they fit; one that doesn't fit is passed over and the next one tried."""
-    w = Window.orderBy(*order)
-    listed = items.withColumn("__ord", F.row_number().over(w)).agg(F.sort_array(F.collect_list(F.struct("__ord", *items.columns))).alias("l"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("taken"))
-
-    def step(s: Column, x: Column) -> Column:
-        fits = s["used"] + x[cost] <= budget
-        return F.struct(F.when(fits, s["used"] + x[cost]).otherwise(s["used"]).alias("used"), F.when(fits, F.concat(s["taken"], F.array(x["__ord"]))).otherwise(s["taken"]).alias("taken"))
-
-    taken = F.aggregate("l", start, step)["taken"]
-    return listed.select(F.explode("l").alias("x"), taken.alias("t")).where(F.array_contains("t", F.col("x.__ord"))).select("x.*").drop("__ord")
-
-
 def roll_up(files: DataFrame, rel: str = "rel", tokens: str = "tokens") -> DataFrame:
     """(dir, files, tokens) of each folder, over all that is under it; '' is the root."""
     parts = F.split(rel, "/")
@@ -99,49 +66,117 @@ def tri_state(files: DataFrame, excluded: Column, rel: str = "rel") -> DataFrame
 
 
 def known_in_few(tokens: DataFrame, blocks: DataFrame, known: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:
-    """Bare tokens, not known yet, that are part of 1 to ``most`` blocks."""
-    fresh = tokens.select("token").distinct().join(known.select("token").distinct(), "token", "left_anti")
-    hits = blocks.select("rel", "text").join(fresh, F.contains("text", F.col("token")))
-    return hits.groupBy("token").agg(F.countDistinct("rel").alias("blocks")).where(F.col("blocks").between(1, most))
-
+    """(token, blocks): bare tokens, not known yet, that are part of 1 to ``most`` blocks.
 
-def propagate(blocks: DataFrame, secrets: DataFrame, text: str = "text", into: str = "text") -> DataFrame:
+    One pass over the blocks finds all tokens at once by a search automaton and gives (token, rel), which is then counted.
+    The tokens are broadcast, at most SECRET_BYTES at a time; more of them take more passes.
+    """
+    fresh_ = tokens.select("token").where("token <> ''").distinct().join(known.select("token").distinct(), "token", "left_anti")
+    base = blocks.select("rel", "text").where("text IS NOT NULL")
+    found: DataFrame | None = None
+    shard: list[str] = []
+    held = 0
+
+    def hits() -> DataFrame:
+        got = base.select("rel", F.explode(_found(base.sparkSession, shard, F.col("text"))).alias("token"))
+        return got if found is None else found.union(got)
+
+    for row in fresh_.toLocalIterator():
+        size = len(row.token.encode())
+        if shard and held + size > SECRET_BYTES:
+            found = hits()
+            shard, held = [], 0
+        shard.append(row.token)
+        held += size
+    found = hits()
+    return found.distinct().groupBy("token").agg(F.count(F.lit(1)).alias("blocks")).where(F.col("blocks").between(1, most))
+
+
+def _found(spark: SparkSession, tokens: list[str], text: Column) -> Column:
+    """Which of these tokens are part of the text."""
+    shared = spark.sparkContext.broadcast(tokens)
+    held: list = []
+
+    @vectorized("array<string>")
+    def found(texts: pd.Series) -> pd.Series:
+        if not held:
+            import ahocorasick
+
+            a = ahocorasick.Automaton()
+            for i, s in enumerate(shared.value):
+                a.add_word(s, i)
+            a.make_automaton()
+            held.append(a)
+        return texts.map(lambda t: [shared.value[i] for i in sorted({i for _, i in held[0].iter(t)})] if shared.value else [])
+
+    return found(text)
+
+
+def propagate(blocks: DataFrame, secrets: DataFrame, text: str = "text", into: str = "text", hits: str | None = None) -> DataFrame:
     """``blocks`` with every known secret masked wherever it occurs, the longest first, and of the same length in their order.
 
-    Each is replaced over the whole text before the next one is looked for.  Up to FOLD_SECRETS secrets are a fold of
-    replacements in the JVM; of more, one automaton in Arrow batches finds those that a text has, and only they are replaced, in the same order.
+    Each is replaced over the whole text before the next one is looked for, so a secret that only a mask makes up is found as
+    well.  ``hits`` names a column for the number of occurrences that were masked.  The secrets are broadcast in that order, at most
+    SECRET_BYTES of them at a time, each time to one search automaton in Arrow batches; between such passes the blocks are checkpointed.
     """
+    from corpusmill.plans.storage import checkpoint
+
     order = secrets.select("token").where("token <> ''").distinct().orderBy(F.octet_length("token").desc(), "token")
-    some = [r[0] for r in order.limit(FOLD_SECRETS + 1).collect()]
-    if len(some) <= FOLD_SECRETS:
-        out = F.col(text)
-        for s in some:
-            out = F.replace(out, F.lit(s), F.lit(MASK))
-        return blocks.withColumn(into, out)
-    shared = blocks.sparkSession.sparkContext.broadcast([r[0] for r in order.toLocalIterator()])
-
-    @vectorized("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        a = ahocorasick.Automaton()
-        for i, s in enumerate(shared.value):
-            a.add_word(s, i)
-        a.make_automaton()
-        # what a mask and the text beside it may make up, so that the text before masking doesn't tell
-        ends = [MASK[:i] for i in range(1, len(MASK))], [MASK[i:] for i in range(1, len(MASK))]
-        made = {i for i, s in enumerate(shared.value) if s in MASK or MASK in s or s.endswith(tuple(ends[0])) or s.startswith(tuple(ends[1]))}
-
-        def one(t: str | None) -> str | None:
-            if t is None:
-                return None
-            for i in sorted({i for _, i in a.iter(t)} | made):
-                t = t.replace(shared.value[i], MASK)
-            return t
-
-        return texts.map(one)
-
-    return blocks.withColumn(into, masked(text))
+    made, n = fresh(blocks, "made"), fresh(blocks, "n")
+    out = blocks.withColumn(made, F.col(text)).withColumn(n, F.lit(0))
+    shard: list[str] = []
+    held = passes = 0
+
+    def masked(df: DataFrame) -> DataFrame:
+        df = checkpoint(df) if passes else df
+        m = fresh(df, "m")
+        df = df.withColumn(m, _mask_all(df.sparkSession, shard, F.col(made)))
+        return df.withColumn(made, F.col(f"{m}.text")).withColumn(n, F.col(n) + F.col(f"{m}.n")).drop(m)
+
+    for row in order.toLocalIterator():
+        size = len(row.token.encode())
+        if shard and held + size > SECRET_BYTES:
+            out = masked(out)
+            shard, held, passes = [], 0, passes + 1
+        shard.append(row.token)
+        held += size
+    if shard:
+        out = masked(out)
+    out = out.withColumn(into, F.col(made))
+    return (out if hits is None else out.withColumn(hits, F.col(n))).drop(made, *([] if hits == n else [n]))
+
+
+def _mask_all(spark: SparkSession, secrets: list[str], text: Column) -> Column:
+    """(text, n): the text with these secrets masked in their order, and how many occurrences there were."""
+    shared = spark.sparkContext.broadcast(secrets)
+    held: list = []
+
+    @vectorized("struct<text:string,n:int>")
+    def masked(texts: pd.Series) -> pd.DataFrame:
+        if not held:
+            import ahocorasick
+
+            a = ahocorasick.Automaton()
+            for i, s in enumerate(shared.value):
+                a.add_word(s, i)
+            a.make_automaton()
+            # what a mask and the text beside it may make up, so that the text before masking doesn't tell
+            ends = [MASK[:i] for i in range(1, len(MASK))], [MASK[i:] for i in range(1, len(MASK))]
+            held.extend((a, {i for i, s in enumerate(shared.value) if s in MASK or MASK in s or s.endswith(tuple(ends[0])) or s.startswith(tuple(ends[1]))}))
+        automaton, made = held
+
+        def one(t: str | None) -> tuple[str | None, int]:
+            n = 0
+            if t:
+                for i in sorted({i for _, i in automaton.iter(t)} | made):
+                    n += t.count(shared.value[i])
+                    t = t.replace(shared.value[i], MASK)
+            return t, n
+
+        found = [one(t) for t in texts]
+        return pd.DataFrame({"text": [x[0] for x in found], "n": [x[1] for x in found]})
+
+    return masked(text)
 
 
 def definers(defs: DataFrame) -> DataFrame:
@@ -158,35 +193,38 @@ def reference_edges(defs: DataFrame, refs: DataFrame) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.sum("w").cast("double").alias("w"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS, every: int = 5) -> DataFrame:
-    """(path, rank): PageRank with even teleports; what files without references hold is spread evenly.
+def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(path, rank): PageRank with even teleports over the distinct nodes; what files without references hold is spread evenly.
 
-    A round joins the ranks with the edges' shares, which are partitioned by source once.  Lineage is cut by a reliable
-    checkpoint every few rounds.
+    The edges' shares are partitioned by source once and stay on disk like that; a round moves only ranks and their sums by target.
+    What unlinked nodes hold is summed over the written ranks of a round, and the next round takes it as a constant.
     """
     from corpusmill.plans.storage import checkpoint
 
-    n = nodes.count()
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    shares = checkpoint(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
-    ranks = nodes.select("path").distinct().join(out.select(F.col("src").alias("path"), F.lit(True).alias("linked")), "path", "left").select("path", F.coalesce("linked", F.lit(False)).alias("linked"), F.lit(1.0 / max(n, 1)).alias("rank"))
-    ranks = checkpoint(ranks)
-    for i in range(rounds):
-        loose = ranks.agg(F.coalesce(F.sum(F.when(~F.col("linked"), F.col("rank"))), F.lit(0.0)).alias("loose"))
-        got = shares.join(ranks, F.col("src") == F.col("path")).groupBy(F.col("dst").alias("path")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
-        base = F.lit((1 - DAMPING) / max(n, 1))
-        ranks = ranks.join(got, "path", "left").crossJoin(F.broadcast(loose)).select("path", "linked", (base + DAMPING * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / max(n, 1))).alias("rank"))
-        if i % every == every - 1:
-            ranks = checkpoint(ranks)
+    weighed = checkpoint(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
+    shares = weighed.repartition(parts, "src").persist(StorageLevel.DISK_ONLY)
+    linked = weighed.select(F.col("src").alias("path"), F.lit(True).alias("linked")).distinct()
+    ranks = checkpoint(nodes.select("path").distinct().join(linked, "path", "left").select("path", F.coalesce("linked", F.lit(False)).alias("linked")))
+    n = max(ranks.count(), 1)
+    loose = ranks.where("NOT linked").count() / n
+    ranks = ranks.withColumn("rank", F.lit(1.0 / n))
+    for _ in range(rounds):
+        got = shares.join(ranks.select(F.col("path").alias("src"), "rank").repartition(parts, "src"), "src").groupBy(F.col("dst").alias("path")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        rank = F.lit((1 - DAMPING) / n + DAMPING * loose / n) + DAMPING * F.coalesce("got", F.lit(0.0))
+        ranks = checkpoint(ranks.select("path", "linked").join(got, "path", "left").select("path", "linked", rank.alias("rank")))
+        loose = ranks.where("NOT linked").agg(F.sum("rank")).first()[0] or 0.0
+    shares.unpersist()
     return ranks.select("path", "rank")
 
 
 def grep(files: DataFrame, pattern: str, most: int = 100, width: int = 400, rel: str = "rel", text: str = "text") -> DataFrame:
-    """(rel, line, hit): the first ``most`` lines, by path and line, that match; each cut to ``width`` characters."""
+    """(rel, line, hit): the first ``most`` lines, by path, line and text, that match; each cut to ``width`` characters."""
     from corpusmill.functions.text import lines
 
     hits = files.select(rel, F.posexplode(lines(text)).alias("line", "hit")).where(F.col("hit").rlike(pattern))
-    return hits.orderBy(F.split(rel, "/"), "line").limit(most).select(rel, (F.col("line") + 1).alias("line"), F.substring("hit", 1, width).alias("hit"))
+    return hits.orderBy(F.split(rel, "/"), "line", "hit").limit(most).select(rel, (F.col("line") + 1).alias("line"), F.substring("hit", 1, width).alias("hit"))
 
 
 def slice_lines(files: DataFrame, offset: int, count: int = 200, most_bytes: int = 200 * 1024, rel: str = "rel", text: str = "text") -> DataFrame:

@@ -31,14 +31,20 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it has fewer partitions than there are: one small file can't be split by the scan."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def docs(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """Columns of ``documents``."""
-    return spark.read.parquet(f"{d}/documents.parquet").select(*(cols or ("doc_id", "text", "lang", "source")))
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select(*(cols or ("doc_id", "text", "lang", "source"))))
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     """The documents as files."""
-    return O.virtual_files(spark, d)
+    return spread(O.virtual_files(spark, d))
 
 
 def _in(words: object) -> str:
@@ -156,19 +162,27 @@ def glob_filter_last_match(spark: SparkSession, d: str) -> DataFrame:
     return ignored(files(spark, d).select("rel").distinct(), GLOBS)
 
 
-@query(f"WITH {FILES}, sel AS (SELECT DISTINCT 'src' || (label % 20)::VARCHAR || '/en/doc_' || vec_id::VARCHAR || '.rs' AS rel FROM embeddings) SELECT doc_id, rel FROM files WHERE rel IN (SELECT rel FROM sel)")
+@query(f"WITH {FILES}, sel AS (SELECT rel FROM files WHERE doc_id IN (SELECT vec_id FROM embeddings) UNION ALL SELECT 'gone/' || rel FROM files) SELECT doc_id, rel FROM files WHERE rel IN (SELECT rel FROM sel)")
 def selection_semi(spark: SparkSession, d: str) -> DataFrame:
-    sel = spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("'src' || cast(label % 20 as string) || '/en/doc_' || cast(vec_id as string) || '.rs' AS rel")
-    return O.select_files(files(spark, d), sel).select("doc_id", "rel")
+    """The files of a saved selection, half of whose paths aren't there any more."""
+    f = files(spark, d)
+    saved = f.join(spark.read.parquet(f"{d}/embeddings.parquet").selectExpr("vec_id AS doc_id"), "doc_id", "left_semi").select("rel")
+    return O.select_files(f, saved.union(f.selectExpr("concat('gone/', rel)"))).select("doc_id", "rel")
 
 
-@query(f"{_WITH}, forced AS (SELECT rel FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) SELECT rel, reason FROM classified WHERE verdict <> 'text' AND rel NOT IN (SELECT rel FROM forced)")
+@query(
+    f"""{_WITH}, forced AS (SELECT rel FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) UNION SELECT '../' || rel FROM files),
+kept AS (SELECT rel FROM classified WHERE verdict = 'text') SELECT rel, NULL AS reason, true AS kept FROM kept UNION ALL
+SELECT rel, NULL, true FROM files WHERE rel IN (SELECT rel FROM forced) AND rel NOT IN (SELECT rel FROM kept) UNION ALL
+SELECT rel, reason, false FROM classified WHERE verdict <> 'text' AND rel NOT IN (SELECT rel FROM forced)"""
+)
 def rescue_anti(spark: SparkSession, d: str) -> DataFrame:
+    """Both halves of a rescue: what is kept once forced paths count as kept, and what stays skipped; paths outside of the root force nothing."""
     all_ = classified(spark, d)
     toxic = spark.read.parquet(f"{d}/labels.parquet").where("toxic = 1").select("doc_id")
-    forced = all_.join(toxic, "doc_id", "left_semi").select("rel")
-    _, skips = O.rescue(all_.where("verdict = 'text'").select("rel"), all_.where("verdict <> 'text'").select("rel", "reason"), forced, all_.select("rel"))
-    return skips
+    forced = all_.join(toxic, "doc_id", "left_semi").select("rel").union(all_.selectExpr("concat('../', rel)"))
+    kept, skips = O.rescue(all_.where("verdict = 'text'").select("rel"), all_.where("verdict <> 'text'").select("rel", "reason"), forced, all_.select("rel"))
+    return kept.select("rel", F.lit(None).cast("string").alias("reason"), F.lit(True).alias("kept")).union(skips.select("rel", "reason", F.lit(False)))
 
 
 @query(f"{_WITH}, r AS (SELECT rel, reason, row_number() OVER (ORDER BY rel, doc_id) AS n, count(*) OVER () AS total FROM classified WHERE verdict <> 'text') SELECT n, rel, reason, greatest(0, total - 1000) AS more FROM r WHERE n <= 1000")
@@ -177,8 +191,8 @@ def skip_manifest(spark: SparkSession, d: str) -> DataFrame:
     s = classified(spark, d).where("verdict <> 'text'").select("rel", "reason", "doc_id")
     total = s.agg(F.count(F.lit(1)).alias("total"))
     top = s.orderBy("rel", "doc_id").limit(1000)
-    numbered = top.withColumn("n", F.row_number().over(Window.orderBy("rel", "doc_id")).cast("bigint"))
-    return numbered.crossJoin(F.broadcast(total)).select("n", "rel", "reason", F.greatest(F.lit(0).cast("bigint"), F.col("total") - 1000).alias("more"))
+    rows = O.numbered(top, F.col("rel"), F.col("doc_id"), into="n")
+    return rows.crossJoin(F.broadcast(total)).select("n", "rel", "reason", F.greatest(F.lit(0).cast("bigint"), F.col("total") - 1000).alias("more"))
 
 
 # ---- scalars
@@ -360,18 +374,25 @@ def _secrets(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.explode(F.regexp_extract_all("text", F.lit('token = "([0-9a-f]{40})"'), F.lit(1))).alias("token")).distinct()
 
 
-@query(f"WITH {_SECRETS} SELECT token, count(DISTINCT doc_id) AS blocks FROM secrets JOIN documents ON contains(text, token) GROUP BY token HAVING count(DISTINCT doc_id) BETWEEN 1 AND 8")
+@query(
+    f"""WITH {_SECRETS}, hexes AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9a-f]{{40}}')) AS token FROM documents UNION SELECT DISTINCT source FROM documents),
+fresh AS (SELECT token FROM hexes WHERE token NOT IN (SELECT token FROM secrets WHERE token < '8'))
+SELECT token, count(DISTINCT doc_id) AS blocks FROM fresh JOIN documents ON contains(text, token) GROUP BY token HAVING count(DISTINCT doc_id) BETWEEN 1 AND 8"""
+)
 def dense_guard(spark: SparkSession, d: str) -> DataFrame:
-    """Harvested tokens that are part of one to eight documents."""
-    s = _secrets(spark, d)
-    blocks = docs(spark, d).where(F.col("text").rlike("[0-9a-f]{40}")).withColumnRenamed("doc_id", "rel")
-    return O.known_in_few(s, blocks, s.limit(0))
+    """Bare 40-digit tokens, and names, that are part of one to eight documents and not among the secrets known by labels; half of those are taken as known."""
+    t = docs(spark, d)
+    bare = t.select(F.explode(F.regexp_extract_all("text", F.lit("([0-9a-f]{40})"), F.lit(1))).alias("token")).union(t.select("source"))
+    return O.known_in_few(bare, t.withColumnRenamed("doc_id", "rel"), _secrets(spark, d).where("token < '8'"))
 
 
-@query(f"WITH {_SECRETS}, l AS (SELECT list(token ORDER BY strlen(token) DESC, token) AS l FROM secrets) SELECT doc_id, list_reduce(list_prepend(text, l), lambda a, k: replace(a, k, '[REDACTED]')) AS text FROM documents, l WHERE regexp_matches(text, '[0-9a-f]{{40}}')")
+@query(
+    f"""WITH {_SECRETS}, l AS (SELECT list(token ORDER BY strlen(token) DESC, token) AS l FROM secrets)
+SELECT doc_id, list_reduce(list_prepend(text, l), lambda a, k: replace(a, k, '[REDACTED]')) AS text, coalesce(list_sum(list_transform(l, lambda k: (strlen(text) - strlen(replace(text, k, ''))) // 40)), 0)::INTEGER AS hits FROM documents, l"""
+)
 def propagate_secrets(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with any 40 hex digits, every harvested token masked."""
-    return O.propagate(docs(spark, d).where(F.col("text").rlike("[0-9a-f]{40}")), _secrets(spark, d)).select("doc_id", "text")
+    """Every document with every harvested token masked, and how many there were."""
+    return O.propagate(docs(spark, d), _secrets(spark, d), hits="hits").select("doc_id", "text", "hits")
 
 
 # ---- order, packing, totals
@@ -384,11 +405,10 @@ def _ordered(name: str, order: str) -> None:
     tie = " DESC" if order == "important-last" else ""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        w = Window.orderBy(*O.read_order(order), F.col("doc_id").desc() if tie else F.col("doc_id"))
-        return files(spark, d).select("rel", "doc_id", F.row_number().over(w).alias("ord"))
+        return O.numbered(files(spark, d).select("rel", "doc_id"), *O.read_order(order), F.col("doc_id").desc() if tie else F.col("doc_id"))
 
     run.__name__ = name
-    query(f"WITH {FILES}, {_RANKED} SELECT rel, doc_id, row_number() OVER (ORDER BY {sort}, doc_id{tie})::INTEGER AS ord FROM ranked")(run)
+    query(f"WITH {FILES}, {_RANKED} SELECT rel, doc_id, row_number() OVER (ORDER BY {sort}, doc_id{tie}) AS ord FROM ranked")(run)
 
 
 _ordered("path_order", "path")
@@ -397,7 +417,7 @@ _ordered("important_last", "important-last")
 
 
 @query(
-    f"""WITH RECURSIVE {FILES}, {_RANKED}, o AS (SELECT doc_id, tokens, row_number() OVER (ORDER BY rank, string_split(rel, '/'), doc_id) AS n FROM ranked),
+    f"""WITH RECURSIVE {FILES}, {_RANKED}, o AS MATERIALIZED (SELECT doc_id, tokens, row_number() OVER (ORDER BY rank, string_split(rel, '/'), doc_id) AS n FROM ranked),
 p(n, doc_id, tokens, used, part) AS (SELECT n, doc_id, tokens, tokens, 1 FROM o WHERE n = 1
   UNION ALL SELECT o.n, o.doc_id, o.tokens, CASE WHEN p.used > 0 AND p.used + o.tokens > 50000 THEN o.tokens ELSE p.used + o.tokens END, CASE WHEN p.used > 0 AND p.used + o.tokens > 50000 THEN p.part + 1 ELSE p.part END FROM p JOIN o ON o.n = p.n + 1)
 SELECT doc_id, tokens, part FROM p"""
@@ -408,7 +428,7 @@ def token_bin_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH RECURSIVE c AS (SELECT doc_id, {_TOK} AS cost, row_number() OVER (ORDER BY {_TOK} % 97 DESC, doc_id) AS n FROM documents),
+    f"""WITH RECURSIVE c AS MATERIALIZED (SELECT doc_id, {_TOK} AS cost, row_number() OVER (ORDER BY {_TOK} % 97 DESC, doc_id) AS n FROM documents),
 p(n, doc_id, cost, used, taken) AS (SELECT 0::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, false
   UNION ALL SELECT c.n, c.doc_id, c.cost, CASE WHEN used + c.cost <= 20000 THEN used + c.cost ELSE used END, used + c.cost <= 20000 FROM p JOIN c ON c.n = p.n + 1)
 SELECT doc_id, cost FROM p WHERE taken"""
@@ -438,16 +458,17 @@ def tri_state(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH t AS (SELECT source, sum({_TOK})::BIGINT AS tokens FROM documents GROUP BY source), r AS (SELECT *, dense_rank() OVER (ORDER BY tokens DESC, source) AS k, sum(tokens) OVER () AS total FROM t)
-SELECT source, tokens, CASE WHEN k <= 8 THEN k ELSE 0 END::INTEGER AS slot, round(tokens * 100.0 / total, 4)::DOUBLE AS share, CASE WHEN tokens * 100.0 / total <= 4 THEN 'ok' WHEN tokens * 100.0 / total <= 5 THEN 'warn' ELSE 'danger' END AS level FROM r"""
+SELECT source, tokens, CASE WHEN k <= 8 THEN k ELSE 0 END::INTEGER AS slot, round(tokens * 100.0 / total, 4)::DOUBLE AS share, CASE WHEN tokens * 100 <= 80 * (total // 12) THEN 'ok' WHEN tokens <= total // 12 THEN 'warn' ELSE 'danger' END AS level,
+  sum(tokens) OVER (ORDER BY k)::BIGINT AS upto FROM r"""
 )
 def budget_share(spark: SparkSession, d: str) -> DataFrame:
     """Each top folder's share of the tokens, the palette slot of the eight largest, and how it stands to a budget."""
     t = docs(spark, d).groupBy("source").agg(F.sum(T.token_estimate("text")).alias("tokens"))
     total = t.agg(F.sum("tokens").alias("total"))
     k = F.dense_rank().over(Window.orderBy(F.col("tokens").desc(), "source"))
-    share = F.col("tokens") * 100.0 / F.col("total")
+    share, budget = F.col("tokens") * 100.0 / F.col("total"), F.expr("total div 12")
     r = t.crossJoin(F.broadcast(total)).withColumn("k", k)
-    return r.select("source", "tokens", F.when(F.col("k") <= 8, F.col("k")).otherwise(0).alias("slot"), F.round(share, 4).alias("share"), F.when(share <= 4, "ok").when(share <= 5, "warn").otherwise("danger").alias("level"))
+    return r.select("source", "tokens", F.when(F.col("k") <= 8, F.col("k")).otherwise(0).alias("slot"), F.round(share, 4).alias("share"), F.when(F.col("tokens") * 100 <= 80 * budget, "ok").when(F.col("tokens") <= budget, "warn").otherwise("danger").alias("level"), F.sum("tokens").over(Window.orderBy("k")).alias("upto"))
 
 
 # ---- rendering
@@ -481,7 +502,8 @@ def render_xml(spark: SparkSession, d: str) -> DataFrame:
 def render_documents(spark: SparkSession, d: str) -> DataFrame:
     from corpusmill.plans.render import document_section
 
-    o = files(spark, d).withColumn("i", F.row_number().over(Window.orderBy(F.split("rel", "/"), "doc_id")))
+    f = files(spark, d)
+    o = f.join(O.numbered(f.select("rel", "doc_id"), F.split("rel", "/"), F.col("doc_id"), into="i").select("doc_id", "i"), "doc_id")
     return o.select("doc_id", document_section("i", "rel", "text").alias("section"))
 
 
@@ -539,10 +561,9 @@ def pagerank(spark: SparkSession, d: str) -> DataFrame:
 # ---- lines, events, replies
 
 
-@query(f"WITH {FILES}, l AS (SELECT rel, unnest(s) AS l, generate_subscripts(s, 1) AS line FROM (SELECT rel, CASE WHEN s[-1] = '' THEN s[:-2] ELSE s END AS s FROM (SELECT rel, string_split_regex(text, '\\r?\\n') AS s FROM files WHERE lower(name) NOT IN ('package-lock.json', 'makefile', '.gitignore', 'secrets.yaml', 'main.py')))) SELECT rel, line::INTEGER AS line, left(l, 400) AS hit FROM l WHERE regexp_matches(l, 'token = ') ORDER BY string_split(rel, '/'), line LIMIT 100")
+@query(f"WITH {FILES}, l AS (SELECT rel, unnest(s) AS l, generate_subscripts(s, 1) AS line FROM (SELECT rel, CASE WHEN s[-1] = '' THEN s[:-2] ELSE s END AS s FROM (SELECT rel, string_split_regex(text, '\\r?\\n') AS s FROM files))) SELECT rel, line::INTEGER AS line, left(l, 400) AS hit FROM l WHERE regexp_matches(l, 'token = ') ORDER BY string_split(rel, '/'), line, l LIMIT 100")
 def grep_lines(spark: SparkSession, d: str) -> DataFrame:
-    f = files(spark, d).where(~F.lower("name").isin("package-lock.json", "makefile", ".gitignore", "secrets.yaml", "main.py"))
-    return O.grep(f, "token = ")
+    return O.grep(files(spark, d), "token = ")
 
 
 @query(f"WITH l AS (SELECT doc_id, l, line FROM {_LINES}) SELECT doc_id, line::INTEGER AS line, l AS text FROM (SELECT *, sum(strlen(l) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS b FROM l WHERE line BETWEEN 3 AND 22) WHERE b <= 4096")
@@ -566,13 +587,16 @@ def watch_relevant(spark: SparkSession, d: str) -> DataFrame:
     return files(spark, d).where(relevant("rel")).select("doc_id", "rel")
 
 
-@query("SELECT conv_id, turn, 'src/' || role || '_' || turn::VARCHAR || '.md' AS path, text || chr(10) AS content FROM conversations WHERE NOT contains(text, '```')")
+_FENCED = "CASE WHEN turn % 3 = 0 THEN replace(text, ' ', chr(10) || '```' || chr(10)) ELSE text END"
+
+
+@query(f"SELECT conv_id, turn, 'src/' || role || '_' || turn::VARCHAR || '.md' AS path, {_FENCED} || chr(10) AS content FROM conversations")
 def reply_parse(spark: SparkSession, d: str) -> DataFrame:
-    """Files in replies: each turn as a fenced block under a heading with its path."""
+    """Files in replies: each turn as a fenced block under a heading with its path; every third holds fences itself, so its own is longer."""
     from corpusmill.operators.patch import parse_replies
 
-    turns = spark.read.parquet(f"{d}/conversations.parquet").where("NOT contains(text, '```')")
-    replies = turns.selectExpr("conv_id", "turn", "concat('Here is the file:\n\n## `src/', role, '_', cast(turn as string), '.md`\n\n```md\n', text, '\n```\n') AS reply")
+    turns = spark.read.parquet(f"{d}/conversations.parquet").withColumn("content", F.expr(_FENCED))
+    replies = turns.withColumn("fence", T.fence("content")).selectExpr("conv_id", "turn", "concat('Here is the file:\n\n## `src/', role, '_', cast(turn as string), '.md`\n\n', fence, 'md\n', content, '\n', fence, '\n') AS reply")
     return parse_replies(replies, "reply").select("conv_id", "turn", F.col("change.path").alias("path"), F.col("change.content").alias("content"))
 
 
@@ -585,26 +609,30 @@ def line_diff(spark: SparkSession, d: str) -> DataFrame:
     return diff_lines(t, "old", "new").groupBy("doc_id").agg(F.count_if(F.col("line.tag") == "ins").alias("adds"), F.count_if(F.col("line.tag") == "del").alias("dels"), F.count_if(F.col("line.tag") == "eq").alias("same"))
 
 
-@query("SELECT doc_id, text AS result, true AS ok FROM documents WHERE strlen(text) > 0")
+@query("SELECT doc_id, text AS result, true AS ok FROM documents")
 def hunk_apply(spark: SparkSession, d: str) -> DataFrame:
     """A unified diff from a changed copy of each document back to it, applied to the copy."""
     from corpusmill.operators.patch import apply_diffs, make_diffs
 
-    t = docs(spark, d).where("octet_length(text) > 0").select("doc_id", F.regexp_replace("text", "(?i)the", "THE\n").alias("old"), F.col("text").alias("new"))
+    t = docs(spark, d).select("doc_id", F.regexp_replace("text", "(?i)the", "THE\n").alias("old"), F.col("text").alias("new"))
     applied = apply_diffs(make_diffs(t, "old", "new"), "old", "diff")
     return applied.select("doc_id", F.col("applied.text").alias("result"), F.col("applied.note").isNull().alias("ok"))
 
 
+_STATE = "CASE doc_id % 5 WHEN 0 THEN 'edited' WHEN 1 THEN 'new' WHEN 2 THEN 'gone' ELSE 'same' END"
+
+
 @query(
-    """WITH e AS (SELECT doc_id, md5(text) AS expected FROM documents WHERE doc_id % 3 <> 0), now AS (SELECT doc_id, md5(CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END) AS hash FROM documents WHERE doc_id % 7 <> 0)
-SELECT coalesce(e.doc_id, now.doc_id) AS doc_id, CASE WHEN expected IS NOT NULL AND hash IS NOT NULL THEN CASE WHEN expected = hash THEN 'unchanged' ELSE 'changed' END WHEN expected IS NOT NULL THEN 'disappeared' ELSE 'appeared' END AS state FROM e FULL OUTER JOIN now ON e.doc_id = now.doc_id"""
+    f"""WITH e AS (SELECT doc_id, CASE WHEN {_STATE} <> 'new' THEN md5(text) END AS expected, CASE {_STATE} WHEN 'gone' THEN NULL WHEN 'edited' THEN md5(text || 'x') ELSE md5(text) END AS hash FROM documents)
+SELECT doc_id, CASE WHEN expected IS NULL THEN 'appeared' WHEN hash IS NULL THEN 'disappeared' WHEN expected = hash THEN 'unchanged' ELSE 'changed' END AS state FROM e"""
 )
 def apply_revalidate(spark: SparkSession, d: str) -> DataFrame:
+    """Every document on both sides: a null hash stands for a file that isn't there."""
     from corpusmill.operators.patch import revalidate
 
-    t = docs(spark, d)
-    ready = t.where("doc_id % 3 <> 0").select("doc_id", F.md5("text").alias("expected"))
-    now = t.where("doc_id % 7 <> 0").select("doc_id", F.md5(F.expr("CASE WHEN doc_id % 5 = 0 THEN text || 'x' ELSE text END")).alias("hash"))
+    t = docs(spark, d).withColumn("state", F.expr(_STATE))
+    ready = t.select("doc_id", F.when(F.col("state") != "new", F.md5("text")).alias("expected"))
+    now = t.select("doc_id", F.when(F.col("state") == "edited", F.md5(F.concat("text", F.lit("x")))).when(F.col("state") != "gone", F.md5("text")).alias("hash"))
     return revalidate(ready, now, "doc_id")
 
 

@@ -112,8 +112,7 @@ def blocks(spark: SparkSession, root: str, options: MergeOptions = MergeOptions(
         scanned = scanned.withColumn("verdict", F.when(forced, "text").otherwise(F.col("verdict"))).withColumn("reason", F.when(~forced, F.col("reason")))
     scanned = checkpoint(scanned)
     text = scanned.where("verdict = 'text'").withColumn("d", decoded("content")).select("rel", "name", T.extension("name").alias("lang"), F.col("d.text").alias("raw"), F.col("d.note").alias("note"))
-    text = text.withColumn("dense", R.density("raw") >= R.DENSE)
-    text = checkpoint(text.withColumn("dense", F.col("dense") & F.col("lang").isin(*sorted(R.PROSE | N.DATA_EXTENSIONS))))
+    text = checkpoint(text.withColumn("dense", R.density("raw") >= R.DENSE))
     kept = text.where("NOT dense")
     body = F.col("raw")
     slimmed = kept.withColumn("s", S.slim("lang", body)) if not (options.comments and options.bodies) else kept.withColumn("s", F.struct(body.alias("text"), F.lit(False).alias("compressed")))
@@ -138,11 +137,10 @@ def blocks(spark: SparkSession, root: str, options: MergeOptions = MergeOptions(
         known = everything.select(F.explode(R.labelled_values("raw")).alias("token")).distinct()
         bare = text.where(F.col("dense") & F.col("lang").isin(*sorted(R.PROSE))).select("raw").union(stores).select(F.explode(R.dense_tokens("raw")).alias("token"))
         few = O.known_in_few(bare, made, known).select("token")
-        before = made
-        made = O.propagate(made, known.union(few), into="after")
-        hidden = (F.octet_length(F.regexp_replace("after", r"\[REDACTED\]", "")) < F.octet_length(F.regexp_replace("text", r"\[REDACTED\]", ""))).cast("int")
-        event = F.array(F.struct(F.lit("Propagated known secret").alias("rule"), F.lit(1).alias("n")))
-        made = made.select(*[c for c in before.columns if c not in ("text", "events")], F.col("after").alias("text"), F.when(hidden == 1, F.concat("events", event)).otherwise(F.col("events")).alias("events"))
+        before = [c for c in made.columns if c != "events"]
+        made = O.propagate(made, known.union(few), hits="hits")
+        event = F.array(F.struct(F.lit("Propagated known secret").alias("rule"), F.col("hits").alias("n")))
+        made = made.select(*before, F.when(F.col("hits") > 0, F.concat("events", event)).otherwise(F.col("events")).alias("events"))
     else:
         made = made.withColumn("events", F.array().cast(R.EVENTS))
     made = checkpoint(made.withColumn("tokens", T.token_estimate("text")))

@@ -57,6 +57,20 @@ def test_ignored_credentials(spark, tmp_path):
     assert "## MASTER_CREDENTIALS" not in text and r.merged == 2
 
 
+def test_dense_code_and_counts(spark, tmp_path):
+    """Code dense in credentials is left out as prose is, but its identifiers aren't harvested; each masked occurrence counts."""
+    root = tmp_path / "dc"
+    root.mkdir()
+    (root / "seed.js").write_text("const p1 = { password: 'Zx81kQp0vv' };\nconst p2 = { password: 'Wq72mLs9bb' };\nconst helper_Name42 = 1;\n")
+    (root / "app.py").write_text("import helper_Name42\n")
+    (root / "keys.py").write_text("api_secret = 'rN7vB2mQ9xx'\n")
+    (root / "NOTES.md").write_text("first rN7vB2mQ9xx then rN7vB2mQ9xx\n")
+    r = merge(spark, str(root), str(tmp_path / "dc_merged"))
+    text = open(r.parts[0]).read()
+    assert dict(r.skips) == {"seed.js": "credential-dense file"} and "import helper_Name42" in text and "rN7vB2mQ9xx" not in text
+    assert ("NOTES.md", "Propagated known secret", 2) in r.redactions
+
+
 @pytest.mark.parametrize("form", ["markdown", "documents"])
 def test_round_trip(spark, tree, tmp_path, form):
     r = merge(spark, str(tree), str(tmp_path / "rt_merged"), MergeOptions(format=form, redact=False))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import classify as C
 from corpusmill.operators import corpus as O
+from corpusmill.operators import order
 from corpusmill.operators import patch as P
 from corpusmill.operators import slim as S
 from corpusmill.plans.render import tree_lines
@@ -66,6 +69,49 @@ def test_packing(spark):
     assert [r.rel for r in best.orderBy("rel").collect()] == ["f0", "f1"]
 
 
+def folded(tokens, budget):
+    used, part, out = 0, 1, []
+    for t in tokens:
+        if used > 0 and used + t > budget:
+            used, part = 0, part + 1
+        used += t
+        out.append(part)
+    return out
+
+
+def test_packing_over_partitions(spark):
+    """The fold carried over many ranges is the fold over all, with empty and oversized blocks among them."""
+    r = random.Random(2)
+    for budget, most in ((20, 9), (20, 30), (3, 2), (1000, 5)):
+        tokens = [r.choice([0, 0, r.randrange(1, most)]) if r.random() < 0.5 else r.randrange(0, most) for _ in range(300)]
+        df = spark.createDataFrame(list(enumerate(tokens)), "rel int, tokens int").repartition(5)
+        got = {x.rel: x.part for x in O.pack(df, budget, F.col("rel")).collect()}
+        assert [got[i] for i in range(300)] == folded(tokens, budget)
+    assert O.pack(df.limit(0), 5, F.col("rel")).count() == 0
+    runs = order._Run(np.array([0, 0, 7, 0, 30, 1]), 20)
+    assert runs.starts(0) == [4, 5] and runs.starts(20) == [2, 4, 5] and runs.starts(25) == [0, 4, 5]
+
+
+def test_numbered(spark):
+    rows = [(i * 7 % 101, "x" * (i % 3)) for i in range(101)]
+    df = spark.createDataFrame(rows, "k int, at string").repartition(6)
+    got = O.numbered(df, F.col("k").desc(), into="n")
+    assert got.columns == ["k", "at", "n"] and {x.k: x.n for x in got.collect()} == {k: 101 - k for k in range(101)}
+    assert O.numbered(df.limit(0), F.col("k")).count() == 0
+
+
+def test_pack_best_pages(spark, monkeypatch):
+    monkeypatch.setattr(order, "PAGE", 7)
+    r = random.Random(6)
+    costs = [r.choice([0, 1, 5, 40, 90, 200, None]) for _ in range(200)]
+    got = {x.i for x in O.pack_best(spark.createDataFrame(list(enumerate(costs)), "i int, cost int"), 300, F.col("i")).collect()}
+    left, want = 300, set()
+    for i, c in enumerate(costs):
+        if c is not None and c <= left:
+            left, want = left - c, want | {i}
+    assert got == want
+
+
 def test_ignore():
     lines = ["# c", "*.log", "!keep.log", "/build", "docs/**/tmp", "out/"]
     got = {p: R.ignored_by(p, lines) for p in ("a.log", "x/a.log", "keep.log", "build/a", "src/build/a", "docs/x/y/tmp", "out/a", "x/out/b")}
