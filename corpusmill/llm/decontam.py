@@ -1,10 +1,12 @@
-"""Benchmark decontamination by BM25 retrieval with block-max WAND.
+"""Benchmark decontamination by BM25 retrieval with block-max WAND (Ding and Suel, 2011).
 
 The test items form an inverted index with BM25 impacts, quantised to whole numbers so that scores are exact.  Every
-passage of every document is a query against it.  As in block-max WAND, upper bounds decide what is scored at all: a
-passage whose terms' largest impacts don't add up to the threshold is passed over, and of the other passages only
-those blocks of items are opened whose block maxima do.  All items at or above the threshold are retrieved, whatever
-their number; then the overlap of the item's question and of its answer with the passage is verified.
+passage of every document is a query against it.  A passage has a cursor on the posting list of each of its terms.  The cursors are
+ordered by item; the pivot is the item at which the largest impacts of the terms so far reach the threshold: no item before it can.  If
+the maxima of the pivot's blocks can't reach it either, the cursors skip to where one of these blocks ends or another cursor stands; else the pivot
+is scored.  Without a pivot the passage is done.  Many passages take each step together, as rows of a matrix of cursors.
+All items at or above the threshold are retrieved, whatever their number; then the overlap of the item's question and of its answer with the
+passage is verified.
 
 The threshold is a share of the item's score against itself, so that it means the same for every item.
 """
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import checked_broadcast, map_arrow, table, written
+from corpusmill.llm.common import map_arrow, table, without, written
 from corpusmill.llm.tokens import combine, words
 
 K1, B = 1.2, 0.75
@@ -29,15 +31,19 @@ THRESHOLD = 0.6
 #: Shares of the question's and the answer's word trigrams that the passage must hold.
 QUESTION, ANSWER = 0.6, 0.6
 GRAM = 3
-#: Items in a block, and items in an index shard; with more items each document meets several shards.
-BLOCK, SHARD_ITEMS = 4, 2_000
-#: Cells of block bounds that are held at a time.
-CELLS = 4_000_000
+#: Items in a block of the posting lists, and items whose index is broadcast at a time; more items take more passes.
+BLOCK, SHARD_ITEMS = 4, 20_000
+#: Cursors that step together.
+CELLS = 400_000
 
 
 @dataclass
 class Index:
-    """An index shard.  Term ``t`` (a row) has items ``items[bounds[t]:bounds[t+1]]`` with these shares (impact / self score, in SCALE)."""
+    """An index of items.  Term ``t`` (a row) has items ``items[bounds[t]:bounds[t+1]]`` with these impacts, as shares of each item's own score in SCALE.
+
+    ``at`` are the postings' keys, term and item, in order; ``block_at`` and ``block_most`` the keys, term and block, and the largest impacts
+    of the blocks that have postings.
+    """
 
     ids: list
     terms: np.ndarray
@@ -45,9 +51,13 @@ class Index:
     items: np.ndarray
     impacts: np.ndarray
     most: np.ndarray
+    at: np.ndarray
+    block_at: np.ndarray
     block_most: np.ndarray
     grams: list[tuple[np.ndarray, np.ndarray]]
     window: int
+    #: Whether a term may have these low bits.
+    maybe: np.ndarray
 
 
 def grams(h: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -58,46 +68,132 @@ def grams(h: np.ndarray, n: int = GRAM) -> np.ndarray:
     return np.unique(combine(*[h[i : len(h) - n + 1 + i] for i in range(n)]))
 
 
-def build(ids: list, texts: list[str | None], stats: tuple[dict[int, int], int, int] | None = None) -> Index:
-    """The index of these items; ``stats``: document frequencies, number and total length of all items if these are only some."""
-    hashes = [np.zeros(0, np.uint64) for _ in ids]
+def hashed(texts: list[str | None]) -> list[np.ndarray]:
+    """The word hashes of each text."""
+    out: list[np.ndarray] = []
     for a, b, h, at in words(pa.array(texts, pa.large_string())):
-        for i in range(a, b):
-            hashes[i] = h[at[i - a] : at[i - a + 1]].copy()
-    df, n, length = stats or frequencies(hashes)
-    mean = max(length / max(n, 1), 1e-9)
-    rows, items, impacts = [], [], []
+        out += [h[at[i] : at[i + 1]].copy() for i in range(b - a)]
+    return out
+
+
+@dataclass
+class Statistics:
+    """What BM25 needs of all items: terms in order with their document frequencies, items that aren't empty, their words, and the longest's."""
+
+    terms: np.ndarray
+    df: np.ndarray
+    n: int = 0
+    length: int = 0
+    longest: int = GRAM
+
+    @classmethod
+    def empty(cls) -> Statistics:
+        return cls(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def add(self, hashes: list[np.ndarray]) -> None:
+        u, c = np.unique(np.concatenate([np.unique(h) for h in hashes] or [self.terms[:0]]), return_counts=True)
+        terms, where = np.unique(np.concatenate([self.terms, u]), return_inverse=True)
+        self.terms, self.df = terms, np.bincount(where, np.concatenate([self.df, c]), len(terms)).astype(np.int64)
+        self.n += sum(1 for h in hashes if len(h))
+        self.length += sum(len(h) for h in hashes)
+        self.longest = max([self.longest, *(len(h) for h in hashes)])
+
+
+def build(ids: list, hashes: list[np.ndarray], stats: Statistics) -> Index:
+    """The index of these items."""
+    mean = max(stats.length / max(stats.n, 1), 1e-9)
+    rows, items, impacts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, h in enumerate(hashes):
         if not len(h):
             continue
         u, tf = np.unique(h, return_counts=True)
-        idf = np.log(1.0 + (n - np.array([df[int(x)] for x in u], float) + 0.5) / (np.array([df[int(x)] for x in u], float) + 0.5))
+        df = stats.df[np.searchsorted(stats.terms, u)].astype(float)
+        idf = np.log(1.0 + (stats.n - df + 0.5) / (df + 0.5))
         w = np.rint(SCALE * (idf * (tf * (K1 + 1.0)) / (tf + K1 * (1.0 - B + B * len(h) / mean)))).astype(np.int64)
-        share = w * SCALE * 100 // max(1, int(w.sum()))
         rows.append(u)
         items.append(np.full(len(u), i))
-        impacts.append(share)
-    if rows:
-        term, item, share = np.concatenate(rows), np.concatenate(items), np.concatenate(impacts)
-    else:
-        term, item, share = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        impacts.append(w * SCALE * 100 // max(1, int(w.sum())))
+    term, item, share = np.concatenate(rows), np.concatenate(items), np.concatenate(impacts)
     order = np.lexsort((item, term))
-    term, item, share = term[order], item[order], share[order]
-    terms, starts = np.unique(term, return_index=True)
-    row = np.searchsorted(terms, term)
-    blocks = np.zeros((len(terms) + 1, -(-max(1, len(ids)) // BLOCK)), np.int32)
-    np.maximum.at(blocks, (row, item // BLOCK), share)
-    halves = []
-    for h in hashes:
-        q = (len(h) + 1) // 2
-        halves.append((grams(h[:q]), grams(h[q:])))
-    return Index(ids, terms, np.append(starts, len(term)), item, share, blocks.max(axis=1), blocks, halves, max([GRAM, *(len(h) for h in hashes)]))
-
-
-def frequencies(hashes: list[np.ndarray]) -> tuple[dict[int, int], int, int]:
-    """Document frequencies, number of non-empty items and their total length."""
-    u, c = np.unique(np.concatenate([np.unique(h) for h in hashes] or [np.zeros(0, np.uint64)]), return_counts=True)
-    return dict(zip(u.tolist(), c.tolist(), strict=True)), sum(1 for h in hashes if len(h)), sum(len(h) for h in hashes)
+    terms, starts, row = np.unique(term[order], return_index=True, return_inverse=True)
+    item, share = item[order], share[order]
+    blocks = -(-max(1, len(ids)) // BLOCK)
+    block_at, first = np.unique(row * blocks + item // BLOCK, return_index=True)
+    block_most = np.maximum.reduceat(share, first) if len(share) else share
+    most = np.maximum.reduceat(share, starts) if len(share) else share
+    halves = [(grams(h[: (len(h) + 1) // 2]), grams(h[(len(h) + 1) // 2 :])) for h in hashes]
+    maybe = np.zeros(1 << max(12, (16 * len(terms)).bit_length()), bool)
+    maybe[terms & np.uint64(len(maybe) - 1)] = True
+    return Index(ids, terms, np.append(starts, len(item)), item, share, most, row * (len(ids) + 1) + item, block_at, block_most, halves, stats.longest, maybe)
+
+
+class _Cursors:
+    """Cursors of several passages, a row for each passage: their terms, and where in the postings each stands."""
+
+    def __init__(self, index: Index, terms: np.ndarray, there: np.ndarray) -> None:
+        self.index, self.end, self.width = index, len(index.ids), terms.shape[1]
+        self.blocks = -(-self.end // BLOCK)
+        self.terms, self.most = terms, np.where(there, index.most[terms], 0)
+        self.post = np.where(there, index.bounds[terms], 0)
+        self.item = np.where(there, index.items[self.post], self.end)
+
+    def keep(self, rows: np.ndarray) -> None:
+        self.terms, self.most, self.post, self.item = self.terms[rows], self.most[rows], self.post[rows], self.item[rows]
+
+    def pivots(self, need: int) -> np.ndarray:
+        """Each row's pivot: the first item at which the largest impacts of the terms that stand there or before reach ``need``; the end if there is none."""
+        both = self.item << 20 | np.minimum(self.most, (1 << 20) - 1)
+        both.sort(axis=1)
+        reached = np.cumsum(both & ((1 << 20) - 1), axis=1) >= need
+        at = reached.argmax(axis=1)
+        rows = np.arange(len(both))
+        return np.where(reached[rows, at], both[rows, at] >> 20, self.end)
+
+    def advance(self, at: np.ndarray, to: np.ndarray) -> None:
+        """Moves the cursors at these places to the first posting at or after ``to``."""
+        t = self.terms.ravel()[at]
+        p = np.searchsorted(self.index.at, t * (self.end + 1) + to)
+        more = p < self.index.bounds[t + 1]
+        p = np.where(more, p, 0)
+        self.post.ravel()[at] = p
+        self.item.ravel()[at] = np.where(more, self.index.items[p], self.end)
+
+    def block_most(self, at: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The block maxima of the terms of the cursors at these places."""
+        want = self.terms.ravel()[at] * self.blocks + block
+        p = np.minimum(np.searchsorted(self.index.block_at, want), len(self.index.block_at) - 1)
+        return np.where(self.index.block_at[p] == want, self.index.block_most[p], 0)
+
+
+def wand(index: Index, terms: np.ndarray, there: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, items, scores) of the passages' items at or above ``need``; a passage is a row of ``terms``, as far as ``there`` says."""
+    c, ids = _Cursors(index, terms, there), np.arange(len(terms))
+    while True:
+        pivot = c.pivots(need)
+        alive = pivot < c.end
+        if not alive.all():
+            c.keep(alive)
+            ids, pivot = ids[alive], pivot[alive]
+        if not len(ids):
+            return
+        upto = c.item <= pivot[:, None]
+        after = np.where(upto, c.end, c.item).min(axis=1)
+        at = np.flatnonzero(upto)
+        row = at // c.width
+        bound = np.bincount(row, c.block_most(at, (pivot // BLOCK)[row]), len(ids))
+        hopeful = bound >= need
+        # where the pivot's block can't reach the threshold: to its end, or to the next cursor
+        to = np.where(hopeful, pivot, np.minimum(after, (pivot // BLOCK + 1) * BLOCK))
+        behind = c.item.ravel()[at] < to[row]
+        c.advance(at[behind], to[row[behind]])
+        if hopeful.any():
+            here = at[hopeful[row]]
+            here = here[c.item.ravel()[here] == pivot[here // c.width]]
+            score = np.bincount(here // c.width, index.impacts[c.post.ravel()[here]], len(ids)).astype(np.int64)
+            found = hopeful & (score >= need)
+            if found.any():
+                yield ids[found], pivot[found], score[found]
+            c.advance(here, pivot[here // c.width] + 1)
 
 
 def search(index: Index, h: np.ndarray, at: np.ndarray, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> Iterator[tuple[int, int, int]]:
@@ -109,91 +205,99 @@ def search(index: Index, h: np.ndarray, at: np.ndarray, threshold: float = THRES
     half = index.window
     if not len(index.terms) or not len(h):
         return
-    row = np.searchsorted(index.terms, h)
-    row[row == len(index.terms)] = 0
-    hit = np.flatnonzero(index.terms[row] == h)
+    # most words of most texts are in no item: one bit of their hashes tells
+    hit = np.flatnonzero(index.maybe[h & np.uint64(len(index.maybe) - 1)])
+    row = np.minimum(np.searchsorted(index.terms, h[hit]), len(index.terms) - 1)
+    same = index.terms[row] == h[hit]
+    hit, row = hit[same], row[same]
     if not len(hit):
         return
-    # each passage is two successive halves of one text; its distinct terms give its bounds
+    # each passage is two successive halves of one text
     text = np.searchsorted(at, hit, side="right") - 1
     halves = np.maximum(1, -(-np.diff(at) // half))
     base = np.concatenate([[0], np.cumsum(halves)])
     slot = base[text] + (hit - at[text]) // half
     last, only = slot == base[text + 1] - 1, halves[text] == 1
     n_terms = len(index.terms)
-    first = np.unique(np.where(last & ~only, slot - 1, slot) * n_terms + row[hit])
+    first = np.unique(np.where(last & ~only, slot - 1, slot) * n_terms + row)
     before = (slot > base[text]) & ~last
-    both = np.unique(np.concatenate([first, (slot[before] - 1) * n_terms + row[hit[before]]]))
+    both = np.unique(np.concatenate([first, (slot[before] - 1) * n_terms + row[before]]))
     passage, term = both // n_terms, both % n_terms
     starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
-    ends = np.append(starts[1:], len(passage))
+    size = np.diff(np.append(starts, len(passage)))
+    # passages without a pivot even at the start; the others by size, so that rows are filled
     some = np.flatnonzero(np.add.reduceat(index.most[term], starts) >= need)
-    if not len(some):
-        return
-    size = ends[some] - starts[some]
-    chunk = np.cumsum(size) * index.block_most.shape[1] // CELLS
-    for some_ in np.split(np.arange(len(some)), np.flatnonzero(np.diff(chunk)) + 1):
-        offset = np.concatenate([[0], np.cumsum(size[some_])[:-1]])
-        inside = np.repeat(starts[some[some_]] - offset, size[some_]) + np.arange(size[some_].sum())
-        bounds = np.add.reduceat(index.block_most[term[inside]], offset, axis=0)
-        for k in np.flatnonzero((bounds >= need).any(axis=1)):
-            g = some[some_[k]]
-            yield from _open(index, h, at, half, base, term[starts[g] : ends[g]], int(passage[starts[g]]), np.flatnonzero(bounds[k] >= need), need, (question, answer))
-
-
-def _open(index: Index, h: np.ndarray, at: np.ndarray, half: int, base: np.ndarray, terms: np.ndarray, s: int, opened: np.ndarray, need: int, shares: tuple[float, float]) -> Iterator[tuple[int, int, int]]:
-    """The verified items of one passage, from its opened blocks."""
-    i = int(np.searchsorted(base, s, side="right") - 1)
-    a = int(at[i] + (s - base[i]) * half)
-    b = int(min(a + 2 * half, at[i + 1]))
-    n = index.bounds[terms + 1] - index.bounds[terms]
-    post = np.repeat(index.bounds[terms] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    keep = np.isin(index.items[post] // BLOCK, opened)
-    scores = np.bincount(index.items[post[keep]], weights=index.impacts[post[keep]], minlength=len(index.ids))
-    own = None
-    for item in np.flatnonzero(scores >= need):
-        if own is None:
-            own = grams(h[a:b])
-        if all(len(g) == 0 or int(np.isin(g, own).sum()) >= share * len(g) for g, share in zip(index.grams[item], shares, strict=True)):
-            yield i, int(item), int(scores[item])
+    some = some[np.argsort(size[some], kind="stable")]
+    lo = 0
+    while lo < len(some):
+        hi = lo + max(1, CELLS // int(size[some[min(len(some) - 1, lo + CELLS // max(1, int(size[some[lo]])))]]))
+        rows = some[lo:hi]
+        width = int(size[rows].max())
+        there = np.arange(width)[None, :] < size[rows][:, None]
+        terms = np.where(there, term[np.minimum(starts[rows][:, None] + np.arange(width)[None, :], len(term) - 1)], 0)
+        for k, items, scores in wand(index, terms, there, need):
+            for g, item, score in zip(rows[k], items, scores, strict=True):
+                s = int(passage[starts[g]])
+                i = int(np.searchsorted(base, s, side="right") - 1)
+                a = int(at[i] + (s - base[i]) * half)
+                own = grams(h[a : int(min(a + 2 * half, at[i + 1]))])
+                if all(len(x) == 0 or int(np.isin(x, own).sum()) >= share * len(x) for x, share in zip(index.grams[item], (question, answer), strict=True)):
+                    yield i, int(item), int(score)
+        lo = hi
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, item_id, score): each pair of a document and an item that one of its passages gives away; ``score`` is the best passage's share of the item's own score, in millionths.
 
     Words are those of ``corpusmill.llm.tokens``.  The first half of an item's words is its question, the rest its answer.
-    The index is a broadcast: it is built from the items in shards of at most SHARD_ITEMS, and each shard is one pass over the
-    documents' hashes in the same task; items number in thousands, not with the corpus.  Null and empty documents and
-    items give nothing; repeated rows of one id give one pair; an item shorter than a trigram must occur whole.
+    The index of SHARD_ITEMS items at a time is broadcast, each in a pass of its own over the documents whose pairs are written; only the statistics
+    of the items' terms are held for all of them.  Null and empty documents and items give nothing; repeated rows of one id give one pair, as do
+    repeated items; an item shorter than a trigram must occur whole.  Texts are whole, however long; empty tables give no pairs; other columns aren't read.
     """
     kind, item_kind = docs.schema[id].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    items = [tuple(r) for r in benchmark.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text").toLocalIterator()]
-    hashes = []
-    for a, b, h, at in words(pa.array([t for _, t in items], pa.large_string())):
-        hashes += [h[at[i] : at[i + 1]] for i in range(b - a)]
-    stats = frequencies(hashes)
-    shards = [build([x for x, _ in items[k : k + SHARD_ITEMS]], [t for _, t in items[k : k + SHARD_ITEMS]], stats) for k in range(0, len(items), SHARD_ITEMS)]
-    for s in shards:
-        s.window = max(x.window for x in shards)
-    shared = docs.sparkSession.sparkContext.broadcast(shards)
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text")
     id_type, item_type = _arrow(docs, id), _arrow(benchmark, "item_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids: list[int] = []
-            found: list = []
-            scores: list[int] = []
-            for a, _, h, at in words(batch.column(1)):
-                for index in shared.value:
-                    for i, item, score in search(index, h, at, threshold, question, answer):
-                        ids.append(a + i)
-                        found.append(index.ids[item])
+    def shards() -> Iterator[tuple[list, list[np.ndarray]]]:
+        ids: list = []
+        texts: list[str] = []
+        for r in items.toLocalIterator():
+            ids.append(r[0])
+            texts.append(r[1])
+            if len(ids) == SHARD_ITEMS:
+                yield ids, hashed(texts)
+                ids, texts = [], []
+        yield ids, hashed(texts)
+
+    stats = Statistics.empty()
+    n = 0
+    for _, hashes in shards():
+        stats.add(hashes)
+        n += 1
+    base = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
+    found: DataFrame | None = None
+    for ids, hashes in shards():
+        shared = docs.sparkSession.sparkContext.broadcast(build(ids, hashes, stats))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows: list[int] = []
+                items_: list = []
+                scores: list[int] = []
+                for a, _, h, at in words(batch.column(1)):
+                    for i, item, score in search(shared.value, h, at, threshold, question, answer):
+                        rows.append(a + i)
+                        items_.append(shared.value.ids[item])
                         scores.append(score)
-            if ids:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)).cast(id_type), pa.array(found, item_type), pa.array(scores, pa.int32())], ["doc_id", "item_id", "score"])
+                if rows:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)).cast(id_type), pa.array(items_, item_type), pa.array(scores, pa.int32())], ["doc_id", "item_id", "score"])
 
-    pairs = map_arrow(docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL"), run, f"doc_id {kind}, item_id {item_kind}, score int")
-    return pairs.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+        got = map_arrow(base, run, f"doc_id {kind}, item_id {item_kind}, score int")
+        if n > 1:
+            got = written(got, "pairs")
+            shared.unpersist()
+        found = got if found is None else found.union(got)
+    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
 def _arrow(df: DataFrame, name: str) -> pa.DataType:
@@ -205,7 +309,7 @@ def _arrow(df: DataFrame, name: str) -> pa.DataType:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; documents with a null id stay, as no pair names them."""
     leaks = written(contaminated(docs, benchmark, **options).select("doc_id").where("doc_id IS NOT NULL").distinct(), "leaks")
-    return docs.join(checked_broadcast(leaks.withColumnRenamed("doc_id", "__leak")), F.col("__leak") == docs["doc_id"], "left_anti")
+    return without(docs, leaks)
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

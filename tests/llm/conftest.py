@@ -8,7 +8,7 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that clash with names that the operators use.
-EXTRA = "copy string, shard string, score string, n string, sig string, g string, keep string, rate string, k string, block string, turns string, layout string"
+EXTRA = "copy string, shard string, score string, n string, sig string, g string, keep string, rate string, k string, block string, turns string, layout string, fingerprint string, gone string, __leak string, __bad string, __extra string, __fp string, __layout string, __lp string, __n string, __block string, __text string, __mix_n string, h string, q string, t string, rep string"
 
 _WORDS = ["alpha", "beta", "gamma", "delta", "river", "stone", "cloud", "amber", "violet", "meadow", "harbor", "lantern", "copper", "winter", "thistle"]
 

@@ -288,6 +288,33 @@ def test_decontamination_brute_force(spark, prose_of):
     assert {(x.doc_id, x.item_id): x.score for x in got.collect()} == want and len(want) > 20
 
 
+def test_wand_is_exhaustive(monkeypatch):
+    """Every item of random indexes that reaches the threshold is found with its score, and most postings are skipped."""
+    r = np.random.default_rng(8)
+    monkeypatch.setattr(decontam, "CELLS", 64)
+    for vocabulary, n in ((30, 7), (200, 60), (3000, 400)):
+        words_ = r.integers(1, 2**62, vocabulary).astype(np.uint64)
+        hashes = [words_[(r.random(r.integers(0, 40)) ** 2 * vocabulary).astype(int)] for _ in range(n)]
+        stats = decontam.Statistics.empty()
+        stats.add(hashes[: n // 2])
+        stats.add(hashes[n // 2 :])
+        index = decontam.build(list(range(n)), hashes, stats)
+        queries = [np.unique(np.concatenate([hashes[r.integers(n)], hashes[r.integers(n)], words_[r.integers(0, vocabulary, 10)]])) for _ in range(40)]
+        rows = [np.flatnonzero(np.isin(index.terms, q)) for q in queries]
+        width = max(map(len, rows))
+        there = np.array([[i < len(x) for i in range(width)] for x in rows])
+        terms = np.array([[*x, *[0] * (width - len(x))] for x in rows])
+        for need in (100_000, 600_000):
+            want = {}
+            for q, x in enumerate(rows):
+                score = np.zeros(n, np.int64)
+                for t in x:
+                    score[index.items[index.bounds[t] : index.bounds[t + 1]]] += index.impacts[index.bounds[t] : index.bounds[t + 1]]
+                want |= {(q, i): int(s) for i, s in enumerate(score) if s >= need}
+            found = [(int(q), int(i), int(s)) for qs, is_, ss in decontam.wand(index, terms, there, need) for q, i, s in zip(qs, is_, ss, strict=True)]
+            assert len(found) == len(want) and {(q, i): s for q, i, s in found} == want
+
+
 def test_decontamination_awkward(spark, awkward, nothing, prose_of, monkeypatch):
     items = spark.createDataFrame([(1, prose_of(60, 2)), (2, None), (3, ""), (None, prose_of(50, 4))], "item_id long, text string")
     pairs = {(r.doc_id, r.item_id) for r in decontam.contaminated(awkward, items).collect()}
