@@ -18,9 +18,15 @@ BATCH_BYTES = 8 << 20
 BROADCAST_ROWS = 2_000_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it has fewer partitions than there are: a small table in one file can't be split by the scan."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < n else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:

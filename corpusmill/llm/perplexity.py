@@ -6,8 +6,8 @@ share of them, chosen by id hash, isn't trained on and sets the thresholds, as t
 
 Scoring is by sharded count joins.  No task holds the model: each block of documents sends its distinct n-grams to the
 shards of the count tables, a join by n-gram, and gets back the log-probabilities of those that it has.  They are written to
-the shared folder by block, and the block's documents are scored against them.  What moves is each block's distinct n-grams,
-not its text.  All sums are of whole numbers, so results don't depend on the order of rows.
+the shared folder by block, and the block's documents are scored against them.  A block is BLOCK_ROWS successive rows of an input file, so a scan
+meets one block after the other, however files are split.  What moves is each block's distinct n-grams, not its text.  All sums are of whole numbers, so results don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusmill.llm.common import checked_broadcast, filesystem, hash60, map_arrow, scratch, table, written
+from corpusmill.llm.common import Workspace, checked_broadcast, filesystem, hash60, map_arrow, scratch, table, without
 from corpusmill.llm.tokens import as_strings, buffers, pieces
 
 ORDER = 5
@@ -33,6 +34,8 @@ HELD_OUT = 5
 HIGH, LEAST_HELD = 0.99, 20
 #: A text of so many positions has half the variance of its loss from its shortness, so deviations count sqrt(n / (n + SHORT)).
 SHORT = 1000
+#: Rows of a block, and distinct n-grams that a task holds of one before it sends them.
+BLOCK_ROWS, HELD_GRAMS = 50_000, 4_000_000
 _TAG = 40
 
 
@@ -108,9 +111,14 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     missing ``bo`` stands for 0, back-off without loss.  Orders below the highest count distinct left neighbours.  A discount
     that the counts of counts don't give is half of its count; all lie between a tenth of it and it, so no n-gram has probability 0.
     """
-    level = {ORDER: counts.select("g", "c")}
+    with Workspace() as w:
+        return _kneser_ney(counts, w)
+
+
+def _kneser_ney(counts: DataFrame, work: Workspace) -> DataFrame:
+    level = {ORDER: work.written(counts.select("g", "c"), "counts")}
     for n in range(ORDER - 1, 0, -1):
-        level[n] = level[n + 1].groupBy(F.expr(f"g & {(1 << 8 * n) - 1}L").alias("g")).agg(F.count(F.lit(1)).alias("c"))
+        level[n] = work.written(level[n + 1].groupBy(F.expr(f"g & {(1 << 8 * n) - 1}L").alias("g")).agg(F.count(F.lit(1)).alias("c")), "counts")
     parts: list[DataFrame] = []
     below: DataFrame | None = None
     for n in range(1, ORDER + 1):
@@ -132,14 +140,14 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             t = t.withColumn("p", F.col("p") + F.col("gamma") / 256.0)
         else:
             t = t.withColumn("s", F.expr(f"g & {(1 << 8 * (n - 1)) - 1}L")).join(below, "s").withColumn("p", F.col("p") + F.col("gamma") * F.col("q"))
-        t = written(t.select("g", "h", "p", "gamma"), f"kn-{n}")
+        t = work.written(t.select("g", "h", "p", "gamma"), f"kn-{n}")
         parts.append(t.select(F.expr(f"g | {n << _TAG}L").alias("k"), _log("p").alias("lp"), F.lit(None).cast("int").alias("bo")))
         parts.append(t.groupBy("h").agg(F.first("gamma").alias("gamma")).select(F.expr(f"h | {(n - 1) << _TAG}L").alias("k"), F.lit(None).cast("int").alias("lp"), _log("gamma").alias("bo")))
         below = t.select(F.col("g").alias("s"), F.col("p").alias("q"))
     all_ = parts[0]
     for p in parts[1:]:
         all_ = all_.union(p)
-    return written(all_.groupBy("k").agg(F.max("lp").alias("lp"), F.max("bo").alias("bo")), "kn-model")
+    return work.kept(all_.groupBy("k").agg(F.max("lp").alias("lp"), F.max("bo").alias("bo")), "kn-model")
 
 
 #: The log of a back-off weight or probability of 0.
@@ -186,34 +194,83 @@ def _suffixes(g: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def score(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
+class _Table:
+    """Values by 5-gram, for many look-ups at once: open addressing in arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(8, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+        at = self._first(keys)
+        left = np.arange(len(keys))
+        while len(left):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[left[free]]
+            own = self.keys[at] == keys[left]
+            self.values[at[own]] = values[left[own]]
+            at, left = (at[~own] + 1) & self.mask, left[~own]
+
+    def _first(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, whether there): 0 for keys that aren't there."""
+        at = self._first(keys)
+        held = self.keys[at]
+        hit = held == keys
+        out = np.where(hit, self.values[at], 0)
+        left = np.flatnonzero(~hit & (held != -1))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & self.mask
+            held = self.keys[at]
+            same = held == keys[left]
+            out[left[same]], hit[left[same]] = self.values[at[same]], True
+            more = ~same & (held != -1)
+            at, left = at[more], left[more]
+        return out, hit
+
+
+def score(docs: DataFrame, model: DataFrame, work: Workspace, text: str = "text") -> DataFrame:
     """``docs`` with ``__lp``, the sum of the log-probabilities of a text's 5-grams in 1 / SCALE nats, and ``__n``, their number; 0 for null texts and those of under five bytes.
 
-    A block is an input file.  Rows that don't come from files are written to some first; those that lost their file in
-    a shuffle are blocks by the hash of their text.
+    Rows that aren't read from files are written to some first.
     """
     spark = docs.sparkSession
-    if not docs.inputFiles():
-        docs = written(docs, "texts")
     path = scratch(spark, "answers")
-    # not by split: how a file is split may differ between two scans, as executors come and go
-    file = F.input_file_name()
-    blocked = docs.withColumn("__block", F.when(file != "", F.xxhash64(file)).otherwise(F.xxhash64(text) % 64))
+    work.paths.append(path)
+
+    def placed(df: DataFrame) -> DataFrame:
+        at = df.metadataColumn("_metadata")
+        return df.withColumn("__block", F.xxhash64(at["file_path"], F.floor(at["row_index"] / BLOCK_ROWS)))
+
+    try:
+        blocked = placed(docs)
+        blocked.schema  # noqa: B018
+    except AnalysisException:
+        blocked = placed(work.written(docs, "texts"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, _Grams] = {}
-        for batch in batches:
-            block = batch.column(0).to_numpy()
-            for value in np.unique(block):
-                s = as_strings(batch.column(1) if len(batch) and (block == value).all() else batch.column(1).filter(pa.array(block == value)))
-                for a, b in pieces(s):
-                    held.setdefault(int(value), _Grams()).add(positions(s.slice(a, b - a))[0])
-        for value, grams in held.items():
+        own: int | None = None
+        grams = _Grams()
+
+        def sent() -> Iterator[pa.RecordBatch]:
             grams.merge()
             keys = _suffixes(grams.keys)
             for lo in range(0, len(keys), 100_000):
                 part = keys[lo : lo + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), value)), pa.array(part)], ["block", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), own)), pa.array(part)], ["block", "k"])
+
+        for batch in batches:
+            for value, strings in _by_block(batch.column(0), batch.column(1)):
+                if own is not None and (own != value or len(grams.keys) > HELD_GRAMS):
+                    yield from sent()
+                    grams = _Grams()
+                own = value
+                for a, b in pieces(strings):
+                    grams.add(positions(strings.slice(a, b - a))[0])
+        if own is not None:
+            yield from sent()
 
     asked = map_arrow(blocked.select("__block", F.col(text).cast("string")), ask, "block bigint, k bigint")
     answers = asked.join(model, "k").select("block", "k", "lp", "bo")
@@ -226,50 +283,45 @@ def score(docs: DataFrame, model: DataFrame, text: str = "text") -> DataFrame:
         import pyarrow.fs as pafs
 
         own: int | None = None
-        k, lp, bo = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         for batch in batches:
             names = batch.schema.names
-            block = batch.column(names.index("__block")).to_numpy()
-            s = as_strings(batch.column(names.index("__text")))
-            sums, counts = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
-            for value in np.unique(block):
+            sums, counts = [], []
+            for value, strings in _by_block(batch.column(names.index("__block")), batch.column(names.index("__text"))):
                 if own != value:
-                    own = int(value)
+                    own = value
+                    k, lp, bo = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
                     folder = f"{at}/block={own}"
                     if fs.get_file_info(folder).type == pafs.FileType.Directory:
                         t = pads.dataset(folder, filesystem=fs, format="parquet").to_table(columns=["k", "lp", "bo"])
                         order = np.argsort(t["k"].to_numpy(), kind="stable")
                         k, lp, bo = t["k"].to_numpy()[order], t["lp"].fill_null(none).to_numpy()[order], t["bo"].fill_null(none).to_numpy()[order]
-                    else:
-                        k = lp = bo = np.zeros(0, np.int64)
                     five = k[k >> _TAG == ORDER] & np.int64((1 << _TAG) - 1)
-                    known = resolve(five, k, lp, bo)
-                rows = np.flatnonzero(block == value)
-                mine = s if len(rows) == len(s) else s.take(pa.array(rows))
-                for a, b in pieces(mine):
-                    g, bounds = positions(mine.slice(a, b - a))
-                    if not len(g):
-                        continue
-                    v = np.zeros(len(g), np.int64)
-                    if len(five):
-                        where = np.minimum(np.searchsorted(five, g), len(five) - 1)
-                        hit = five[where] == g
-                        v[hit] = known[where[hit]]
-                    else:
-                        hit = np.zeros(len(g), bool)
+                    known = _Table(five, resolve(five, k, lp, bo))
+                for a, b in pieces(strings):
+                    g, bounds = positions(strings.slice(a, b - a))
+                    v, hit = known.find(g)
                     if not hit.all():
                         u, inverse = np.unique(g[~hit], return_inverse=True)
                         v[~hit] = resolve(u, k, lp, bo)[inverse]
                     run = np.concatenate([[0], np.cumsum(v)])
-                    sums[rows[a:b]] = run[bounds[1:]] - run[bounds[:-1]]
-                    counts[rows[a:b]] = np.diff(bounds)
+                    sums.append(run[bounds[1:]] - run[bounds[:-1]])
+                    counts.append(np.diff(bounds))
             keep = [i for i, x in enumerate(names) if x not in ("__block", "__text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(sums), pa.array(counts)], [*(names[i] for i in keep), "__lp", "__n"])
+            if sums:
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(np.concatenate(sums)), pa.array(np.concatenate(counts))], [*(names[i] for i in keep), "__lp", "__n"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
     return map_arrow(blocked.withColumn("__text", F.col(text).cast("string")).drop(text), tell, f"{schema}, __lp bigint, __n bigint")
 
 
+def _by_block(block: pa.Array, text: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(block, texts) of the runs of rows of one block."""
+    values, strings = block.to_numpy(), as_strings(text)
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else values
+    for a, b in zip(starts, [*starts[1:], len(values)], strict=True):
+        yield int(values[a]), strings.slice(a, b - a)
+
+
 def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, lang, n_grams, perplexity, deviation, keep), a row for each row of ``docs``.
 
@@ -278,46 +330,46 @@ def judge(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     quantile of the same n documents, raised by the share 2 / sqrt(n).  Null texts and those of under five bytes have null perplexity and are kept, as nothing
     speaks against them.  Documents of a language with under LEAST_HELD held-out documents, null among them, are judged by all
     held-out documents; without any trusted document all are kept.  Repeated rows are judged each; labels that
-    contradict each other don't make a document trusted.
+    contradict each other don't make a document trusted.  Texts are whole; an empty table gives an empty result; no other columns are read.
     """
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND coalesce(t, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__good"))
-    good = written(good, "trusted")
-    held_out = F.pmod(hash60("doc_id"), F.lit(HELD_OUT)) == 0
-    base = docs.select(F.col(id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
-    train = base.where(~held_out).join(checked_broadcast(good), F.col("doc_id") == F.col("__good"), "left_semi")
-    model = kneser_ney(written(count_grams(train), "kn-counts"))
-    scored = written(score(base, model), "scores")
-    trusted = scored.where(held_out & (F.col("__n") > 0)).join(checked_broadcast(good), F.col("doc_id") == F.col("__good"), "left_semi")
-    loss = F.floor(-F.col("__lp") * F.lit(10_000.0 / SCALE) / F.col("__n"))
-
-    def deviation(median: Column) -> Column:
-        return F.floor((-F.col("__lp") * F.lit(10_000.0 / SCALE) / F.col("__n") - median) * F.sqrt(F.col("__n") / (F.col("__n") + F.lit(float(SHORT))))).cast("int")
-
-    def limits(by: list[str], name: str) -> DataFrame:
-        medians = trusted.groupBy(*by).agg(F.percentile(loss, F.lit(0.5)).alias("m"), F.count(F.lit(1)).alias("rows")).select(*[F.col(c).alias(f"__{c}") for c in by], "m", "rows")
-        medians = written(medians, f"{name}-medians").where(F.col("rows") >= (LEAST_HELD if by else 1))
-        on = F.lit(True)
-        for c in by:
-            on &= F.col(c).eqNullSafe(F.col(f"__{c}"))
-        near = trusted.join(checked_broadcast(medians), on).withColumn("dev", deviation(F.col("m")))
-        # a quantile of few documents is uncertain
-        h = F.percentile("dev", F.lit(HIGH)) + F.abs(F.percentile("dev", F.lit(HIGH))) * 2 / F.sqrt(F.count(F.lit(1)))
-        return written(near.groupBy(*[f"__{c}" for c in by], "m").agg(h.alias("h")), name)
-
-    own = limits(["lang"], "limits").select("__lang", F.col("m").alias("own_m"), F.col("h").alias("own_h"))
-    all_ = limits([], "limit").select(F.col("m").alias("all_m"), F.col("h").alias("all_h"))
-    out = scored.join(checked_broadcast(own), F.col("lang").eqNullSafe(F.col("__lang")), "left").join(F.broadcast(all_), how="left")
-    known = F.col("own_m").isNotNull()
-    dev = F.when(F.col("__n") > 0, deviation(F.when(known, F.col("own_m")).otherwise(F.col("all_m"))))
-    keep = dev <= F.when(known, F.col("own_h")).otherwise(F.col("all_h"))
-    ppl = F.when(F.col("__n") > 0, F.round(F.exp(-F.col("__lp") / F.lit(float(SCALE)) / F.col("__n")), 4))
-    return out.select("doc_id", "lang", F.col("__n").alias("n_grams"), ppl.alias("perplexity"), dev.alias("deviation"), F.coalesce(keep, F.lit(True)).alias("keep"))
+    with Workspace() as work:
+        good = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND coalesce(t, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__good"))
+        good = work.written(good, "trusted")
+        held_out = F.pmod(hash60("doc_id"), F.lit(HELD_OUT)) == 0
+        base = docs.select(F.col(id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
+        train = base.where(~held_out).join(checked_broadcast(good), F.col("doc_id") == F.col("__good"), "left_semi")
+        model = _kneser_ney(count_grams(train), work)
+        scored = work.kept(score(base, model, work), "scores")
+        trusted = scored.where(held_out & (F.col("__n") > 0)).join(checked_broadcast(good), F.col("doc_id") == F.col("__good"), "left_semi")
+        loss = F.floor(-F.col("__lp") * F.lit(10_000.0 / SCALE) / F.col("__n"))
+
+        def deviation(median: Column) -> Column:
+            return F.floor((-F.col("__lp") * F.lit(10_000.0 / SCALE) / F.col("__n") - median) * F.sqrt(F.col("__n") / (F.col("__n") + F.lit(float(SHORT))))).cast("int")
+
+        def limits(by: list[str], name: str) -> DataFrame:
+            medians = trusted.groupBy(*by).agg(F.percentile(loss, F.lit(0.5)).alias("m"), F.count(F.lit(1)).alias("rows")).select(*[F.col(c).alias(f"__{c}") for c in by], "m", "rows")
+            medians = work.written(medians, f"{name}-medians").where(F.col("rows") >= (LEAST_HELD if by else 1))
+            on = F.lit(True)
+            for c in by:
+                on &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+            near = trusted.join(checked_broadcast(medians), on).withColumn("dev", deviation(F.col("m")))
+            # a quantile of few documents is uncertain
+            h = F.percentile("dev", F.lit(HIGH)) + F.abs(F.percentile("dev", F.lit(HIGH))) * 2 / F.sqrt(F.count(F.lit(1)))
+            return work.kept(near.groupBy(*[f"__{c}" for c in by], "m").agg(h.alias("h")), name)
+
+        own = limits(["lang"], "limits").select("__lang", F.col("m").alias("own_m"), F.col("h").alias("own_h"))
+        all_ = limits([], "limit").select(F.col("m").alias("all_m"), F.col("h").alias("all_h"))
+        out = scored.join(checked_broadcast(own), F.col("lang").eqNullSafe(F.col("__lang")), "left").join(F.broadcast(all_), how="left")
+        known = F.col("own_m").isNotNull()
+        dev = F.when(F.col("__n") > 0, deviation(F.when(known, F.col("own_m")).otherwise(F.col("all_m"))))
+        keep = dev <= F.when(known, F.col("own_h")).otherwise(F.col("all_h"))
+        ppl = F.when(F.col("__n") > 0, F.round(F.exp(-F.col("__lp") / F.lit(float(SCALE)) / F.col("__n")), 4))
+        return out.select("doc_id", "lang", F.col("__n").alias("n_grams"), ppl.alias("perplexity"), dev.alias("deviation"), F.coalesce(keep, F.lit(True)).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that ``judge`` rejects; of repeated rows with one id all go if one is rejected, and null ids stay."""
-    bad = written(judge(docs, labels).where("NOT keep AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__bad")).distinct(), "rejected")
-    return docs.join(checked_broadcast(bad), F.col("__bad") == docs["doc_id"], "left_anti")
+    return without(docs, Workspace.kept(judge(docs, labels).where("NOT keep AND doc_id IS NOT NULL").select("doc_id").distinct(), "rejected"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

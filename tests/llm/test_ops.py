@@ -482,11 +482,16 @@ def slow_kn(texts):
     return lambda g: p(5, g)
 
 
-def test_kneser_ney_brute_force(spark, prose_of):
+def test_kneser_ney_brute_force(spark, prose_of, monkeypatch):
     texts = [prose_of(80, s) for s in range(6)] + ["ab", "", "abcde"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(50, None), (51, "QQ!! zz~~ " + texts[0]), (52, "é" * 9)], "doc_id long, text string")
     model = perplexity.kneser_ney(perplexity.count_grams(docs.where("doc_id < 9")))
-    got = {r.doc_id: (r["__lp"], r["__n"]) for r in perplexity.score(docs, model).collect()}
+    with Workspace() as w:
+        got = {r.doc_id: (r["__lp"], r["__n"]) for r in perplexity.score(docs, model, w).collect()}
+        monkeypatch.setattr(perplexity, "BLOCK_ROWS", 2)
+        monkeypatch.setattr(perplexity, "HELD_GRAMS", 1)
+        few = perplexity.score(w.written(docs.coalesce(1), "few"), model, w).collect()
+        assert {r.doc_id: (r["__lp"], r["__n"]) for r in few} == got
     prob = slow_kn([t.encode() for t in texts])
     for d, t in docs.collect():
         b = (t or "").encode()
@@ -498,6 +503,16 @@ def test_kneser_ney_brute_force(spark, prose_of):
         assert abs(sum(prob(h + bytes([x])) for x in range(256)) - 1) < 1e-9
 
 
+def test_gram_table():
+    r = np.random.default_rng(3)
+    keys = np.unique(r.integers(0, 1 << 40, 5000))
+    t = perplexity._Table(keys[::2], np.arange(len(keys[::2])))
+    v, hit = t.find(keys)
+    assert hit[::2].all() and not hit[1::2].any() and (v[::2] == np.arange(len(keys[::2]))).all() and (v[1::2] == 0).all()
+    v, hit = perplexity._Table(keys[:0], keys[:0]).find(keys)
+    assert not hit.any()
+
+
 def test_quality_classifier(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r.keep for r in perplexity.judge(docs, labels).collect()}
