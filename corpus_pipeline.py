@@ -2,13 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
 one's documents.  All but the last give the columns of ``documents``; the last adds the shard.
+
+All stages go by ``doc_id``, ``text``, ``lang`` and ``source`` and keep every other column as it is, whatever its name; only a column named ``shard``
+is replaced by the last.  Texts are read whole, however long.  An empty table stays empty.  Rows with a null ``doc_id`` are kept by the stages
+that remove rows, as nothing can name them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm.common import table, written
+from corpusmill.llm.common import fresh, table, written
 from corpusmill.llm.decontam import decontaminate, sql_leaks
 from corpusmill.llm.jaccard_join import one_of_each, sql_classes
 from corpusmill.llm.mixing import mix, sql_mix
@@ -17,27 +21,41 @@ from corpusmill.llm.sharding import SHARDS, assign_shards, sql_jump
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier doesn't reject."""
+    """The documents that the quality classifier doesn't reject.
+
+    Null texts and those of under five bytes stay, as nothing speaks against them; null languages are judged by all trusted documents.  Of repeated
+    rows with one id all go if one is rejected.
+    """
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that the n-gram Jaccard join links."""
+    """One document of each group that the n-gram Jaccard join links: the one with the lowest id, so there are no ties.
+
+    Null, empty and wordless texts are in no group and stay; repeated rows with one id all stay or go.
+    """
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without a passage of the benchmark."""
+    """The documents without a passage of the benchmark.
+
+    Null and empty texts hold none and stay, as do all documents where the benchmark is empty; repeated rows with one id all stay or go.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's repetition rate says; no source has a rate under 1, so none is lost."""
-    return mix(docs).select(*docs.columns)
+    """Each document as often as its source's repetition rate says; no source has a rate under 1, so none is lost.
+
+    Null sources are one source; null and empty texts weigh nothing and come as often as their source's others; rows with one id and source share
+    their fate.
+    """
+    return mix(docs, into=fresh(docs, "copy")).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shards."""
+    """The documents with their shards; rows with one id share a shard, null ids the empty text's."""
     return assign_shards(docs)
 
 

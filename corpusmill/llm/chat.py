@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import table
+from corpusmill.llm.common import fresh, table
 
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -89,16 +89,17 @@ def canonical(records: DataFrame, raw: str = "raw", layouts: list[Layout] = LAYO
     Turns whose text is null are left out, empty texts stay.  Texts that aren't JSON have a null fingerprint; those and
     unknown layouts have null layout and turns, and keep their row.  Fields that a mapping doesn't name, but that no
     example has either, make an unknown layout: its fingerprint tells which mapping to declare.  Columns with the names of
-    the three new ones are replaced.
+    the three new ones are replaced, all others kept.  Repeated records are rows each; texts are whole, however long; an empty table stays empty.
     """
     known = mappings(records.sparkSession, layouts)
     named = F.create_map(*[F.lit(x) for fp, n in known.items() for x in (fp, n)])
-    df = records.withColumn("__fp", fingerprint(raw)).withColumn("__layout", F.try_element_at(named, F.col("__fp")))
+    fp, name = fresh(records, "fp"), fresh(records, "name")
+    df = records.withColumn(fp, fingerprint(raw)).withColumn(name, F.try_element_at(named, F.col(fp)))
     turns: Column | None = None
     for x in layouts:
         # one parse a record: the branch of its layout
         e = F.expr(f"element_at(transform(array(from_json({_q(raw)}, '{x.schema}')), r -> {x.turns}), 1)").cast(TURNS)
-        turns = F.when(F.col("__layout") == x.name, e) if turns is None else turns.when(F.col("__layout") == x.name, e)
+        turns = F.when(F.col(name) == x.name, e) if turns is None else turns.when(F.col(name) == x.name, e)
 
     def clean(t: Column) -> Column:
         r = F.lower(F.trim(t["role"]))
@@ -108,7 +109,7 @@ def canonical(records: DataFrame, raw: str = "raw", layouts: list[Layout] = LAYO
         return F.struct(out.otherwise(r).alias("role"), t["text"].alias("text"))
 
     made = F.transform(F.filter(turns, lambda t: t["text"].isNotNull()), clean)
-    return df.withColumn(into, made).withColumn("layout", F.col("__layout")).withColumn("fingerprint", F.col("__fp")).drop("__fp", "__layout")
+    return df.withColumn(into, made).withColumn("layout", F.col(name)).withColumn("fingerprint", F.col(fp)).drop(fp, name)
 
 
 def _q(name: str) -> str:

@@ -28,22 +28,30 @@ WORD_WEIGHTS = (0.02, 0.05, 0.1, 0.2, 0.4, 0.8)
 LEAST = 0.01
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|</?([A-Za-z][A-Za-z0-9:-]*)(?:\s[^>]*)?/?>", re.S | re.I)
+_CLOSED = re.compile(r"</(script|style|noscript|template)\s*>\Z", re.I)
 _BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol br tr table section header footer nav blockquote pre title body article main aside td th dd dt dl form".split())
 
 
 def stretches(html: str) -> list[tuple[str, str]]:
     """(kind, text) in order: kind '' for a stretch of words, else a tag's name, '/' before closing ones; comments are '!--'."""
     out: list[tuple[str, str]] = []
-    at = 0
-    for m in _TAG.finditer(html):
+    at, end = 0, html.rfind(">") + 1
+    # behind the last '>' no tag can end, so none is looked for; else each '<' there would be followed to the end
+    for m in _TAG.finditer(html, 0, end):
         if m.start() > at and not (t := html[at : m.start()]).isspace():
             out.append(("", t))
         at = m.end()
         whole = m[0]
         name = (m[1] or m[2] or "!--").lower()
         out.append(("/" + name if whole.startswith("</") else name, ""))
-    if at < len(html) and not (t := html[at:]).isspace():
-        out.append(("", t))
+        if at == end and (whole.startswith("<!--") and not (len(whole) > 6 and whole.endswith("-->")) or m[1] and not ((c := _CLOSED.search(whole)) and c[1].lower() == m[1].lower())):
+            return out
+    rest = html[at:]
+    if (comment := rest.find("<!--")) >= 0:
+        out += [("", rest[:comment])] if rest[:comment].strip() else []
+        out.append(("!--", ""))
+    elif rest and not rest.isspace():
+        out.append(("", rest))
     return out
 
 
@@ -135,8 +143,9 @@ def extract_content(pages: DataFrame, train_pages: int = TRAIN_PAGES, id: str =
     """(page_id, text, n_words) for each row of ``pages``.
 
     The weights come from about ``train_pages`` labelled pages, those whose id hashes are lowest.  Null pages give null
-    text and 0 words; pages in which no words outweigh the tags, empty ones among them, give the empty text.  Repeated
-    rows give repeated rows; pages are whole, however long; other columns are left out.
+    text and 0 words; pages in which no words outweigh the tags, empty ones among them, give the empty text.  Of regions with
+    equal sums the first is taken, of these the shortest.  Repeated rows give repeated rows; pages are whole, however long, in time linear in
+    their length; an empty table gives an empty result; other columns, whatever their names, are left out.
     """
     marked = pages.where(F.lower(html).rlike("<(article|main)[\\s>]"))
     n = marked.count()

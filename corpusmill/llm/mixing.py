@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import checked_broadcast, hash60, table, written
+from corpusmill.llm.common import checked_broadcast, fresh, hash60, table, written
 
 #: Target weights are proportional to tokens ** TEMPER unless they are given.
 TEMPER = 0.75
@@ -42,20 +42,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temper: float
     """``docs`` with each row emitted as often as its source's rate says; ``into`` numbers a row's copies from 1.
 
     Rows with the same id in one source share their fate.  Null ids count as the empty text.  Documents of a source
-    without any token are emitted once: they weigh nothing.  A column that is already named ``into`` is replaced.
+    without any token are emitted once: they weigh nothing.  A column that is already named ``into`` is replaced, all others are
+    kept; an empty table stays empty; texts are counted whole; equal weights and repeated rows change nothing but the sums.
     The join with the rates moves no text while there are at most BROADCAST_ROWS sources; beyond that it shuffles.
     """
-    rates = written(source_rates(docs, weights, temper, total, text, source), "mix-rates").select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
-    joined = docs.join(checked_broadcast(rates), docs[source].cast("string").eqNullSafe(rates["__mix_source"]), "left")
-    rate = F.coalesce(F.col("__mix_rate"), F.lit(1.0))
+    name, rate_, n = fresh(docs, "mix_source"), fresh(docs, "mix_rate"), fresh(docs, "mix_copies")
+    rates = written(source_rates(docs, weights, temper, total, text, source), "mix-rates").select(F.col("source").alias(name), F.col("rate").alias(rate_))
+    joined = docs.join(checked_broadcast(rates), docs[source].cast("string").eqNullSafe(rates[name]), "left")
+    rate = F.coalesce(F.col(rate_), F.lit(1.0))
     coin = hash60(F.lit(str(seed)), id).cast("double") / F.lit(float(1 << 60))
     copies = (F.floor(rate) + F.when(coin < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    return (
-        joined.withColumn("__mix_n", copies)
-        .where("__mix_n > 0")
-        .withColumn(into, F.explode(F.sequence(F.lit(1), F.col("__mix_n"))))
-        .drop("__mix_source", "__mix_rate", "__mix_n")
-    )
+    return joined.withColumn(n, copies).where(F.col(n) > 0).withColumn(into, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(name, rate_, n)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,6 +162,46 @@ def _digest_ok(wanted: str | None, block: bytes) -> bool | None:
     return value.lower() == got.hex() or value.upper().rstrip("=") == base64.b32encode(got).decode().rstrip("=")
 
 
+def _payload(headers: dict[str, str], block: bytes) -> tuple[bytes, bytes]:
+    """(HTTP header, body) of a record that holds an HTTP message, else (nothing, the block)."""
+    if not headers.get("content-type", "").lower().startswith("application/http"):
+        return b"", block
+    head, found, body = block.partition(b"\r\n\r\n")
+    return (head, body) if found else (block, b"")
+
+
+def _unchunked(body: bytes) -> bytes:
+    """An HTTP body without its transfer chunks; as far as they go."""
+    parts, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        try:
+            n = int(size, 16)
+        except ValueError:
+            break
+        if n <= 0:
+            break
+        parts.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(parts)
+
+
+def digests_ok(headers: dict[str, str], block: bytes) -> bool | None:
+    """Whether the digests that a record states are right; None if it states none that can be checked.
+
+    The block digest is of the block, the payload digest of the body of an HTTP message, with its transfer chunks or without them, else of the
+    block as well.  A revisit's payload digest is of another record's payload.
+    """
+    found = [_digest_ok(headers.get("warc-block-digest"), block)]
+    if headers.get("warc-type", "").lower() != "revisit":
+        head, body = _payload(headers, block)
+        ok = _digest_ok(headers.get("warc-payload-digest"), body)
+        if ok is False and b"chunked" in head.lower():
+            ok = _digest_ok(headers.get("warc-payload-digest"), _unchunked(body))
+        found.append(ok)
+    return False if False in found else True if True in found else None
+
+
 def read_records(source: IO[bytes]) -> Iterator[dict]:
     """The records of one WARC stream in their order.
 
@@ -197,7 +237,7 @@ def read_records(source: IO[bytes]) -> Iterator[dict]:
             if not length.isdigit():
                 raise ValueError("a record has no Content-Length")
             block = members.take(int(length))
-            ok = _digest_ok(headers.get("warc-block-digest") or headers.get("warc-payload-digest"), block)
+            ok = digests_ok(headers, block)
             # a wrong length would take the records of the next members for its own
             if members.start != at and not ok and (ok is False or not members.at_record()):
                 raise ValueError("a record runs beyond its gzip member")
@@ -286,7 +326,11 @@ def _batch(path: str, rows: list[dict]) -> pa.RecordBatch:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all WARC files at ``path``; a broken file gives its sound records and a row with ``error`` for each bad one, as ``read_records`` says."""
+    """The records of all WARC files at ``path``; a broken file gives its sound records and a row with ``error`` for each bad one, as ``read_records`` says.
+
+    Repeated records are rows each, in the order of ``record`` within a file; one record is held at a time, however long; empty files and
+    folders give no rows; headers that a record repeats have their last value.
+    """
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").load(path)
 
@@ -296,7 +340,8 @@ def write_warc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url
 
     A file appears under its final name only when it is whole, and a task that is run again writes the same file.
     Null urls have no target URI; null texts are records of type ``metadata`` with an empty block, so that they can be
-    told from empty texts.  The id is kept in the header ``X-Row-Id``.
+    told from empty texts.  The id is kept in the header ``X-Row-Id``; a null id has none.  Repeated rows are records each, in the order they come;
+    texts are written whole; an empty table gives files without records.  Other columns, whatever their names, are not written.
     """
     fs, at = filesystem(path)
     fs.create_dir(at, recursive=True)

@@ -163,6 +163,36 @@ def test_warc_goes_on_after_bad_records(spark, tmp_path):
     assert [x["error"] for x in warc.records_of(gzip.compress(whole[:600]) + gzip.compress(whole[600:]) + many[4])] == [None, None]
 
 
+def test_warc_digests():
+    """Each digest over its own bytes."""
+    import base64
+    import hashlib
+
+    def sha(data):
+        return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+    body, chunked = b"<p>hello</p>", b"5\r\n<p>he\r\n7;x=1\r\nllo</p>\r\n0\r\n\r\n"
+    http, more = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body, b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked
+
+    def record(block, kind="response", content="application/http; msgtype=response", **digests):
+        lines = ["WARC/1.0", f"WARC-Type: {kind}", f"Content-Type: {content}", *(f"WARC-{k.rstrip('_').title()}-Digest: {v}" for k, v in digests.items()), f"Content-Length: {len(block)}", "", ""]
+        return gzip.compress("\r\n".join(lines).encode() + block + b"\r\n\r\n")
+
+    cases = [
+        (record(http, payload=sha(body)), True), (record(http, payload=sha(http)), False), (record(http, payload=sha(body), block_=sha(http)), True), (record(http, payload=sha(body), block_=sha(body)), False),
+        (record(http, block_=sha(http), payload=sha(b"")), False), (record(more, payload=sha(body)), True), (record(more, payload=sha(chunked)), True), (record(b"HTTP/1.1 304\r\n\r\n", "revisit", payload=sha(body)), None),
+        (record(body, "resource", "text/html", payload=sha(body)), True), (record(http), None), (record(b"HTTP/1.1 200", payload=sha(b"")), True),
+    ]
+    found = warc.records_of(b"".join(c for c, _ in cases))
+    assert [r["error"] for r in found] == [None] * len(cases) and [r["digest_ok"] for r in found] == [ok for _, ok in cases]
+
+
+def test_warc_clashing_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, "u", "a"), (1, "u", "a"), (2, "v", "")], "page_id long, url string, html string").selectExpr("*", "'z' AS n", "'z' AS id", "'z' AS payload")
+    warc.write_warc(df, f"file://{tmp_path}/c")
+    assert sorted((r.headers["x-row-id"], bytes(r.payload)) for r in warc.read_warc(spark, f"file://{tmp_path}/c").collect()) == [("1", b"a"), ("1", b"a"), ("2", b"")]
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([], "page_id long, url string, html string"), f"file://{tmp_path}/e")
     assert warc.read_warc(spark, f"file://{tmp_path}/e").count() == 0
@@ -191,6 +221,74 @@ def test_html_held_out():
     assert sum(f) / len(f) > 0.95
 
 
+def slow_stretches(html):
+    """One regex match after the other from each '<', as the grammar says."""
+    out, at, text = [], 0, ""
+    while at < len(html):
+        m = html_extract._TAG.match(html, at) if html[at] == "<" else None
+        if m is None:
+            text, at = text + html[at], at + 1
+            continue
+        out += [("", text)] if text and not text.isspace() else []
+        name = (m[1] or m[2] or "!--").lower()
+        out.append(("/" + name if m[0].startswith("</") else name, ""))
+        text, at = "", m.end()
+    return out + ([("", text)] if text and not text.isspace() else [])
+
+
+def slow_extract(html, weights):
+    """Content by trying all regions of single words and tags."""
+    units = []
+    for k, t in slow_stretches(html):
+        units += [(k, "", 0.0 if k.strip("/") in ("article", "main") else weights.get(k.strip("/"), weights["?"]))] if k else [("", w, weights[""]) for w in t.split()]
+    sums = [0.0, *itertools.accumulate(u[2] for u in units)]
+    best, found = 1e-9, (0, 0)
+    for i in range(len(units)):
+        for j in range(i + 1, len(units) + 1):
+            if sums[j] - sums[i] > best + 1e-9:
+                best, found = sums[j] - sums[i], (i, j)
+    return [html_extract._html.unescape(u[1]) for u in units[found[0] : found[1]] if u[0] == ""]
+
+
+def test_html_brute_force():
+    """Tokens, region and text against trying everything, on pages made of awkward pieces."""
+    r = random.Random(12)
+    some = ["<p>", "</p>", "<div class='x'>", "</div>", "word", "two words", " &amp; ", "<!-- c -->", "<!--", "<script>x</script>", "<script>", "<a ", "<", ">", "<1", "<style>", "</style>", "<unknown>", "<br/>", "<!doctype html>", "\n", "<main>", "<!-->"]
+    weights = {"": 0.7, "?": -1.0, "p": -0.3, "div": -0.9, "a": -0.8, "!--": -0.2, "script": -1.5, "br": -0.1}
+    for _ in range(400):
+        page = " ".join(r.choice(some) for _ in range(r.randrange(0, 25)))
+        assert html_extract.stretches(page) == slow_stretches(page), page
+        text, n = html_extract.extract(page, weights)
+        assert text.split() == [w for x in slow_extract(page, weights) for w in x.split()] and n == len(text.split()), page
+
+
+def test_html_weights_brute_force():
+    """Learned weights from counting tags and words inside and outside, page by page."""
+    r = random.Random(13)
+    pages = [f"<nav><a>menu {i}</a><a>x</a></nav><main><p>{'word ' * r.randrange(5, 30)}</p><p>more</p></main><div>foot <a>z</a></div>" for i in range(12)] + ["<p>no label</p>", "<main>a</main><main>b</main>", ""]
+    got = html_extract.learn(pages)
+    inside, outside = Counter(), Counter()
+    for p in pages[:12]:
+        before, _, rest = p.partition("<main>")
+        content, _, after = rest.partition("</main>")
+        for part, into in ((content, inside), (before + after, outside)):
+            into.update(re.findall(r"</?(\w+)", part))
+            into[""] += len(re.sub(r"<[^>]*>", " ", part).split())
+    names = {x for x in inside | outside if x}
+    a, b = sum(inside.values()) + len(names), sum(outside.values()) + len(names)
+    for x in names:
+        assert math.isclose(got[x], min(-0.01, math.log((inside[x] + 1) / a) - math.log((outside[x] + 1) / b)))
+
+
+def test_html_long_input_is_linear():
+    import time
+
+    for page in ("<a " * 350_000, "<a " * 300_000 + ">", "<!--" * 250_000, "<script " * 120_000, "</script " * 100_000, "<p>" * 300_000, "<" * 1_000_000, "<!x" * 300_000):
+        t = time.process_time()
+        html_extract.extract(page, {"": 0.2, "?": -1.0})
+        assert time.process_time() - t < 8
+
+
 def test_html_awkward(spark):
     rows = [(1, None), (2, ""), (3, "plain words here"), (4, "<p>a &amp; b"), (5, "<script>x"), (None, "<b>t</b>"), (6, "<article>" + "<p>word word</p>" * 50_000 + "</article>"), (3, "plain words here")]
     df = spark.createDataFrame(rows, "page_id long, html string").selectExpr("*", "'z' AS text", "'z' AS n_words")
