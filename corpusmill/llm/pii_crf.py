@@ -6,18 +6,20 @@ are: each is linked to that other one of them that speaks most for an entity.  R
 evidence again, so they don't outvote it.  Loopy message passing until the messages stand still makes labels agree over
 the whole document.  So a secret that is named once is found wherever it recurs.
 
-Every token of every document is a node of the field.  A token without a digit and without '@' can't be any entity here, so its
-label is known to be O, and it takes part as an observed neighbour only; messages are passed among the other tokens.
+Every token of every document is a node of the field.  Messages are passed among those that may be entities: the tokens with a digit or '@', those
+that follow a secret's name and '=' or ':', and those that are the same as any of these.  All others are labelled O by every feature that they
+can have, and take part as observed neighbours.
 
 The weights are trained piecewise (Sutton and McCallum, 2005) on documents labelled by distant supervision: strict patterns with
-checks give the labels, and the unary weights come from features that generalise beyond them.
+checks give the labels, which the same tokens of a document share.  The unary weights come from features that generalise beyond the patterns, and the
+potentials of chain and links from how often labels meet there.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,10 +31,12 @@ from corpusmill.llm.common import hash60, map_arrow, table
 from corpusmill.llm.tokens import as_strings, buffers, pieces
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET")
-#: Documents that the weights are learned from: about so many with any digit or '@', those whose id hashes are lowest.
+#: Documents that the weights are learned from: about so many of those with any candidate, those whose id hashes are lowest.
 TRAIN_DOCS = 3000
 #: A document's messages are passed until none changes by more than STILL; a field that swings without end is left after ROUNDS.
 ROUNDS, DAMP, STILL = 1000, 0.3, 1e-6
+#: Links counted beforehand, of equal and of different labels.
+AGREE = (1.0, 0.02)
 SCHEMA = "n_entities int, entities array<struct<label:string,start:int,end:int>>, redacted string"
 
 _SPACE = np.zeros(256, bool)
@@ -49,6 +53,9 @@ _HEX = re.compile(r"[0-9A-Za-z_\-]{16,}", re.ASCII)
 _KEY = re.compile(r"A(?:KI|SI|ID|RO)A[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|glpat-[\w-]{20,}|sk-[\w-]{32,}|xox[baprs]-[\w-]{10,}|AIza[\w-]{35}", re.ASCII)
 _ASSIGN = re.compile(r"([A-Za-z_-]+[\"']?)([=:])[\"']?([^\s\"']{8,})", re.ASCII)
 _NAMES = re.compile(r"(?:api[_-]?key|token|secret|password|passwd|pwd)[\"']?$", re.I)
+_NAMING = re.compile(rb"(?:api[_-]?key|token|secret|password|passwd|pwd)[\"']?$", re.I)
+#: Java regex that a text with any candidate matches.
+MAY_HOLD = "[0-9@]|(?i:api[_-]?key|token|secret|passw|pwd)"
 
 
 @dataclass(slots=True)
@@ -64,7 +71,7 @@ class Token:
 
 
 def candidates(text: str) -> list[Token]:
-    """The tokens with a digit or '@', with their numbers among all tokens."""
+    """The tokens that may be entities, with their numbers among all tokens."""
     return [t for _, ts in _candidates(pa.array([text], pa.large_string())) for t in ts]
 
 
@@ -74,32 +81,55 @@ def _candidates(strings: pa.Array) -> Iterator[tuple[int, list[Token]]]:
     if not len(raw):
         return
     marks = np.flatnonzero(_MARK[raw])
-    if not len(marks):
-        return
-    row_of = np.searchsorted(offsets, marks, side="right") - 1
-    for row in np.unique(row_of):
+    # where the '=' or ':' after a name stands
+    signs = np.flatnonzero((raw == 61) | (raw == 58))
+    named = np.array([p for p, start in zip(signs.tolist(), offsets[np.searchsorted(offsets, signs, side="right") - 1].tolist(), strict=True) if _NAMING.search(_left(raw, start, p))], np.int64)
+    mark_row, named_row = np.searchsorted(offsets, marks, side="right") - 1, np.searchsorted(offsets, named, side="right") - 1
+    marks_at, named_at = np.searchsorted(mark_row, np.arange(len(offsets))), np.searchsorted(named_row, np.arange(len(offsets)))
+    for row in np.union1d(mark_row, named_row):
         a, b = int(offsets[row]), int(offsets[row + 1])
         space = np.concatenate([[True], _SPACE[raw[a:b]], [True]])
         step = np.diff(space.astype(np.int8))
         starts, ends = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
-        own = np.unique(np.searchsorted(starts, marks[row_of == row] - a, side="right") - 1)
+        own = np.unique(np.searchsorted(starts, marks[marks_at[row] : marks_at[row + 1]] - a, side="right") - 1)
         data = raw[a:b].tobytes()
 
         def token(i: int, starts: np.ndarray = starts, ends: np.ndarray = ends, data: bytes = data) -> str:
             return data[starts[i] : ends[i]].decode("utf-8", "replace") if 0 <= i < len(starts) else ""
 
-        found = []
+        if named_at[row + 1] > named_at[row]:
+            # the token that the byte after the name lies in, or the one after it
+            after = np.minimum(np.searchsorted(ends, named[named_at[row] : named_at[row + 1]] - a + 1, side="right"), len(starts) - 1)
+            more = np.setdiff1d(after, own)
+            if len(more):
+                keys = {k for i in more if (k := _same(_token(int(i), token, 0)))}
+                every = [i for i in range(len(starts)) if _ALNUM.sub("", token(i).lower()) in keys] if keys else []
+                own = np.union1d(own, np.union1d(more, np.array(every, np.int64)))
         # characters before each byte
-        chars = np.cumsum((raw[a:b] & 0xC0) != 0x80) if len(data) else np.zeros(0, int)
-        for i in own:
-            whole = token(i)
-            core = _EDGE.sub("", whole)
-            lead = whole.find(core) if core else 0
-            before, before2 = token(i - 1), token(i - 2)
-            if (m := _ASSIGN.match(core)) and _NAMES.search(m[1]):
-                lead, core, before, before2 = lead + m.start(3), m[3], m[2], m[1]
-            found.append(Token(int(i), int(chars[starts[i]] - 1) + lead, core, before, before2, token(i + 1)))
-        yield int(row), found
+        chars = np.cumsum((raw[a:b] & 0xC0) != 0x80)
+        yield int(row), [_token(int(i), token, int(chars[starts[i]] - 1)) for i in own]
+
+
+def _left(raw: np.ndarray, start: int, end: int) -> bytes:
+    """The bytes before a place that a name may have, without the blanks between."""
+    reach = 32
+    while not (left := raw[max(start, end - reach) : end].tobytes().rstrip(b" \t")) and end - reach > start:
+        reach *= 4
+    left = raw[max(start, end - reach - 16) : end].tobytes().rstrip(b" \t")
+    return left[-16:]
+
+
+def _token(i: int, token: Callable[[int], str], start: int) -> Token:
+    """The i-th token of a text that starts at this character; a name with '=' or ':' before the value, in the token or as the one before, counts as two tokens before it."""
+    whole = token(i)
+    core = _EDGE.sub("", whole)
+    lead = whole.find(core) if core else 0
+    before, before2 = token(i - 1), token(i - 2)
+    if (m := _ASSIGN.match(core)) and _NAMES.search(m[1]):
+        lead, core, before, before2 = lead + m.start(3), m[3], m[2], m[1]
+    elif before[-1:] in ("=", ":") and _NAMES.search(before[:-1]):
+        before, before2 = before[-1], before[:-1]
+    return Token(i, start + lead, core, before, before2, token(i + 1))
 
 
 def luhn(digits: str) -> bool:
@@ -131,17 +161,33 @@ def strict_labels(tokens: list[Token]) -> list[int]:
             labels.append(4)
         elif _KEY.fullmatch(c):
             labels.append(5)
-        elif _HEX.fullmatch(c) and re.search(r"\d", c) and re.search(r"[A-Za-z]", c) and t.before in ("=", ":") and _NAMES.search(t.before2):
+        elif (_HEX.fullmatch(c) and re.search(r"\d", c) and re.search(r"[A-Za-z]", c) or len(c) >= 8 and not _plain(c)) and t.before in ("=", ":") and _NAMES.search(t.before2):
             labels.append(5)
         else:
             labels.append(0)
     return labels
 
 
+def _plain(c: str) -> bool:
+    """Whether a core is words, numbers or an assignment's code: nothing that looks made up."""
+    return all(not p or p.isdigit() or p.isalpha() and (p[1:].islower() or p.isupper() or len(p) == 1) for p in re.split(r"[-_.,'/()]", c))
+
+
+def shared_labels(tokens: list[Token]) -> list[int]:
+    """``strict_labels``, which the same tokens share: those labelled O have the most frequent other label of their group."""
+    labels = strict_labels(tokens)
+    for g in groups(tokens):
+        if found := Counter(labels[i] for i in g if labels[i]):
+            most = min(found, key=lambda k: (-found[k], k))
+            for i in g:
+                labels[i] = labels[i] or most
+    return labels
+
+
 def shape(core: str) -> str:
     """Runs of digits as d and their length to 4, letters as a, other characters as they are."""
     s = re.sub(r"[^\W\d_]+", "a", core)
-    return re.sub(r"\d+", lambda m: f"d{len(m[0])}" if len(m[0]) < 5 else f"d{5 * (len(m[0]) // 5)}+", s)[:40]
+    return re.sub(r"\d+", lambda m: f"d{len(m[0])}" if len(m[0]) < 5 else f"d{5 * (len(m[0]) // 5)}+", s)
 
 
 def observations(t: Token) -> list[str]:
@@ -294,10 +340,11 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str]) -> Field:
-    """The weights from documents labelled by ``strict_labels``.
+    """The weights from documents labelled by ``shared_labels``.
 
     Unary weights: multinomial logistic regression over the features seen at least twice.  Chain and skip
-    potentials: the log ratios of how often labels meet to how often they would by chance, smoothed.  Without any token that
+    potentials: the log ratios of how often labels meet to how often they would by chance, smoothed; what is
+    counted for links beforehand (AGREE) says that linked tokens agree, so that a label which no training document repeats is linked as well.  Without any token that
     could be an entity all weights are 0 but those that make O the label.
     """
     k = len(LABELS)
@@ -305,9 +352,9 @@ def train(texts: list[str]) -> Field:
     names = Counter(f for ts in docs for t in ts for f in set(observations(t)))
     index = {f: i for i, f in enumerate(sorted(f for f, c in names.items() if c > 1))}
     rows, cols, y = [], [], []
-    chain, skip = np.full((k, k), 0.5), np.full((k, k), 0.5)
+    chain, skip = np.full((k, k), 0.5), np.where(np.eye(k, dtype=bool), *AGREE)
     for ts in docs:
-        labels = strict_labels(ts)
+        labels = shared_labels(ts)
         for t, label in zip(ts, labels, strict=True):
             for f in observations(t):
                 if f in index:
@@ -334,10 +381,7 @@ def train(texts: list[str]) -> Field:
     r, c, t = np.array(rows), np.array(cols), np.array(y)
     w, bias = _multinomial(r, c, t, len(index), k)
     met = lambda m: np.clip(np.log(m / m.sum()) - np.log(m.sum(axis=1)[:, None] / m.sum() * m.sum(axis=0)[None, :] / m.sum()), -3, 3)
-    # agreement between linked tokens: what strict labels miss is what the links are for, so O beside an entity is no evidence
-    agree = np.where(np.eye(k, dtype=bool), 2.0, -2.0)
-    agree[0, 0] = 0.5
-    return Field({f: w[i] for f, i in index.items()}, bias, met(chain), np.clip(met(skip), -1, 1) + agree)
+    return Field({f: w[i] for f, i in index.items()}, bias, met(chain), met(skip))
 
 
 def _multinomial(rows: np.ndarray, cols: np.ndarray, y: np.ndarray, d: int, k: int, l2: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -424,10 +468,11 @@ def redact(text: str, found: list[tuple[str, int, int]]) -> str:
 def find_private(docs: DataFrame, train_docs: int = TRAIN_DOCS, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_entities, entities, redacted) for each row of ``docs`` in which an entity is found; ``entities`` has (label, start, end) in characters.
 
-    Null and empty texts have no entities.  Repeated rows give repeated rows.  Whole texts are searched, however long.  The
-    weights come from about ``train_docs`` documents with a digit or '@', chosen by id hash; with none, nothing is found.
+    Null and empty texts have no entities.  Repeated rows give repeated rows.  Whole texts are searched, however long.  Of labels with
+    equal probabilities the first of LABELS is taken.  The weights come from about ``train_docs`` documents that may hold an entity, chosen by id hash;
+    with none, nothing is found.  An empty table gives an empty result; other columns, whatever their names, are not read.
     """
-    marked = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    marked = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).where(F.col("text").rlike(MAY_HOLD))
     n = marked.count()
     cut = int(min(1.0, train_docs / max(n, 1)) * (1 << 60))
     sample = marked.where(hash60("doc_id") < cut).select("text").toArrow()["text"].to_pylist()

@@ -685,6 +685,141 @@ def test_messages_are_exact_on_trees():
     assert np.allclose(pii_crf.marginals(unary, edges, pot, rounds=60, damp=0.0), p / p.sum(axis=1, keepdims=True), atol=1e-6)
 
 
+def slow_candidates(text):
+    """Tokens by a split, those that may be entities by looking at each."""
+    spans = [(m.start(), m.group()) for m in re.finditer(r"[^\t\n\x0b\x0c\r ]+", text)]
+    name = r"(?:api[_-]?key|token|secret|password|passwd|pwd)[\"']?"
+    all_ = []
+    for i, (start, w) in enumerate(spans):
+        core = re.sub(r"^[^0-9A-Za-z@+(]+|[^0-9A-Za-z@)]+$", "", w)
+        at = start + (w.find(core) if core else 0)
+        before, before2 = spans[i - 1][1] if i else "", spans[i - 2][1] if i > 1 else ""
+        m = re.match(r"([A-Za-z_-]+[\"']?)([=:])[\"']?([^\s\"']{8,})", core, re.A)
+        if m and re.search(name + "$", m[1], re.I):
+            at, core, before, before2 = at + m.start(3), m[3], m[2], m[1]
+        elif before[-1:] in ("=", ":") and before and re.search(name + "$", before[:-1], re.I):
+            before, before2 = before[-1], before[:-1]
+        all_.append(pii_crf.Token(i, at, core, before, before2, spans[i + 1][1] if i + 1 < len(spans) else ""))
+    own = {i for i, (_, w) in enumerate(spans) if re.search("[0-9@]", w)}
+    named = set()
+    for m in re.finditer(f"{name}[ \t]*[=:]", text, re.I | re.A):
+        end = m.end()
+        named |= {next((i for i, (s, w) in enumerate(spans) if s + len(w) > end), len(spans) - 1)}
+    same = lambda w: re.sub("[^0-9a-z]+", "", w.lower())
+    keys = {same(all_[i].core) for i in named - own}
+    own |= named | {i for i, (_, w) in enumerate(spans) if len(same(w)) >= 6 and same(w) in keys}
+    return [all_[i] for i in sorted(own)]
+
+
+def slow_labels(f, text):
+    """Labels by passing messages one at a time between dictionaries, each sweep from those of the one before."""
+    ts = slow_candidates(text)
+    k = len(pii_crf.LABELS)
+    unary = []
+    for i, t in enumerate(ts):
+        u = f.bias.copy()
+        for x in pii_crf.observations(t):
+            u = u + f.unary.get(x, np.zeros(k))
+        if t.before and (i == 0 or ts[i - 1].index != t.index - 1):
+            u = u + f.chain[0]
+        if t.after and (i + 1 == len(ts) or ts[i + 1].index != t.index + 1):
+            u = u + f.chain[:, 0]
+        unary.append(u)
+    key = lambda t: re.sub("[^0-9a-z]+", "", t.core.lower())
+    group = {i: [j for j, o in enumerate(ts) if j != i and len(key(t)) >= 6 and key(o) == key(t)] for i, t in enumerate(ts)}
+    chain = {(i, i + 1) for i in range(len(ts) - 1) if ts[i + 1].index == ts[i].index + 1}
+    msg = {e: np.zeros(k) for a, b in chain for e in ((a, b), (b, a))}
+    link = {i: np.zeros(k) for i, g in group.items() if g}
+    send = lambda x: (lambda y: y - y.max())(np.array([np.logaddexp.reduce(x[:, j]) for j in range(k)]))
+    for _ in range(400):
+        total = [u + sum((m for (a, b), m in msg.items() if b == i), np.zeros(k)) + link.get(i, np.zeros(k)) for i, u in enumerate(unary)]
+        new = {(a, b): 0.3 * m + 0.7 * send((total[a] - msg[b, a])[:, None] + (f.chain if a < b else f.chain.T)) for (a, b), m in msg.items()}
+        own = {i: total[i] - link[i] for i in link}
+        best = {i: max(group[i], key=lambda j: (np.logaddexp.reduce(own[j][1:]) - own[j][0], -j)) for i in link}
+        link = {i: 0.3 * m + 0.7 * send(own[best[i]][:, None] + f.skip) for i, m in link.items()}
+        msg = new
+    total = [u + sum((m for (a, b), m in msg.items() if b == i), np.zeros(k)) + link.get(i, np.zeros(k)) for i, u in enumerate(unary)]
+    return ts, [int(t.argmax()) for t in total]
+
+
+def test_pii_brute_force(spark, field):
+    """The query's entities and redacted texts against tokens by splitting, messages one by one and replacing from the end."""
+    f, _ = field
+    hexes = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    made = [
+        f'so token = "{hexes}" and later {hexes}! and {hexes.upper()}', "password: kZx!vQmmRt then kZx!vQmmRt; and kzx-vqmmrt", "password: please call (743) 555-3824", "api_key=\n  Qq!wwEErrTt", "token   =", "=: token", "é token:é1é2é3é4é5é", "x" * 90 + "1",
+        "ab.19@mail5.example.com, ab.19@mail5.example.com", "card 4111111111111111 4111-1111-1111-1111", "from 76.34.228.86 to 999.1.1.1", "pwd=abc", "secret:" + " " * 90 + "mmVVnn!!kk", "",
+    ]
+    real = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE strlen(text) < 6000 AND regexp_matches(text, '[0-9@]') ORDER BY doc_id").fetchall()]
+    texts = made + real[:60]
+    for t in texts:
+        assert pii_crf.candidates(t) == slow_candidates(t), t
+        assert pii_crf.label_batch(f, [slow_candidates(t)])[0].tolist() == slow_labels(f, t)[1], t
+    # the query itself, with weights from the same documents
+    own = pii_crf.train(sorted(t for t in texts if re.search(r"[0-9@]|(?i:api[_-]?key|token|secret|passw|pwd)", t)))
+    want = {}
+    for d, t in enumerate(texts):
+        ts, labels = slow_labels(own, t)
+        if found := pii_crf.entities(ts, np.array(labels)):
+            masked = t
+            for label, a, b in reversed(found):
+                masked = f"{masked[:a]}[{label}]{masked[b:]}"
+            want[d] = (len(found), masked)
+    got = pii_crf.find_private(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert {r.doc_id: (r.n_entities, r.redacted) for r in got} == want and len(want) > 20
+
+
+def test_pii_training_brute_force(field):
+    """Potentials from counting each pair of neighbours and each pair of successive same tokens."""
+    texts = field[1][:150]
+    f = pii_crf.train(texts)
+    k = len(pii_crf.LABELS)
+    chain, skip = np.full((k, k), 0.5), np.full((k, k), 0.02) + 0.98 * np.eye(k)
+    for t in texts:
+        ts = slow_candidates(t)
+        labels = pii_crf.strict_labels(ts)
+        key = [re.sub("[^0-9a-z]+", "", x.core.lower()) for x in ts]
+        for i, x in enumerate(key):
+            others = Counter(labels[j] for j, y in enumerate(key) if y == x and len(x) >= 6 and labels[j])
+            labels[i] = labels[i] or (min(others, key=lambda n: (-others[n], n)) if others else 0)
+        by = {x.index: y for x, y in zip(ts, labels, strict=True)}
+        for i, x in enumerate(ts):
+            if x.index and x.index - 1 not in by and x.before:
+                chain[0, by[x.index]] += 1
+            if x.after:
+                chain[by[x.index], by.get(x.index + 1, 0)] += 1
+            same = [j for j in range(i) if key[j] == key[i] and len(key[i]) >= 6]
+            if same and not (same[-1] == i - 1 and ts[i - 1].index == x.index - 1):
+                skip[labels[same[-1]], labels[i]] += 1
+                skip[labels[i], labels[same[-1]]] += 1
+    for got, c in ((f.chain, chain), (f.skip, skip)):
+        p = c / c.sum()
+        assert np.allclose(got, np.clip(np.log(p / np.outer(p.sum(axis=1), p.sum(axis=0))), -3, 3))
+
+
+def test_pii_regression_brute_force():
+    """Weights against the same steps over a dense matrix, and near the optimum."""
+    r = np.random.default_rng(4)
+    x = (r.random((60, 7)) < 0.4).astype(float)
+    y = (x[:, 0] + 2 * x[:, 1] * (r.random(60) < 0.8)).astype(int)
+    rows, cols = np.nonzero(x)
+    w, b = pii_crf._multinomial(rows, cols, y, 7, 4, rounds=4000)
+    z = x @ w + b
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    g = x.T @ (p - np.eye(4)[y]) / 60
+    assert np.abs(g / x.mean(axis=0)[:, None] + 1e-3 * w).max() < 1e-3 and np.abs((p - np.eye(4)[y]).mean(axis=0)).max() < 1e-3
+
+
+def test_pii_many_tokens_are_linear():
+    import time
+
+    t = time.process_time()
+    text = " ".join(f"a{i % 50_000}b7" for i in range(100_000))
+    ts = pii_crf.candidates(text)
+    assert len(pii_crf.links(ts)[1]) == 50_000 and len(ts) == 100_000
+    assert time.process_time() - t < 10
+
+
 @pytest.fixture(scope="module")
 def field():
     texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.1/documents.parquet' WHERE regexp_matches(text, '[0-9@]') ORDER BY md5(doc_id::VARCHAR)").fetchall()]
@@ -757,7 +892,7 @@ def test_pii_examples(field):
 def test_pii_awkward(spark, awkward, nothing):
     private = "é write to ab.19@mail5.example.com now"
     df = spark.createDataFrame([(i, private) for i in (100, 100, None)] + [(i, f"filler {prose_free(i)} ab.{i:02d}@mail5.example.com x") for i in range(40)], "doc_id long, text string")
-    all_ = awkward.select("doc_id", "text").union(df)
+    all_ = awkward.unionByName(df, allowMissingColumns=True).selectExpr("*", "'z' AS n_entities", "'z' AS entities", "'z' AS redacted")
     got = pii_crf.find_private(all_).collect()
     assert len(got) == 43 and {r.doc_id for r in got} == {100, None, *range(40)}
     r = next(r for r in got if r.doc_id == 100)
