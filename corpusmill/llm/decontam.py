@@ -4,7 +4,8 @@ The test items form an inverted index with BM25 impacts, quantised to whole numb
 passage of every document is a query against it.  A passage has a cursor on the posting list of each of its terms.  The cursors are
 ordered by item; the pivot is the item at which the largest impacts of the terms so far reach the threshold: no item before it can.  If
 the maxima of the pivot's blocks can't reach it either, the cursors skip to where one of these blocks ends or another cursor stands; else the pivot
-is scored.  Without a pivot the passage is done.  Many passages take each step together, as rows of a matrix of cursors.
+is scored.  Without a pivot the passage is done.  Many passages take each step together, as rows of a matrix of cursors.  Before any cursor is set
+the same bound over SPANS large spans of items passes over the passages that can't have a hit in any of them.
 All items at or above the threshold are retrieved, whatever their number; then the overlap of the item's question and of its answer with the
 passage is verified.
 
@@ -33,6 +34,8 @@ QUESTION, ANSWER = 0.6, 0.6
 GRAM = 3
 #: Items in a block of the posting lists, and items whose index is broadcast at a time; more items take more passes.
 BLOCK, SHARD_ITEMS = 4, 20_000
+#: Spans of items over which each term's largest impact is held beside, to pass over most passages before any cursor is set.
+SPANS = 32
 #: Cursors that step together.
 CELLS = 400_000
 
@@ -56,8 +59,9 @@ class Index:
     block_most: np.ndarray
     grams: list[tuple[np.ndarray, np.ndarray]]
     window: int
-    #: Whether a term may have these low bits.
+    #: Whether a term may have these low bits, and each term's largest impact in each span of items.
     maybe: np.ndarray
+    spans: np.ndarray
 
 
 def grams(h: np.ndarray, n: int = GRAM) -> np.ndarray:
@@ -124,7 +128,9 @@ def build(ids: list, hashes: list[np.ndarray], stats: Statistics) -> Index:
     halves = [(grams(h[: (len(h) + 1) // 2]), grams(h[(len(h) + 1) // 2 :])) for h in hashes]
     maybe = np.zeros(1 << max(12, (16 * len(terms)).bit_length()), bool)
     maybe[terms & np.uint64(len(maybe) - 1)] = True
-    return Index(ids, terms, np.append(starts, len(item)), item, share, most, row * (len(ids) + 1) + item, block_at, block_most, halves, stats.longest, maybe)
+    spans = np.zeros((len(terms), SPANS), np.int32)
+    np.maximum.at(spans, (row, item * SPANS // max(1, len(ids))), share.astype(np.int32))
+    return Index(ids, terms, np.append(starts, len(item)), item, share, most, row * (len(ids) + 1) + item, block_at, block_most, halves, stats.longest, maybe, spans)
 
 
 class _Cursors:
@@ -225,8 +231,8 @@ def search(index: Index, h: np.ndarray, at: np.ndarray, threshold: float = THRES
     passage, term = both // n_terms, both % n_terms
     starts = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1]]))
     size = np.diff(np.append(starts, len(passage)))
-    # passages without a pivot even at the start; the others by size, so that rows are filled
-    some = np.flatnonzero(np.add.reduceat(index.most[term], starts) >= need)
+    # passages of which no span of items can reach the threshold have no pivot there; the others go by size, so that rows are filled
+    some = np.flatnonzero(np.add.reduceat(index.spans[term], starts, axis=0).max(axis=1) >= need)
     some = some[np.argsort(size[some], kind="stable")]
     lo = 0
     while lo < len(some):
