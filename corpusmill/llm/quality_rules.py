@@ -1,9 +1,9 @@
 """Quality rules: logistic regression over hashed word and character n-grams, calibrated, against fixed thresholds.
 
 Two heads are trained on labelled rows: whether a document is good and whether it is toxic.  Features are the presence of
-hashed word unigrams and bigrams, of words repeated four times over, and of byte 4-grams.  Of these the ones most associated
-with the label are kept; a logistic regression weighs them, and Platt scaling on rows that it wasn't trained on turns its
-scores into probabilities.  Documents are scored in Arrow batches: no row of text becomes a Python object.
+hashed word unigrams and bigrams, of words repeated four times over, and of byte 4-grams.  Features that aren't associated with the label
+beyond chance (|z| under MIN_Z in MIN_ROWS rows or more) have weight 0, whatever their number; a logistic regression weighs the others, and Platt
+scaling on rows that it wasn't trained on turns its scores into probabilities.  Documents are scored in Arrow batches: no row of text becomes a Python object.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ TRAIN_ROWS = 6000
 #: One fitted row in so many calibrates instead of training.
 CALIBRATE = 4
 BITS = 22
-KEPT, MIN_ROWS, MIN_Z = 2048, 4, 4.0
+#: Rows that a feature must be in and the association with the label that it must have to be weighed.
+MIN_ROWS, MIN_Z = 4, 4.0
 #: Fixed thresholds on the calibrated probabilities.
 MIN_QUALITY, MAX_TOXIC = 0.5, 0.5
 
@@ -120,13 +121,15 @@ class Heads:
 
 def _rows_with(column: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many rows with label 1 and with label 0 have each bucket."""
-    counts = np.zeros((2, 1 << BITS), np.int32)
+    counts = np.zeros((2, 1 << BITS), np.int64)
     everything = np.arange(1 << BITS, dtype=np.int32)
-    for lo in range(0, len(column), 64):
-        rows, cols = presence(column.slice(lo, 64), everything)
+    for lo in range(0, len(column), 1024):
+        some = y[lo : lo + 1024]
+        rows, cols = presence(column.slice(lo, 1024), everything)
+        # a bucket that several kinds of features share comes once for each
+        code = np.unique(rows << BITS | cols)
         for k in (0, 1):
-            # a (row, bucket) may come once for each kind; adding is right but for colliding kinds
-            counts[k] += np.bincount(cols[y[lo : lo + 64][rows] == k], minlength=1 << BITS).astype(np.int32)
+            counts[k] += np.bincount((code & ((1 << BITS) - 1))[some[code >> BITS] == k], minlength=1 << BITS)
     return counts[1], counts[0]
 
 
@@ -137,46 +140,56 @@ def fit(texts: pa.Array, y: np.ndarray, calibrates: np.ndarray) -> Head:
     n1, n0 = int((y[train] == 1).sum()), int((y[train] == 0).sum())
     if not n1 or not n0:
         return Head(none, np.zeros(1), 0.0, 1.0, 30.0 if n1 else -30.0)
-    t = texts.filter(pa.array(train))
-    with1, with0 = _rows_with(t, y[train])
+    with1, with0 = _rows_with(texts.filter(pa.array(train)), y[train])
     p1, p0 = (with1 + 0.5) / (n1 + 1), (with0 + 0.5) / (n0 + 1)
     p = (with1 + with0 + 1.0) / (n1 + n0 + 2)
     z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    z[(with1 + with0 < MIN_ROWS) | (z < MIN_Z)] = 0
-    best = np.argsort(-z, kind="stable")[:KEPT]
-    best = best[z[best] > 0]
+    best = np.flatnonzero((with1 + with0 >= MIN_ROWS) & (z >= MIN_Z))
     chosen = none.copy()
     chosen[best] = np.arange(len(best))
-    x = np.zeros((len(texts), max(1, len(best))), np.float32)
-    for lo in range(0, len(texts), 256):
-        rows, cols = presence(texts.slice(lo, 256), chosen)
-        x[rows + lo, cols] = 1
-    r = np.log(p1[best] / p0[best]).astype(np.float32) if len(best) else np.zeros(1, np.float32)
-    w, bias = _regress(x[train] * r, y[train].astype(np.float32))
-    w = w * r
-    logit = x @ w + bias
-    scale, shift = _platt(logit[calibrates].astype(float), y[calibrates])
-    return Head(chosen, w.astype(np.float64), float(bias), scale, shift)
-
-
-def _regress(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and bias of the L2-regularised logistic regression, by accelerated gradient steps."""
-    n, d = x.shape
-    v = np.ones(d, np.float32) / np.sqrt(d)
+    # a row and feature for each that is there
+    found = [presence(texts.slice(lo, 256), chosen) for lo in range(0, len(texts), 256)]
+    code = np.unique(np.concatenate([(r + 256 * i) * max(1, len(best)) + c for i, (r, c) in enumerate(found)]))
+    rows, cols = code // max(1, len(best)), (code % max(1, len(best))).astype(np.int32)
+    r = np.log(p1[best] / p0[best])
+    number = np.cumsum(train) - 1
+    mine = train[rows]
+    w, bias = _regress(number[rows[mine]], cols[mine], r, y[train].astype(float))
+    logit = np.bincount(rows, w[cols], len(texts)) + bias if len(cols) else np.full(len(texts), bias)
+    scale, shift = _platt(logit[calibrates], y[calibrates])
+    return Head(chosen, w if len(w) else np.zeros(1), bias, scale, shift)
+
+
+def _regress(rows: np.ndarray, cols: np.ndarray, r: np.ndarray, y: np.ndarray, l2: float = 1e-3, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic regression, by accelerated gradient steps.
+
+    A feature's value is ``r``, the log ratio of its rates, where it is present (rows, cols), so that the penalty on the weights of these values
+    holds the features that say little closer to 0; the weights returned are for presence.
+    """
+    n, d = len(y), len(r)
+    each = np.bincount(rows, minlength=n)
+
+    def times(v: np.ndarray) -> np.ndarray:
+        return np.bincount(rows, (v * r)[cols], n) if len(cols) else np.zeros(n)
+
+    def back(g: np.ndarray) -> np.ndarray:
+        return np.bincount(cols, np.repeat(g, each), d) * r if len(cols) else np.zeros(d)
+
+    v, norm = np.ones(d) / np.sqrt(max(d, 1)), 1.0
     for _ in range(20):
-        v = x.T @ (x @ v)
+        v = back(times(v))
         norm = float(np.linalg.norm(v)) or 1.0
         v /= norm
     step = 1.0 / (0.25 * (norm / n + 1.0) + l2)
-    w = u = np.zeros(d, np.float32)
+    w = u = np.zeros(d)
     c = bias = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     for k in range(rounds):
-        g = (1.0 / (1.0 + np.exp(-np.clip(x @ u + c, -30, 30))) - y) / n
-        w_, c_ = u - step * (x.T @ g + l2 * u), c - step * float(g.sum())
+        g = (1.0 / (1.0 + np.exp(-np.clip(times(u) + c, -30, 30))) - y) / n
+        w_, c_ = u - step * (back(g) + l2 * u), c - step * float(g.sum())
         m = k / (k + 3.0)
         u, c = w_ + m * (w_ - w), c_ + m * (c_ - bias)
         w, bias = w_, c_
-    return w, bias
+    return w * r, bias
 
 
 def _platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -199,25 +212,27 @@ def _platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id: str = "doc_id", text: str = "text") -> tuple[Head, Head]:
-    """(quality head, toxic head), fitted on about ``rows`` labelled rows with the lowest id hashes; labels that contradict each other are left out."""
-    flat = labels.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("q2"), F.min("toxic").alias("t"), F.max("toxic").alias("t2")).where("q = q2 AND t = t2 AND doc_id IS NOT NULL")
-    flat = written(flat.select(F.col("doc_id").alias("__id"), "q", "t"), "labels")
+    """(quality head, toxic head), fitted on about ``rows`` labelled rows with the lowest id hashes; a label that is null or contradicts another one of its document counts for neither side of its own head."""
+    flat = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*[F.when(F.min(c) == F.max(c), F.min(c)).alias(n) for c, n in (("quality", "q"), ("toxic", "t"))]).where("q IS NOT NULL OR t IS NOT NULL")
+    flat = written(flat.select(F.col("doc_id").alias("label_id"), "q", "t", hash60("doc_id").alias("h")), "labels")
     n = flat.count()
-    cut = int(min(1.0, rows / max(n, 1)) * (1 << 60))
-    some = flat.withColumn("h", hash60("__id")).where(F.col("h") < cut)
-    found = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL").join(checked_broadcast(some), F.col("doc_id") == F.col("__id")).select("text", "q", "t", "h").toArrow()
-    order = np.lexsort((found["q"].to_numpy(), found["h"].to_numpy()))
-    found = found.take(pa.array(order))
-    texts = as_strings(found["text"])
-    calibrates = found["h"].to_numpy() % CALIBRATE == 0
-    return fit(texts, found["q"].to_numpy(), calibrates), fit(texts, found["t"].to_numpy(), calibrates)
+    some = flat.where(F.col("h") < int(min(1.0, rows / max(n, 1)) * (1 << 60)))
+    found = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL").join(checked_broadcast(some), F.col("doc_id") == F.col("label_id")).select("text", "q", "t", "h").toArrow()
+    found = found.sort_by([("h", "ascending"), ("text", "ascending")])
+    texts, h = as_strings(found["text"]), found["h"].to_numpy()
+    heads = []
+    for c in ("q", "t"):
+        known = found[c].is_valid().to_numpy()
+        heads.append(fit(texts.filter(pa.array(known)), found[c].to_numpy()[known].astype(int), h[known] % CALIBRATE == 0))
+    return heads[0], heads[1]
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, quality, toxic, keep) for each row of ``docs``: calibrated probabilities to four decimals, and whether both are within the fixed thresholds.
 
     Null texts count as empty; those have no features, so their probabilities are the heads' biases.  Whole texts are
-    scored, however long, and repeated rows each.  With labels of one class only, a head answers with that class.
+    scored, however long, and repeated rows each.  With labels of one class only, a head answers with that class; without any, with 0.  A
+    probability at a threshold keeps the row.  An empty table gives an empty result; other columns, whatever their names, are not read.
     """
     quality, toxic = train(docs, labels, rows, id, text)
     heads = docs.sparkSession.sparkContext.broadcast(Heads([quality, toxic]))

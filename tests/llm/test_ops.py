@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import itertools
 import math
@@ -15,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import expected, rows
+from pyspark.sql import functions as F
 
 from corpusmill.llm import chat, decontam, html_extract, jaccard_join, mixing, perplexity, pii_crf, quality_rules, sharding, warc
 from corpusmill.llm.common import Workspace
@@ -661,6 +663,84 @@ def test_rules_brute_force():
         assert set(c[r == row]) == set(c1)
 
 
+def slow_features(text):
+    """Buckets of all features of a text, one feature at a time."""
+    from corpusmill.llm.tokens import combine
+
+    one = lambda x: np.array([x], np.uint64)
+    ws = [one(word_hash(w)) for w in split(text)]
+    out = {int(quality_rules._bucket(w, "word")[0]) for w in ws}
+    out |= {int(quality_rules._bucket(combine(a, b), "pair")[0]) for a, b in itertools.pairwise(ws)}
+    out |= {int(quality_rules._bucket(one(0), "repeat")[0]) for i in range(len(ws) - 3) if ws[i] == ws[i + 1] == ws[i + 2] == ws[i + 3]}
+    b = text.encode()
+    for i in range(len(b) - 3):
+        h = int.from_bytes(b[i : i + 4], "little") * 2654435761 % 2**32
+        out.add((h ^ 0x5BD1E995) >> (32 - quality_rules.BITS))
+    return out
+
+
+def slow_head(texts, y, calibrates):
+    """A head from sets and dense matrices; None with one class."""
+    feats = [slow_features(t) for t in texts]
+    tr = [i for i in range(len(y)) if not calibrates[i]]
+    n1 = sum(y[i] for i in tr)
+    n0 = len(tr) - n1
+    w1, w0 = Counter(f for i in tr if y[i] for f in feats[i]), Counter(f for i in tr if not y[i] for f in feats[i])
+    rate = {f: ((w1[f] + 0.5) / (n1 + 1), (w0[f] + 0.5) / (n0 + 1)) for f in w1 | w0 if w1[f] + w0[f] >= quality_rules.MIN_ROWS}
+    p = {f: (w1[f] + w0[f] + 1) / (n1 + n0 + 2) for f in rate}
+    best = sorted(f for f, (a, b) in rate.items() if abs(a - b) / math.sqrt(max(p[f] * (1 - p[f]), 1e-9) * (1 / n1 + 1 / n0)) >= quality_rules.MIN_Z)
+    x = np.array([[math.log(rate[f][0] / rate[f][1]) * (f in s) for f in best] for s in feats])
+    return best, x
+
+
+def test_rules_against_brute_force(spark, prose_of):
+    """The query's probabilities from features in sets, a regression held at its optimum, and calibration."""
+    r = random.Random(21)
+    docs = []
+    for i in range(160):
+        good, toxic = i % 3 != 0, i % 5 == 0
+        body = prose_of(r.randrange(3, 25), i).split()
+        body += ["idiot"] * toxic + (["junk"] * 5 + ["zz qq zz"] if not good else [])
+        r.shuffle(body)
+        docs.append((i, " ".join(body) + (" junk junk junk junk" if not good and i % 2 else ""), int(good), int(toxic)))
+    docs[4] = (4, "", 1, 0)
+    df = spark.createDataFrame(docs, "doc_id long, text string, quality int, toxic int").repartition(3)
+    labels_ = df.select("doc_id", F.when(F.col("doc_id") != 7, F.col("quality")).alias("quality"), F.when(F.col("doc_id") != 9, F.col("toxic")).alias("toxic"))
+    got = {x.doc_id: x for x in quality_rules.apply_rules(df, labels_).collect()}
+    order = sorted(((int(hashlib.md5(str(d).encode()).hexdigest()[:15], 16), d) for d, *_ in docs))
+    head = dict(zip(("quality", "toxic"), quality_rules.train(df, labels_), strict=True))
+    for k, (name, unknown) in enumerate((("quality", 7), ("toxic", 9))):
+        some = [(h, d) for h, d in order if d != unknown]
+        texts, y = [docs[d][1] for _, d in some], np.array([docs[d][2 + k] for _, d in some])
+        cal = np.array([h % quality_rules.CALIBRATE == 0 for h, _ in some])
+        best, x = slow_head(texts, y, cal)
+        h = head[name]
+        assert np.flatnonzero(h.chosen >= 0).tolist() == best and len(best) > 5
+        ratio = np.array([math.log(a) for a in np.exp(np.abs(x).max(axis=0))]) * np.sign(x.sum(axis=0))
+        u = h.weights / ratio
+        logit = x @ u + h.bias
+        g = (1 / (1 + np.exp(-logit[~cal])) - y[~cal]) / (~cal).sum()
+        # within reach of the optimum
+        assert np.abs(x[~cal].T @ g + 1e-3 * u).max() < 2e-3 and abs(g.sum()) < 1e-2
+        n1, n0 = int(y[cal].sum()), int((1 - y[cal]).sum())
+        t = np.where(y[cal] == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+        q = 1 / (1 + np.exp(-(h.scale * logit[cal] + h.shift)))
+        assert abs((q - t).sum()) < 1e-3 and abs(((q - t) * logit[cal]).sum() + 1e-3 * (h.scale - 1)) < 1e-2
+        for d, text, *_ in docs:
+            at = [best.index(f) for f in slow_features(text) if f in best]
+            p = 1 / (1 + math.exp(-min(30, max(-30, h.scale * (h.bias + sum(h.weights[at])) + h.shift))))
+            assert abs(got[d][name] - p) < 6e-5
+    assert all(x.keep == (x.quality >= 0.5 and x.toxic <= 0.5) for x in got.values())
+
+
+def test_rules_null_labels(spark):
+    """A null label of one kind doesn't take the other from its head."""
+    docs = spark.createDataFrame([(i, "good fine words" if i % 2 else "bad bad words") for i in range(200)], "doc_id long, text string")
+    both = spark.createDataFrame([(i, i % 2, None) for i in range(200)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.quality for r in quality_rules.apply_rules(docs, both).collect()}
+    assert min(got[i] for i in range(1, 200, 2)) > 0.5 > max(got[i] for i in range(0, 200, 2))
+
+
 def test_rules_awkward(spark, awkward, labels, nothing):
     got = quality_rules.apply_rules(awkward, labels)
     assert got.count() == 12 and got.where("quality BETWEEN 0 AND 1 AND toxic BETWEEN 0 AND 1").count() == 12
@@ -814,7 +894,7 @@ def test_pii_many_tokens_are_linear():
     import time
 
     t = time.process_time()
-    text = " ".join(f"a{i % 50_000}b7" for i in range(100_000))
+    text = " ".join(f"a{100_000 + i % 50_000}b7" for i in range(100_000))
     ts = pii_crf.candidates(text)
     assert len(pii_crf.links(ts)[1]) == 50_000 and len(ts) == 100_000
     assert time.process_time() - t < 10
