@@ -27,6 +27,12 @@ def select_files(files: DataFrame, selection: DataFrame) -> DataFrame:
     return files.join(selection.select("rel"), "rel", "left_semi")
 
 
+def curate(included: DataFrame, excluded: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """The paths of a curation: those included and not excluded, and of a saved one only those that a scan found again."""
+    chosen = included.select("rel").distinct().join(excluded.select("rel"), "rel", "left_anti")
+    return chosen if scanned is None else chosen.join(scanned.select("rel"), "rel", "left_semi")
+
+
 def rescue(kept: DataFrame, skips: DataFrame, forced: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, skips) once the forced paths, if there are such files, count as kept."""
     found = files.join(forced.select("rel"), "rel", "left_semi")

@@ -14,8 +14,10 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusmill.functions.udf import vectorized
+from corpusmill.sources.bytes import SNIFF, is_binary
 
 MOST_LINES = 4000
 CHANGE = "struct<path:string,kind:string,content:string,hunks:array<struct<old_start:int,lines:array<string>,no_eol:boolean>>,ord:int>"
@@ -296,34 +298,91 @@ class Preview:
     base: str | None
 
 
-def preview(root: str, changes: list[Change]) -> list[Preview]:
-    """The changes folded by path in their order; deletions are shown and never done, binary files refused."""
-    out: dict[str, Preview] = {}
+def fold(path: str, data: bytes | None, folder: bool, changes: list[Change]) -> Preview:
+    """What one file becomes by its changes in their order, each on what the one before left; deletions are shown and never done, binary files refused."""
+    if safe_join("", path) is None:
+        return Preview(path, "refuse", False, "path outside of the root", None, None)
+    if folder:
+        return Preview(path, "refuse", False, "is a folder", None, None)
+    if data is not None and is_binary(data[:SNIFF]):
+        return Preview(path, "refuse", False, "binary file", None, None)
+    text = None if data is None else data.decode("utf-8", "replace")
+    out = Preview(path, "create" if data is None else "modify", True, None, text, None if data is None else hashlib.sha256(data).hexdigest())
     for c in changes:
-        full = safe_join(root, c.path)
-        if full is None or os.path.isdir(full):
-            out[c.path] = Preview(c.path, "refuse", False, "path outside of the root" if full is None else "is a folder", None, None)
-            continue
-        seen = out.get(c.path)
-        if seen is None:
-            data = open(full, "rb").read() if os.path.exists(full) else None
-            if data is not None and b"\0" in data[:8192]:
-                out[c.path] = Preview(c.path, "refuse", False, "binary file", None, None)
-                continue
-            text = None if data is None else data.decode("utf-8", "replace")
-            seen = Preview(c.path, "create" if data is None else "modify", True, None, text, None if data is None else hashlib.sha256(data).hexdigest())
-        if not seen.ok:
-            continue
+        if not out.ok:
+            break
         if c.kind == "delete":
-            out[c.path] = Preview(c.path, "delete", False, "deletions are not carried out", None, seen.base)
+            out = Preview(path, "delete", False, "deletions are not carried out", None, out.base)
         elif c.kind == "full":
             new = (c.content or "").replace("\r\n", "\n")
-            seen.text = new.replace("\n", "\r\n") if seen.text and "\r\n" in seen.text else new
-            out[c.path] = seen
+            out.text = new.replace("\n", "\r\n") if out.text and "\r\n" in out.text else new
         else:
-            text, note = apply_hunks(seen.text or "", c.hunks)
-            out[c.path] = Preview(c.path, seen.action, note is None, note, text, seen.base)
-    return list(out.values())
+            made, note = apply_hunks(out.text or "", c.hunks)
+            out = Preview(path, out.action, note is None, note, made, out.base)
+    return out
+
+
+def preview(root: str, changes: list[Change]) -> list[Preview]:
+    """The changes folded by path, in the order in which the paths come."""
+    by: dict[str, list[Change]] = {}
+    for c in changes:
+        by.setdefault(c.path, []).append(c)
+    out = []
+    for path, own in by.items():
+        full = safe_join(root, path)
+        data = open(full, "rb").read() if full and os.path.isfile(full) else None
+        out.append(fold(path, data, bool(full) and os.path.isdir(full), own))
+    return out
+
+
+PREVIEW = "path string, action string, ok boolean, note string, text string, base string, identical boolean"
+
+
+def previews(changes: DataFrame, state: DataFrame) -> DataFrame:
+    """(path, action, ok, note, text, base, identical) of each path that is to be changed, from (path, ord, kind, content, hunks) and what is there: (path, content, folder).
+
+    Proposals meet the files by a left join, and a path's changes are folded in their order; a path has few changes, so a group is small.
+    """
+    joined = changes.select("path", F.struct("ord", "kind", "content", "hunks").alias("change")).groupBy("path").agg(F.sort_array(F.collect_list("change")).alias("changes"))
+    joined = joined.join(state.select("path", F.col("content").alias("data"), "folder"), "path", "left")
+
+    @vectorized("struct<action:string,ok:boolean,note:string,text:string,base:string,identical:boolean>")
+    def folded(path: pd.Series, data: pd.Series, folder: pd.Series, own: pd.Series) -> pd.DataFrame:
+        rows = []
+        for p, d, is_folder, cs in zip(path, data, folder, own, strict=True):
+            made = [Change(p, c["kind"], c["content"], [Hunk(h["old_start"], list(h["lines"]), bool(h["no_eol"])) for h in (c["hunks"] if c["hunks"] is not None else [])]) for c in cs]
+            held = None if d is None else bytes(d)
+            r = fold(p, held, bool(is_folder) if is_folder is not None else False, made)
+            same = r.ok and held is not None and r.text is not None and r.text.encode() == held
+            rows.append((r.action, r.ok, r.note, r.text, r.base, same))
+        return pd.DataFrame(rows, columns=["action", "ok", "note", "text", "base", "identical"])
+
+    return joined.withColumn("p", folded("path", "data", "folder", "changes")).select("path", "p.*")
+
+
+def accepted(pending: DataFrame, chosen: DataFrame, key: str = "path") -> DataFrame:
+    """The pending changes that were accepted."""
+    return pending.join(chosen.select(key).distinct(), key, "left_semi")
+
+
+def paired(lines: DataFrame, *key: str, at: str = "at", tag: str = "tag") -> DataFrame:
+    """``lines`` of diffs with ``run`` and ``pair``: in each run of changed lines the k-th deleted one stands beside the k-th inserted one; null for unchanged lines.
+
+    A run is an island between unchanged lines, found by their running count.
+    """
+    w = Window.partitionBy(*key).orderBy(at)
+    run = F.count_if(F.col(tag) == "eq").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    numbered = lines.withColumn("run", run)
+    k = F.row_number().over(Window.partitionBy(*key, "run", tag).orderBy(at))
+    changed = F.col(tag) != "eq"
+    return numbered.withColumn("pair", F.when(changed, k)).withColumn("run", F.when(changed, F.col("run")))
+
+
+def shown(lines: DataFrame, *key: str, at: str = "at", most: int = MOST_LINES) -> DataFrame:
+    """The first ``most`` lines of each diff, with ``truncated``: whether it has more."""
+    w = Window.partitionBy(*key)
+    numbered = lines.withColumn("n_", F.row_number().over(w.orderBy(at))).withColumn("truncated", F.count(F.lit(1)).over(w) > most)
+    return numbered.where(F.col("n_") <= most).drop("n_")
 
 
 def apply(root: str, ready: list[Preview]) -> list[tuple[str, str]]:

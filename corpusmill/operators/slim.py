@@ -10,6 +10,7 @@ import ast
 import io
 import re
 import tokenize
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -44,6 +45,32 @@ def _offsets(text: str) -> list[int]:
     return at
 
 
+_CHAR = re.compile(r"'(\\.[^']*|[^'\\])'")
+_REGEX = re.compile(r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*")
+#: Words after which a slash begins a regular expression, and those that aren't names.
+_OPERATORS = frozenset("return typeof case in of new delete void throw do else instanceof await yield".split())
+_KEYWORDS = {
+    "rust": frozenset("as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while".split()),
+    "script": frozenset("as async await break case catch class const continue debugger default delete do else enum export extends false finally for from function get if implements import in instanceof interface let new null of private protected public return set static super switch this throw true try type typeof undefined var void while with yield".split()),
+    "go": frozenset("break case chan const continue default defer else fallthrough for func go goto if import interface map nil package range return select struct switch type var true false".split()),
+    "java": frozenset("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for if implements import instanceof int interface long native new null package private protected public record return short static super switch synchronized this throw throws try void volatile while true false".split()),
+    "c": frozenset("auto bool break case catch char class const constexpr continue default delete do double else enum extern false float for friend goto if inline int long namespace new nullptr operator private protected public register return short signed sizeof static struct switch template this throw true try typedef typename union unsigned using virtual void volatile while".split()),
+}
+
+
+def _before_regex(text: str, i: int) -> bool:
+    """Whether a slash at ``i`` can't be a division: what is before it is no value."""
+    j = i - 1
+    while j >= 0 and text[j] in " \t":
+        j -= 1
+    if j < 0 or text[j] in "(,=:[!&|?{};+-*%~^<>\n":
+        return True
+    k = j
+    while k >= 0 and (text[k].isalnum() or text[k] in "_$"):
+        k -= 1
+    return text[k + 1 : j + 1] in _OPERATORS
+
+
 def _lex(text: str, family: str) -> list[tuple[str, int, int]] | None:
     """(kind, start, end) of comments, strings and brackets; None if something isn't closed."""
     out: list[tuple[str, int, int]] = []
@@ -63,7 +90,7 @@ def _lex(text: str, family: str) -> list[tuple[str, int, int]] | None:
                     return None
                 level, j = (level + 1, opened + 2) if 0 <= opened < close else (level - 1, close + 2)
             out.append(("comment", i, j))
-        elif c in "\"`" or (c == "'" and (family != "rust" or re.match(r"'(\\.[^']*|[^'\\])'", text[i:]))):
+        elif c in "\"`" or (c == "'" and (family != "rust" or _CHAR.match(text, i))):
             raw = family == "go" and c == "`"
             j = i + 1
             while j < n and text[j] != c:
@@ -74,6 +101,9 @@ def _lex(text: str, family: str) -> list[tuple[str, int, int]] | None:
                 return None
             j += 1
             out.append(("string", i, j))
+        elif c == "/" and family == "script" and _before_regex(text, i) and (m := _REGEX.match(text, i)):
+            j = m.end()
+            out.append(("string", i, j))
         elif c in "([{":
             stack.append(c)
             out.append((c, i, i + 1))
@@ -223,10 +253,14 @@ def tags(ext: str, text: str) -> tuple[list[tuple[str, str]], list[str]]:
         start = code.rfind("\n", 0, m.start(m.lastindex)) + 1
         stop = re.compile(r"[{;]").search(code, m.end(m.lastindex))
         defs.append((name, signature(code[start : stop.start() if stop else len(code)])))
-    names = [n for n, _ in defs]
-    refs = re.findall(r"[A-Za-z_$][\w$]*", code)
-    for n in names:
-        refs.remove(n)
+    own = Counter(n for n, _ in defs)
+    refs = []
+    for n in re.findall(r"[A-Za-z_$][\w$]*", code):
+        # a definition's own name is no reference
+        if own[n] > 0:
+            own[n] -= 1
+        elif n not in _KEYWORDS[family]:
+            refs.append(n)
     return defs[:MOST_DEFINITIONS], refs
 
 

@@ -507,7 +507,10 @@ def render_documents(spark: SparkSession, d: str) -> DataFrame:
     return o.select("doc_id", document_section("i", "rel", "text").alias("section"))
 
 
-@query()
+_J = "replace(to_json({0})::VARCHAR, chr(127), chr(127))"
+
+
+@query(f"""WITH {FILES} SELECT doc_id, '{{"path":' || {_J.format('rel')} || ',"language":' || {_J.format(_EXT)} || ',"tokens":' || {_TOK}::VARCHAR || ',"content":' || {_J.format('text')} || '}}' AS json FROM files""")
 def render_json(spark: SparkSession, d: str) -> DataFrame:
     """One JSON object for each file."""
     return files(spark, d).select("doc_id", F.to_json(F.struct(F.col("rel").alias("path"), T.extension("name").alias("language"), T.token_estimate("text").alias("tokens"), F.col("text").alias("content"))).alias("json"))
@@ -600,9 +603,12 @@ def reply_parse(spark: SparkSession, d: str) -> DataFrame:
     return parse_replies(replies, "reply").select("conv_id", "turn", F.col("change.path").alias("path"), F.col("change.content").alias("content"))
 
 
-@query()
+@query(
+    """WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END AS n, list_count(list_filter(string_split(text, chr(10))[2:], lambda x: x = 'changed')) AS k FROM documents WHERE strlen(text) > 0)
+SELECT doc_id, n - 1 - k AS adds, n - 1 - k AS dels, 1 + k AS same FROM l"""
+)
 def line_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Changed lines between each document and a copy without its second line."""
+    """Changed lines between each document and a copy that has another text in all lines but the first."""
     from corpusmill.operators.patch import diff_lines
 
     t = docs(spark, d).select("doc_id", F.col("text").alias("old"), F.regexp_replace("text", "\n[^\n]*", "\nchanged").alias("new"))
@@ -636,10 +642,95 @@ def apply_revalidate(spark: SparkSession, d: str) -> DataFrame:
     return revalidate(ready, now, "doc_id")
 
 
-@query()
+_CODE = {
+    "py": ("def f_{}(a, b):\n    # a comment\n    return '{}'\n", "def f_{}(a, b):\n    ...\n"),
+    "rs": ("// head\npub fn f_{}(a: u8) -> u8 {{\n    /* nested /* comment */ */\n    let s = \"{} }} // no comment\";\n    a\n}}\n", "pub fn f_{}(a: u8) -> u8 {{ ... }}\n"),
+    "js": ("function f_{}(a) {{\n  return /[/*]\\// .test('{}'); // tail\n}}\nconst x = 4 / 2; /* gone */\n", "function f_{}(a) {{ ... }}\nconst x = 4 / 2;\n"),
+}
+
+
+def _slimmed() -> str:
+    cases = " ".join(f"WHEN {i} THEN '{a.format('#', '').replace(chr(39), chr(39) * 2)}'" for i, (_, a) in enumerate(_CODE.values()))
+    return f"SELECT doc_id, replace(CASE doc_id % 3 {cases} END, '#', doc_id::VARCHAR) AS text, true AS compressed FROM documents"
+
+
+@query(_slimmed())
 def code_slim(spark: SparkSession, d: str) -> DataFrame:
-    """Comment stripping and signature compression over the documents set in functions."""
+    """Comment stripping and signature compression over the documents set in functions of three languages."""
     from corpusmill.operators.slim import slim
 
-    code = F.concat(F.lit("def f_"), F.col("doc_id").cast("string"), F.lit("(a, b):\n    # a comment\n    return '"), F.regexp_replace("text", r"[^A-Za-z ]", " "), F.lit("'\n"))
-    return docs(spark, d).select("doc_id", slim(F.lit("py"), code).alias("s")).select("doc_id", F.col("s.text").alias("text"), F.col("s.compressed").alias("compressed"))
+    words, k = F.regexp_replace("text", r"[^A-Za-z ]", " "), F.col("doc_id") % 3
+    code, ext = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (e, (form, _)) in enumerate(_CODE.items()):
+        first, mid, last = form.replace("{{", "\0").replace("}}", "\1").split("{}")
+        made = F.concat(*[F.lit(x.replace("\0", "{").replace("\1", "}")) if isinstance(x, str) else x for x in (first, F.col("doc_id").cast("string"), mid, words, last)])
+        code, ext = F.when(k == i, made).otherwise(code), F.when(k == i, e).otherwise(ext)
+    return docs(spark, d).select("doc_id", slim(ext, code).alias("s")).select("doc_id", F.col("s.text").alias("text"), F.col("s.compressed").alias("compressed"))
+
+
+@query(f"{_WITH} SELECT rel, size, {_TOK} AS tokens FROM classified WHERE verdict = 'text'")
+def scan_report(spark: SparkSession, d: str) -> DataFrame:
+    """Size and tokens of every file that is kept."""
+    return classified(spark, d).where("verdict = 'text'").select("rel", "size", T.token_estimate("text").alias("tokens"))
+
+
+@query(f"WITH {FILES} SELECT DISTINCT rel FROM files WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) AND rel NOT IN (SELECT rel FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1))")
+def curated_files(spark: SparkSession, d: str) -> DataFrame:
+    """A saved curation over a scan: included and not excluded, paths that aren't there any more passed over."""
+    f, labels = files(spark, d), spark.read.parquet(f"{d}/labels.parquet")
+    included = f.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_anti").select("rel")
+    excluded = f.join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("rel")
+    return O.curate(included.union(included.selectExpr("concat('gone/', rel)")), excluded, f)
+
+
+@query(f"WITH {FILES} SELECT doc_id, rel FROM files WHERE rel IN (SELECT rel FROM files WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))")
+def accepted_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Of pending changes those that were accepted."""
+    from corpusmill.operators.patch import accepted
+
+    f = files(spark, d)
+    chosen = f.join(spark.read.parquet(f"{d}/labels.parquet").where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("rel")
+    return accepted(f.select("doc_id", "rel"), chosen.union(chosen), "rel")
+
+
+_TAGGED = "CASE WHEN (strlen(l) + line) % 4 < 2 THEN 'eq' WHEN (strlen(l) + line) % 4 = 2 THEN 'del' ELSE 'ins' END"
+
+
+def _diff(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-ins for diffs: each document's lines with tags by their length and number."""
+    rows = docs(spark, d).select("doc_id", F.posexplode(T.lines("text")).alias("line", "l")).withColumn("line", (F.col("line") + 1).cast("bigint"))
+    return rows.select("doc_id", F.col("line").alias("k"), F.expr(_TAGGED.replace("strlen", "octet_length")).alias("tag"))
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, line AS k, {_TAGGED} AS tag FROM {_LINES}), r AS (SELECT *, count_if(tag = 'eq') OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING)::BIGINT AS run FROM t)
+SELECT doc_id, k, tag, CASE WHEN tag <> 'eq' THEN run END AS run, CASE WHEN tag <> 'eq' THEN row_number() OVER (PARTITION BY doc_id, run, tag ORDER BY k) END::INTEGER AS pair FROM r"""
+)
+def diff_pairs(spark: SparkSession, d: str) -> DataFrame:
+    from corpusmill.operators.patch import paired
+
+    return paired(_diff(spark, d), "doc_id", at="k")
+
+
+@query(f"SELECT doc_id, k, tag, n > 40 AS truncated FROM (SELECT doc_id, line AS k, {_TAGGED} AS tag, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM {_LINES}) WHERE i <= 40")
+def diff_shown(spark: SparkSession, d: str) -> DataFrame:
+    """The first 40 lines of each diff; the cap is what is shown of it."""
+    from corpusmill.operators.patch import shown
+
+    return shown(_diff(spark, d), "doc_id", at="k", most=40)
+
+
+@query(
+    """WITH f AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '../f' || doc_id::VARCHAR ELSE 'a/f' || doc_id::VARCHAR END AS path, CASE WHEN doc_id % 3 > 0 THEN text END AS old, text || CASE WHEN doc_id % 3 = 1 THEN 'x' ELSE '' END AS new FROM documents)
+SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'refuse' WHEN old IS NULL THEN 'create' ELSE 'modify' END AS action, doc_id % 7 <> 0 AS ok, CASE WHEN doc_id % 7 <> 0 THEN new END AS text, CASE WHEN doc_id % 7 <> 0 THEN sha256(old) END AS base, doc_id % 7 <> 0 AND old IS NOT NULL AND old = new AS identical FROM f"""
+)
+def preview_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Proposed files beside those there are: new ones, changed ones, the same ones, and paths outside of the root; each path's second change counts."""
+    from corpusmill.operators.patch import previews
+
+    t = docs(spark, d).selectExpr("doc_id", "text", "CASE WHEN doc_id % 7 = 0 THEN concat('../f', cast(doc_id as string)) ELSE concat('a/f', cast(doc_id as string)) END AS path")
+    hunks = F.array().cast("array<struct<old_start:int,lines:array<string>,no_eol:boolean>>")
+    new = F.concat("text", F.expr("CASE WHEN doc_id % 3 = 1 THEN 'x' ELSE '' END"))
+    changes = t.select("path", F.lit(0).alias("ord"), F.lit("full").alias("kind"), F.lit("first").alias("content"), hunks.alias("hunks")).union(t.select("path", F.lit(1), F.lit("full"), new, hunks))
+    state = t.where("doc_id % 3 > 0").select("path", F.encode("text", "utf-8").alias("content"), F.lit(False).alias("folder"))
+    return previews(changes, state).select("path", "action", "ok", "text", "base", "identical")

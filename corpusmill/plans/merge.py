@@ -9,10 +9,12 @@ from __future__ import annotations
 import json
 import os
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from corpusmill.functions import names as N
@@ -27,6 +29,7 @@ from corpusmill.sources import remote
 from corpusmill.sources.bytes import decoded, text_like
 from corpusmill.sources.tree import check_root, read_credentials, read_tree
 
+GENERATOR = "corpusmill"
 FORMATS = {"markdown": "md", "plain": "txt", "xml": "xml", "documents": "xml", "json": "json"}
 MOST_SKIPS, MOST_SHOWN_DEFINITIONS, FALLBACK_PATHS = 1000, 40, 20
 DENSE_REASON = "credential-dense file"
@@ -73,6 +76,9 @@ class MergeResult:
     parts: list[str] = field(default_factory=list)
     skips: list[tuple[str, str]] = field(default_factory=list)
     redactions: list[tuple[str, str, int]] = field(default_factory=list)
+    #: (path, note) of texts that had to be decoded otherwise than from plain UTF-8, and the paths merged.
+    notes: list[tuple[str, str]] = field(default_factory=list)
+    paths: list[str] = field(default_factory=list)
 
 
 def scan(spark: SparkSession, root: str, scan_options: ScanOptions = ScanOptions()) -> DataFrame:
@@ -150,9 +156,38 @@ def blocks(spark: SparkSession, root: str, options: MergeOptions = MergeOptions(
     return made, skips
 
 
-def merge(spark: SparkSession, root: str, out: str, options: MergeOptions = MergeOptions(), scan_options: ScanOptions = ScanOptions()) -> MergeResult:
-    """Writes the merge of a tree to ``out`` (a path without extension) and its parts, and returns its totals."""
-    root = check_root(root)
+def scan_report(spark: SparkSession, root: str, scan_options: ScanOptions = ScanOptions()) -> tuple[DataFrame, Row]:
+    """((rel, size, tokens) of every file that a merge would take, by path; and a row with files, bytes and tokens in all)."""
+    text = scan(spark, check_root(root), scan_options).where("verdict = 'text'")
+    report = checkpoint(text.select("rel", "size", T.token_estimate(decoded("content")["text"]).alias("tokens")))
+    total = report.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    return report.orderBy(*O.path_order()), total
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """Stops what runs under ``spark.addTag(tag)``; a merge that is stopped deletes the parts that it has written."""
+    spark.interruptTag(tag)
+
+
+def merge(
+    spark: SparkSession, root: str, out: str, options: MergeOptions = MergeOptions(), scan_options: ScanOptions = ScanOptions(), progress: Callable[[str, int], None] | None = None
+) -> MergeResult:
+    """Writes the merge of a tree to ``out`` (a path without extension) and its parts, and returns its totals.
+
+    ``progress`` is told of each step and how far it is: the files read, and each part's number.  If anything fails or the work is cancelled, the
+    parts written so far are deleted.
+    """
+    written: list[str] = []
+    try:
+        return _merge(spark, check_root(root), out, options, scan_options, progress or (lambda what, n: None), written)
+    except BaseException:
+        for path in written:
+            if os.path.exists(path):
+                os.remove(path)
+        raise
+
+
+def _merge(spark: SparkSession, root: str, out: str, options: MergeOptions, scan_options: ScanOptions, progress: Callable[[str, int], None], written: list[str]) -> MergeResult:
     made, skips = blocks(spark, root, options, scan_options)
     order = [F.col("git"), *O.read_order(options.ordering)]
     packed = O.pack(made, options.token_budget or 1 << 60, *order).join(made.select("rel", "git"), "rel")
@@ -161,31 +196,38 @@ def merge(spark: SparkSession, root: str, out: str, options: MergeOptions = Merg
         "markdown": render.markdown_section("rel", "lang", "text"),
         "plain": render.plain_section("rel", "text"),
         "xml": render.xml_section("rel", "text"),
-        "documents": render.document_section("i", "rel", "text"),
+        # the first part begins with a document about the merge
+        "documents": render.document_section(F.col("i") + F.when(F.col("part") == 1, 1).otherwise(0), "rel", "text"),
         "json": F.to_json(F.struct(F.col("rel").alias("path"), F.col("lang").alias("language"), "tokens", F.col("text").alias("content"))),
     }[options.format]
     n_events = F.aggregate("events", F.lit(0), lambda a, e: a + e["n"])
     total = made.agg(F.count(F.lit(1)).alias("merged"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(n_events), F.lit(0)).alias("secrets"), F.count_if("compressed").alias("compressed")).first()
     skipped = [tuple(r) for r in skips.orderBy("rel").collect()]
     events = [tuple(r) for r in made.select("rel", F.explode("events").alias("e")).select("rel", "e.rule", "e.n").orderBy("rel", "rule").collect()]
-    result = MergeResult(total.merged + len(skipped), total.merged, total.tokens, total.secrets, total.compressed, [], skipped, events)
+    notes = [tuple(r) for r in made.where("note IS NOT NULL").select("rel", "note").orderBy("rel").collect()]
+    result = MergeResult(total.merged + len(skipped), total.merged, total.tokens, total.secrets, total.compressed, written, skipped, events, notes)
+    progress("files", total.merged)
     n_parts = packed.agg(F.max("part")).first()[0] or 1
     name, ext = os.path.basename(root), FORMATS[options.format]
     os.makedirs(os.path.dirname(os.path.abspath(out)) or ".", exist_ok=True)
+    result.paths = [r.rel for r in packed.orderBy("part", *order).select("rel").collect()]
     first = [r.rel for r in packed.where("part = 1").orderBy(*order).select("rel").collect()]
+    # sorted by part and place once; each part is then a range of it
+    ordered = checkpoint(ordered.select("part", "i", section.alias("section")).orderBy("part", "i"))
     for p in range(1, n_parts + 1):
         path = f"{out}.{ext}" if n_parts == 1 else f"{out}.part{p}-of-{n_parts}.{ext}"
-        rows = (r[0] for r in ordered.where(F.col("part") == p).orderBy("i").select(section).toLocalIterator())
+        rows = (r[0] for r in ordered.where(F.col("part") == p).orderBy("i").select("section").toLocalIterator())
+        written.append(path)
+        progress("part", p)
         with open(path, "w", newline="") as f:
-            f.write(_head(options.format, name, result, p, n_parts, first))
+            f.write(_head(options.format, name, result, p, n_parts, first, root))
             for i, s in enumerate(rows):
                 f.write((",\n" if options.format == "json" and i else "") + s + ("\n" if options.format in ("xml", "documents") else ""))
             f.write(_tail(options.format, result))
-        result.parts.append(path)
     return result
 
 
-def _head(kind: str, name: str, r: MergeResult, p: int, n: int, first: list[str]) -> str:
+def _head(kind: str, name: str, r: MergeResult, p: int, n: int, first: list[str], root: str) -> str:
     part = f" — part {p} of {n}" if n > 1 else ""
     if kind == "markdown":
         top = f"# {name}{part}\n\n> files: {r.files} · merged: {r.merged} · tokens: ~{r.tokens}\n\n---\n\n"
@@ -199,8 +241,12 @@ def _head(kind: str, name: str, r: MergeResult, p: int, n: int, first: list[str]
     if kind == "xml":
         return f'<?xml version="1.0" encoding="UTF-8"?>\n<codebase name="{name}" part="{p}" parts="{n}">\n'
     if kind == "documents":
-        return "<documents>\n"
-    return json.dumps({"project": name, "part": p, "parts": n, "merged": r.merged, "tokens": r.tokens})[:-1] + ', "files": [\n'
+        if p > 1:
+            return "<documents>\n"
+        about = [f"{name}{part}", f"files: {r.files}, merged: {r.merged}, tokens: ~{r.tokens}", "", *render.tree_lines(first), *([f"{len(r.skips)} files skipped"] if r.skips else [])]
+        return '<documents>\n<document index="1">\n<source>MERGE_INFO</source>\n<document_contents>\n' + "\n".join(about) + "\n</document_contents>\n</document>\n"
+    about = {"generator": GENERATOR, "source": root, "note": part.strip(" —"), "secrets": r.secrets}
+    return json.dumps(about | {"project": name, "part": p, "parts": n, "merged": r.merged, "tokens": r.tokens})[:-1] + ', "files": [\n'
 
 
 def _tail(kind: str, r: MergeResult) -> str:
@@ -213,14 +259,16 @@ def _tail(kind: str, r: MergeResult) -> str:
     if kind == "xml":
         from xml.sax.saxutils import escape, quoteattr
 
-        return "<report>\n" + "".join(f"<line>{escape(x)}</line>\n" for x in lines) + "".join(f"<skip path={quoteattr(a)}>{escape(b or '')}</skip>\n" for a, b in shown) + "</report>\n</codebase>\n"
+        return "<report>\n" + "".join(f"<line>{escape(x)}</line>\n" for x in lines) + "".join(f"<skip path={quoteattr(a)}>{escape(b or '')}</skip>\n" for a, b in shown) + "".join(f"<note path={quoteattr(a)}>{escape(b)}</note>\n" for a, b in r.notes) + "</report>\n</codebase>\n"
     out = "\n".join(("## Report", "", *(f"- {x}" for x in lines), "")) if kind == "markdown" else "\n".join(("===== report =====", *lines, ""))
     if r.skips:
-        out += ("\n### Skipped\n\n" if kind == "markdown" else "\nskipped:\n") + "".join(f"- {a} — {b}\n" for a, b in shown)
+        out += (f"\n### Skipped ({len(r.skips)})\n\n" if kind == "markdown" else f"\nskipped ({len(r.skips)}):\n") + "".join(f"- {a} — {b}\n" for a, b in shown)
         if len(r.skips) > MOST_SKIPS:
             out += f"- … and {len(r.skips) - MOST_SKIPS} more\n"
     if r.redactions:
         out += ("\n### Masked\n\n" if kind == "markdown" else "\nmasked:\n") + "".join(f"- {a}: {n} × {b}\n" for a, b, n in r.redactions)
+    if r.notes:
+        out += ("\n### Decoding notes\n\n" if kind == "markdown" else "\ndecoding notes:\n") + "".join(f"- {a} — {b}\n" for a, b in r.notes)
     return out
 
 
@@ -239,12 +287,40 @@ def repo_map(spark: SparkSession, root: str, budget: int = 1024, scan_options: S
     best = [F.round("rank", 12).desc(), F.col("path")]
     taken = O.pack_best(entries, budget - len(head) // 4, *best)
     out = [r.entry for r in taken.orderBy(*best).collect()]
+    beyond = entries.count() - len(out)
+    if out and beyond:
+        out.append(f"… {beyond} more files beyond the token budget\n")
     if not out:
         out = [r.path + "\n" for r in ranks.orderBy(*best).limit(FALLBACK_PATHS).collect()]
     return head + "\n".join(out)
 
 
 def skill(root: str, result: MergeResult) -> str:
-    """A skill file for a merge: front matter and totals."""
-    slug = "-".join("".join(c if c.isalnum() else " " for c in os.path.basename(root).lower()).split())
-    return f"---\nname: {slug}\ndescription: Reference of {os.path.basename(root)}, {result.merged} files\n---\n\n{result.merged} files, ~{result.tokens} tokens, made {time.strftime('%Y-%m-%d')}.\n"
+    """A skill file for a merge: front matter, totals, outputs, how to make them again, and the tree."""
+    name = os.path.basename(os.path.realpath(root))
+    slug = "".join(c if c.isascii() and c.isalnum() else "-" for c in name.lower()).strip("-") or "project"
+    outputs = "\n".join(f"- `{p}`" for p in result.parts)
+    drawing = "\n".join(render.tree_lines(sorted(result.paths)))
+    return (
+        f"---\nname: {slug}\ndescription: Context of {name}. Use when working on its code.\n---\n\n# {name}\n\n{result.merged} files, ~{result.tokens} tokens, made {time.strftime('%Y-%m-%d')}:\n\n{outputs}\n\n"
+        f'Again: `python -m corpusmill merge "{root}"`. An overview: `python -m corpusmill map "{root}"`.\n\n## Structure\n\n```\n{drawing}\n```\n'
+    )
+
+
+def write_skill(root: str, result: MergeResult) -> str:
+    """Writes ``skill`` into the tree's folder of skills and returns the path."""
+    name = "".join(c for c in os.path.basename(os.path.realpath(root)) if c.isascii() and (c.isalnum() or c in "._- ")).strip(". ")[:64] or "project"
+    folder = os.path.join(root, ".claude", "skills", name)
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, "SKILL.md"), "w") as f:
+        f.write(skill(root, result))
+    return os.path.join(folder, "SKILL.md")
+
+
+def watch_tree(spark: SparkSession, root: str, out: str, options: MergeOptions = MergeOptions(), scan_options: ScanOptions = ScanOptions(), interval: str = "300 milliseconds") -> StreamingQuery:
+    """Keeps a merge fresh in the folder ``out``: one output of a name that stays, written over after each change in the tree."""
+    from corpusmill.streaming.watch import read_changes, watch
+
+    name = os.path.basename(os.path.realpath(root))
+    target = os.path.join(out, f"{name}_watch_merged")
+    return watch(read_changes(spark, root), lambda: merge(spark, root, target, options, scan_options), os.path.join(out, f".{name}_watch"), interval)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 import tempfile
+import time
 import tomllib
 from dataclasses import replace
 
@@ -18,6 +20,38 @@ def with_token(url: str, token: str) -> str:
     return url.replace("https://", f"https://x-access-token:{token}@", 1) if token and url.startswith("https://") else url
 
 
+def clone_url(given: str) -> str | None:
+    """``functions.text.clone_url`` for one address."""
+    s = given.strip()
+    if re.search(r"\s", s):
+        return None
+    if m := re.match(r"https?://([^/\s]*\.[^/\s]*/[^\s]+?)/*$", s):
+        path = re.sub("/(tree|blob)/.*$", "", m[1]).rstrip("/")
+        if re.match("[^/]+/[^/]*/", m[1]):
+            return f"https://{path}" + ("" if path.endswith(".git") else ".git")
+    if re.match("https?://", s):
+        return None
+    if re.match("git@[^:]*:.+", s):
+        return s
+    return f"https://github.com/{s}.git" if re.fullmatch(r"[0-9A-Za-z_-][0-9A-Za-z._-]*/[0-9A-Za-z._-]+", s) else None
+
+
+def resolve(source: str, token: str = "") -> tuple[str, tempfile.TemporaryDirectory | None]:
+    """(folder, clone): a folder that is there as it is, else a clone of the repository that the source names; the token comes from the caller's environment only."""
+    if os.path.isdir(source):
+        return source, None
+    url = clone_url(source)
+    if url is None:
+        raise ValueError(f"{source} is neither a folder nor a repository")
+    held = clone(url, token)
+    return held.name, held
+
+
+def output_name(root: str, ext: str, stamp: str | None = None) -> str:
+    """The name of an output where none is given: the folder's, the time, and what marks our own outputs."""
+    return f"{os.path.basename(os.path.realpath(root))}_{stamp or time.strftime('%Y%m%d_%H%M%S')}_merged.{ext}"
+
+
 def clone(url: str, token: str = "") -> tempfile.TemporaryDirectory:
     """A shallow clone in a folder that goes when it is closed; the token is kept out of errors."""
     to = tempfile.TemporaryDirectory(prefix="corpusmill-clone-")

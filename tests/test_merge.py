@@ -10,7 +10,7 @@ from dataclasses import replace
 import pytest
 
 from corpusmill.operators import patch
-from corpusmill.plans.merge import PRESETS, MergeOptions, merge, repo_map, skill
+from corpusmill.plans.merge import PRESETS, MergeOptions, merge, repo_map, scan_report, skill, write_skill
 from corpusmill.rpc import handle
 from corpusmill.sources import remote
 
@@ -71,6 +71,34 @@ def test_dense_code_and_counts(spark, tmp_path):
     assert ("NOTES.md", "Propagated known secret", 2) in r.redactions
 
 
+def test_reports(spark, tree, tmp_path):
+    """What each format says about the merge; progress; the skill; and that nothing is left of one that fails."""
+    (tree / "latin.txt").write_bytes("caf\xe9".encode("latin-1"))
+    told = []
+    r = merge(spark, str(tree), str(tmp_path / "m_merged"), progress=lambda what, n: told.append((what, n)))
+    text = open(r.parts[0]).read()
+    assert "### Decoding notes" in text and "latin.txt" in dict(r.notes) and f"### Skipped ({len(r.skips)})" in text and told == [("files", r.merged), ("part", 1)]
+    assert "── latin.txt" in skill(str(tree), r) and r.parts[0] in skill(str(tree), r)
+    assert open(write_skill(str(tree), r)).read().startswith("---\nname: my-proj\n")
+    r = merge(spark, str(tree), str(tmp_path / "d_merged"), MergeOptions(format="documents"))
+    text = open(r.parts[0]).read()
+    assert text.startswith('<documents>\n<document index="1">\n<source>MERGE_INFO</source>') and f"{len(r.skips)} files skipped" in text and '<document index="2">' in text and text.count('index="1"') == 1
+    assert "MERGE_INFO" not in {c.path for c in patch.parse_reply(text)}
+    r = merge(spark, str(tree), str(tmp_path / "j_merged"), MergeOptions(format="json"))
+    about = json.load(open(r.parts[0]))
+    assert about["generator"] and about["source"].endswith("my proj") and about["secrets"] == r.secrets and about["note"] == ""
+
+    def stop(what, n):
+        if what == "part":
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        merge(spark, str(tree), str(tmp_path / "x_merged"), progress=stop)
+    assert not list(tmp_path.glob("x_merged*"))
+    report, total = scan_report(spark, str(tree))
+    assert total.files == report.count() and {"src/main.rs", "README.md"} <= {x.rel for x in report.collect()}
+
+
 @pytest.mark.parametrize("form", ["markdown", "documents"])
 def test_round_trip(spark, tree, tmp_path, form):
     r = merge(spark, str(tree), str(tmp_path / "rt_merged"), MergeOptions(format=form, redact=False))

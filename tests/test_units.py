@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -18,6 +19,7 @@ from corpusmill.operators import slim as S
 from corpusmill.plans.render import tree_lines
 from corpusmill.sources import bytes as B
 from corpusmill.sources import ignore as I
+from corpusmill.sources import remote as RM
 from corpusmill.sources import tree as R
 
 
@@ -161,6 +163,75 @@ def test_slim():
 REPLY = "Sure.\n\n## `src/a.py`\n\nHere:\n\n```py\nx = 1\n```\n\n**src/b.md**\n````md\n```\nin\n```\n````\n\n```diff\n--- a/c.txt\n+++ b/c.txt\n@@ -1,2 +1,2 @@\n a\n-b\n+B\n```\n"
 
 
+def test_script_regexes_and_keywords():
+    code = "const r = /[/*]/; // gone\nfunction f(a) { return a / 2 / g(a); }\nz = x || /y'{/.test(z)\n"
+    assert S.strip_comments("js", code) == code.replace(" // gone", "")
+    assert S.compress("js", code).count("{ ... }") == 1
+    defs, refs = S.tags("js", code)
+    assert [n for n, _ in defs] == ["f"] and not {"function", "return", "const", "f"} & set(refs) and {"g", "x", "z", "test"} <= set(refs)
+
+
+def test_source_resolution(tmp_path, spark):
+    given = ["https://github.com/a/b/tree/main/x", "a/b", "git@host:a/b.git", "https://x.y/", "no such", "https://h.io/a/b.git/"]
+    assert [RM.clone_url(g) for g in given] == values(spark, T.clone_url("v"), given)
+    assert RM.resolve(str(tmp_path)) == (str(tmp_path), None)
+    with pytest.raises(ValueError):
+        RM.resolve("neither one")
+    assert re.fullmatch(r"my_\d{8}_\d{6}_merged\.md", RM.output_name(str(tmp_path / "my"), "md"))
+
+
+def test_previews(spark):
+    """Apply-back over tables is apply-back on a tree."""
+    hunk = P.parse_diff("--- a/m\n+++ b/m\n@@ -1,2 +1,2 @@\n-x\n+z\n y".split("\n"))[0].hunks
+    cs = [("m", P.Change("m", "diff", None, hunk)), ("new/f", P.Change("new/f", "full", "a\n")), ("new/f", P.Change("new/f", "full", "b\n")), ("win", P.Change("win", "full", "q\nr")), ("gone", P.Change("gone", "delete")), ("../up", P.Change("../up", "full", "x")), ("bin", P.Change("bin", "full", "x")), ("d", P.Change("d", "full", "x")), ("same", P.Change("same", "full", "s\n"))]
+    rows = [(p, i, c.kind, c.content, [(h.old_start, h.lines, h.no_eol) for h in c.hunks]) for i, (p, c) in enumerate(cs)]
+    changes = spark.createDataFrame(rows, "path string, ord int, kind string, content string, hunks array<struct<old_start:int,lines:array<string>,no_eol:boolean>>")
+    there = {"m": b"x\ny\n", "win": b"a\r\nb\r\n", "gone": b"g", "bin": b"\0\1\2\3" * 20, "same": b"s\n"}
+    state = spark.createDataFrame([(p, d, False) for p, d in there.items()] + [("d", None, True)], "path string, content binary, folder boolean")
+    got = {r.path: (r.action, r.ok, r.text, r.identical) for r in P.previews(changes, state).collect()}
+    assert got == {
+        "m": ("modify", True, "z\ny\n", False), "new/f": ("create", True, "b\n", False), "win": ("modify", True, "q\r\nr", False), "gone": ("delete", False, None, False), "../up": ("refuse", False, None, False),
+        "bin": ("refuse", False, None, False), "d": ("refuse", False, None, False), "same": ("modify", True, "s\n", True),
+    }
+
+
+def test_change_stream(spark, tmp_path):
+    """A change in a tree starts a batch; one in our own folders or outputs doesn't."""
+    import time
+
+    from corpusmill.streaming import watch as W
+
+    root, told, runs = tmp_path / "t", [], []
+    (root / "sub").mkdir(parents=True)
+    (root / "sub/a.txt").write_text("1")
+    progress = W.Progress(lambda *x: told.append(x))
+    spark.streams.addListener(progress)
+    q = W.watch(W.read_changes(spark, str(root)), lambda: runs.append(1), str(tmp_path / "c"))
+    try:
+        end = time.time() + 60
+        while not told and time.time() < end:
+            time.sleep(0.3)
+        time.sleep(3)
+        (root / "sub/b.txt").write_text("2")
+        while len(runs) < 2 and time.time() < end:
+            time.sleep(0.3)
+        assert len(runs) >= 2
+    finally:
+        q.stop()
+        spark.streams.removeListener(progress)
+    poll = W._Poll(str(root))
+    time.sleep(0.1)
+    start = poll.initialOffset()
+    (root / "sub/c.txt").write_text("3")
+    assert not list(poll.read(start)[0])
+    time.sleep(0.1)
+    rows, now = poll.read(start)
+    assert "sub/c.txt" in {r for r, _ in rows} and list(poll.readBetweenOffsets(start, now)) and not list(poll.readBetweenOffsets(now, now))
+    (root / "sub/c.txt").unlink()
+    time.sleep(0.1)
+    assert {r for r, _ in poll.read(now)[0]} == {"sub"}
+
+
 def test_replies():
     got = P.parse_reply(REPLY)
     assert [(c.path, c.kind) for c in got] == [("src/a.py", "full"), ("src/b.md", "full"), ("c.txt", "diff")]
