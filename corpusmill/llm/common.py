@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -147,13 +148,29 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
 
 
+def _release() -> None:
+    """Gives the memory that a finished task has freed back to the system: workers live on, and else hold it beside the next task's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # another C library
+
+
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with batches of at most BATCH_BYTES; a lower limit that the session has stays."""
+    """``df.mapInArrow`` with batches of at most BATCH_BYTES, a lower limit that the session has stays; a task's memory is freed at its end."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = df.sparkSession.conf.get(name).rstrip("b")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         df.sparkSession.conf.set(name, str(BATCH_BYTES))
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(run, schema)
 
 
 def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
