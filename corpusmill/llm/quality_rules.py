@@ -104,7 +104,7 @@ class Heads:
     """Several heads, whose features are found in one pass over the texts."""
 
     def __init__(self, heads: list[Head]) -> None:
-        self.heads = heads
+        self.scales = [(h.bias, h.scale, h.shift) for h in heads]
         used = np.flatnonzero(np.any([h.chosen >= 0 for h in heads], axis=0))
         self.chosen = np.full(1 << BITS, -1, np.int32)
         self.chosen[used] = np.arange(len(used))
@@ -113,23 +113,25 @@ class Heads:
     def probabilities(self, column: pa.Array) -> list[np.ndarray]:
         rows, cols = presence(column, self.chosen)
         out = []
-        for h, w in zip(self.heads, self.weights, strict=True):
-            logit = h.bias + (np.bincount(rows, weights=w[cols], minlength=len(column)) if len(cols) else np.zeros(len(column)))
-            out.append(1.0 / (1.0 + np.exp(-np.clip(h.scale * logit + h.shift, -30, 30))))
+        for (bias, scale, shift), w in zip(self.scales, self.weights, strict=True):
+            logit = bias + (np.bincount(rows, weights=w[cols], minlength=len(column)) if len(cols) else np.zeros(len(column)))
+            out.append(1.0 / (1.0 + np.exp(-np.clip(scale * logit + shift, -30, 30))))
         return out
 
 
 def _rows_with(column: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many rows with label 1 and with label 0 have each bucket."""
-    counts = np.zeros((2, 1 << BITS), np.int64)
+    counts = np.zeros((2, 1 << BITS), np.int32)
     everything = np.arange(1 << BITS, dtype=np.int32)
-    for lo in range(0, len(column), 1024):
-        some = y[lo : lo + 1024]
-        rows, cols = presence(column.slice(lo, 1024), everything)
+    for a, b in pieces(as_strings(column)):
+        some = y[a:b]
+        rows, cols = presence(column.slice(a, b - a), everything)
         # a bucket that several kinds of features share comes once for each
         code = np.unique(rows << BITS | cols)
+        del rows, cols
         for k in (0, 1):
-            counts[k] += np.bincount((code & ((1 << BITS) - 1))[some[code >> BITS] == k], minlength=1 << BITS)
+            buckets, n = np.unique(code[some[code >> BITS] == k] & ((1 << BITS) - 1), return_counts=True)
+            counts[k][buckets] += n.astype(np.int32)
     return counts[1], counts[0]
 
 
@@ -141,17 +143,22 @@ def fit(texts: pa.Array, y: np.ndarray, calibrates: np.ndarray) -> Head:
     if not n1 or not n0:
         return Head(none, np.zeros(1), 0.0, 1.0, 30.0 if n1 else -30.0)
     with1, with0 = _rows_with(texts.filter(pa.array(train)), y[train])
+    some = np.flatnonzero(with1 + with0 >= MIN_ROWS)
+    with1, with0 = with1[some], with0[some]
     p1, p0 = (with1 + 0.5) / (n1 + 1), (with0 + 0.5) / (n0 + 1)
     p = (with1 + with0 + 1.0) / (n1 + n0 + 2)
     z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    best = np.flatnonzero((with1 + with0 >= MIN_ROWS) & (z >= MIN_Z))
+    best, r = some[z >= MIN_Z], np.log(p1 / p0)[z >= MIN_Z]
     chosen = none.copy()
     chosen[best] = np.arange(len(best))
     # a row and feature for each that is there
-    found = [presence(texts.slice(lo, 256), chosen) for lo in range(0, len(texts), 256)]
-    code = np.unique(np.concatenate([(r + 256 * i) * max(1, len(best)) + c for i, (r, c) in enumerate(found)]))
-    rows, cols = code // max(1, len(best)), (code % max(1, len(best))).astype(np.int32)
-    r = np.log(p1[best] / p0[best])
+    rows, cols = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for a, b in pieces(as_strings(texts)):
+        row, col = presence(texts.slice(a, b - a), chosen)
+        code = np.unique((row + a) * max(1, len(best)) + col)
+        rows.append((code // max(1, len(best))).astype(np.int32))
+        cols.append((code % max(1, len(best))).astype(np.int32))
+    rows, cols = np.concatenate(rows), np.concatenate(cols)
     number = np.cumsum(train) - 1
     mine = train[rows]
     w, bias = _regress(number[rows[mine]], cols[mine], r, y[train].astype(float))
