@@ -5,19 +5,15 @@ are put in groups, and the matrix holds which tokens occur in any member of whic
 token union bounds its overlap with every member, so only groups whose bound reaches what the threshold needs are opened;
 in an opened group the Jaccard coefficients are exact, over the whole sets.
 
-The tokens of the matrix are, for each set, its TOKENS lowest-hashed trigrams: a uniform sample of the whole set that two
-sets choose alike.  Of the lowest hashes of two sets' union, each belongs to both with a probability equal to
-their Jaccard coefficient, so how many two similar sets share has a binomial distribution.  What a set needs (``needs``) is the number
-that a pair at the threshold misses with a probability of at most MISS; small sets, which can only be similar to sets that
-are sampled whole as well, need exactly the share that the threshold asks for.  MISS is the only approximation, at every size of the table.
-
-A set of which fewer tokens than it needs occur in any other set has no partner.  Those sets are left out first, twice over,
-as what they leave may make other tokens unique.  The tokens of the rest are ordered by how many sets have them: two sets that share
-what they need also share one of the rarest tokens of each, those left when all but one of the needed are taken away.  So only these are
-joined with the matrix, and tokens that very many sets have, such as those of licence lines, mostly never meet.  For groups found that way the bound is
-counted over all tokens.  No list of candidates or partners is cut.
-
-A set's group is that of three of its KEY lowest tokens: of all such triples the one that most sets have.  The variants
+All of it is exact: two sets at the threshold share at least ``need`` tokens, the share that it asks of the larger one of them.  A set of which
+fewer tokens than it needs occur in any other set has no partner and is left out.  The tokens of the rest are ordered by how many sets have
+them: of the tokens that two sets share, the first ``few`` are within the first few beyond those left when what is needed is taken away (``rare``), in either set.
+So only these are joined with the matrix, which holds them for each group, and a group is opened for a set that has as many of them in common with it as
+any member must; tokens that very many sets have, such as those of licence lines, mostly never meet.  No list of tokens, candidates or partners is cut.
+
+Tokens are counted in parts by their hashes, packed; those that several sets have go back to their sets' parts.  A part has about COUNTED tokens.
+
+A set's group is that of three of its KEY lowest-hashed tokens that others have: of all such triples the one that most sets have.  The variants
 of one text mostly choose the same triple.  Large groups are compared in blocks of about BLOCK trigrams, a pair of blocks a task.
 """
 
@@ -29,7 +25,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import Workspace, checked_broadcast, map_arrow, table, without
@@ -37,9 +33,13 @@ from corpusmill.llm.tokens import combine, mix, words
 
 GRAM = 3
 THRESHOLD = 0.5
-TOKENS, KEY = 48, 6
-#: Probability of a pair at the threshold to share fewer sampled tokens than it needs.
-MISS = 0.0005
+KEY = 6
+#: Rare tokens that a set has in common with a group before it is opened, or as many as it needs.
+FEW = 16
+#: Tokens in a part that is counted at a time.
+COUNTED = 3_000_000
+#: ``needs`` only: tokens of a sample, and the probability of a pair at the threshold to share fewer of them than it needs.
+TOKENS, MISS = 48, 0.0005
 #: Trigrams in a block of a group, and what a set counts beside its trigrams, so that blocks of small sets are bounded too.
 BLOCK, EACH = 1_000_000, 250
 #: Rows of a block that are compared at a time, and cells of its incidence matrix.
@@ -64,7 +64,7 @@ def gram_sets(column: pa.Array, n: int = GRAM) -> Iterator[tuple[int, np.ndarray
 
 
 def needs(threshold: float, k: int = TOKENS) -> list[int]:
-    """How many tokens of samples of 1 to ``k`` tokens a pair at the threshold shares, but for a probability of MISS."""
+    """How many tokens of samples of 1 to ``k`` tokens a pair at the threshold shares, but for a probability of MISS.  The join takes no samples and doesn't use it."""
     out = []
     for n in range(1, k + 1):
         below, m = 0.0, 0
@@ -91,20 +91,103 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, sizes, sigs, tokens, at = [], [], [], [], [0]
+        rows, sizes, sigs = [], [], []
         for row, s in gram_sets(batch.column(1)):
             if len(s):
                 rows.append(row)
                 sizes.append(len(s))
                 sigs.append(signature(s))
-                tokens.append(s[:TOKENS].astype(np.uint32).view(np.int32))
-                at.append(at[-1] + len(tokens[-1]))
         if rows:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), pa.array(sizes, pa.int32()), pa.array(sigs, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate(tokens)))], ["doc_id", "n", "sig", "tokens"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(sizes, pa.int32()), pa.array(sigs, pa.int64())], ["doc_id", "n", "sig"])
+
+
+_PARTS = "part int, heads binary, tokens binary"
+
+
+def _parted(part: np.ndarray, sig: np.ndarray, n: np.ndarray, tokens: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(part, heads, tokens) of each part; tokens of a set are together, and heads hold its sig, n and number of tokens there."""
+    order = np.argsort(part.astype(np.uint16) if len(part) and part.max() < 1 << 16 else part, kind="stable")
+    part, sig, n, tokens = part[order], sig[order], n[order], tokens[order]
+    first = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (sig[1:] != sig[:-1])][: len(part)])
+    heads = np.stack([sig[first].view(np.uint64), n[first].astype(np.uint64) << np.uint64(32) | np.diff(np.r_[first, len(part)]).astype(np.uint64)], 1)
+    for lo, hi in _spans(part):
+        a, b = np.searchsorted(first, (lo, hi))
+        yield int(part[lo]), heads[a:b].tobytes(), tokens[lo:hi]
+
+
+def _spans(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of equal successive values."""
+    cuts = np.flatnonzero(np.r_[True, x[1:] != x[:-1], True]) if len(x) else np.zeros(1, np.int64)
+    return zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)
+
+
+def _joined(column: pa.ChunkedArray) -> bytes:
+    return b"".join(column.to_pylist())
+
+
+def _heads(parts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(sig, n) of each token."""
+    heads = np.frombuffer(_joined(parts["heads"]), np.uint64).reshape(-1, 2)
+    times = (heads[:, 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return np.repeat(heads[:, 0].astype(np.int64), times), np.repeat((heads[:, 1] >> np.uint64(32)).astype(np.int64), times)
+
+
+def _by_token(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The tokens of all sets, in parts by their hashes."""
+    for batch in batches:
+        found = {signature(s): s for _, s in gram_sets(batch.column(1)) if len(s)}
+        if found:
+            sizes, tokens = np.array([len(s) for s in found.values()]), np.concatenate(list(found.values()))
+            part = (mix(tokens) % np.uint64(parts)).astype(np.int64)
+            rows = [(p, h, _packed(t)) for p, h, t in _parted(part, np.repeat(np.array(list(found), np.int64), sizes), np.repeat(sizes, sizes), tokens)]
+            for lo in range(0, len(rows), 256):
+                p, heads, packed = zip(*rows[lo : lo + 256], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(heads, pa.binary()), pa.array(packed, pa.binary())], ["part", "heads", "tokens"])
+
+
+def _by_set(part: pa.Table, parts: int) -> pa.Table:
+    """The tokens of a part that several sets have, in parts by the sets; before each token's 48 bits stands how many sets have it, on a scale of logarithms."""
+    sig, n = _heads(part)
+    tokens = _unpacked(_joined(part["tokens"]))
+    order = np.argsort(tokens)
+    tokens = tokens[order]
+    same = tokens[1:] == tokens[:-1]
+    order, tokens = (x[np.r_[same, False] | np.r_[False, same]] if len(x) else x for x in (order, tokens))
+    # copies of a set are one
+    by = np.lexsort((sig[order], tokens))
+    order, tokens = order[by], tokens[by]
+    sig, n = sig[order], n[order]
+    once = np.r_[True, (tokens[1:] != tokens[:-1]) | (sig[1:] != sig[:-1])][: len(tokens)]
+    sig, n, tokens = sig[once], n[once], tokens[once]
+    _, column, df = np.unique(tokens, return_inverse=True, return_counts=True)
+    df = df[column]
+    several = df > 1
+    sig, n, tokens = sig[several], n[several], tokens[several] | (np.log2(df[several]) * 4).astype(np.uint64) << np.uint64(48)
+    by = np.argsort(sig, kind="stable")
+    sig, n, tokens = sig[by], n[by], tokens[by]
+    rows = [(p, h, t.tobytes()) for p, h, t in _parted((mix(sig.view(np.uint64)) % np.uint64(parts)).astype(np.int64), sig, n, tokens)]
+    return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "heads": pa.array([r[1] for r in rows], pa.binary()), "tokens": pa.array([r[2] for r in rows], pa.binary())})
+
+
+def _alive(part: pa.Table, threshold: float) -> pa.Table:
+    """(sig, n, few, rare, low) of a part's sets that have as many tokens in common with others as they need."""
+    sig, n = _heads(part)
+    tokens = np.frombuffer(_joined(part["tokens"]), np.int64)
+    by = np.lexsort((tokens, sig))
+    sig, n, tokens = sig[by], n[by], tokens[by]
+    sigs, sizes, fews, rare, low = [], [], [], [], []
+    for lo, hi in _spans(sig):
+        need = max(1, int(np.ceil(n[lo] * threshold - 1e-9)))
+        if hi - lo >= need:
+            sigs.append(sig[lo])
+            sizes.append(n[lo])
+            fews.append(min(need, FEW))
+            rare.append(tokens[lo : hi - need + fews[-1]])
+            low.append(np.sort(tokens[lo:hi] & ((1 << 48) - 1))[:KEY])
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
+    return pa.table({"sig": pa.array(sigs, pa.int64()), "n": pa.array(sizes, pa.int32()), "few": pa.array(fews, pa.int32()), "rare": lists(rare), "low": lists(low)})
 
 
 class _Job:
@@ -195,47 +278,34 @@ class _Job:
         return pa.table({"sig": self.sig[some], "links": links[some], "root": self.sig[by[root[some]]]})
 
 
-def _common(rows: DataFrame, found: Column) -> DataFrame:
-    """(sig, need, found): of (sig, need, token), the sets that share as many tokens with others as they need, with what they share."""
-    df = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    return rows.join(df, "token").groupBy("sig", "need").agg(F.collect_list(found).alias("found")).where("size(found) >= need")
-
-
 def _jobs(docs: DataFrame, threshold: float, id: str, text: str, w: Workspace) -> tuple[DataFrame, DataFrame]:
     """(members, jobs): members (sig, doc_id), kept; jobs (g, i, j, sig, copies, col, diag, set), the blocks to compare."""
     kind = docs.schema[id].dataType.simpleString()
     base = docs.select(F.col(id).alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    sets = w.written(map_arrow(base, _sketch, f"doc_id {kind}, n int, sig bigint, tokens array<int>"), "sets")
+    sets = w.written(map_arrow(base, _sets, f"doc_id {kind}, n int, sig bigint"), "sets")
     members = w.kept(sets.select("sig", "doc_id").distinct(), "members")
-    least = F.array(*[F.lit(x) for x in needs(threshold)])
-    need = F.when(F.col("n") <= int(TOKENS * threshold + 1e-9), F.ceil(F.col("n") * threshold - 1e-9).cast("int")).otherwise(F.element_at(least, F.size("tokens")))
-    one = w.written(sets.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n", "tokens")).alias("s")).select("sig", "rep", "s.n", "s.tokens").withColumn("need", need), "one")
+    parts = max(1, ceil((sets.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0) / COUNTED))
     w.drop("sets")
-    alive = w.written(_common(one.select("sig", "need", F.explode("tokens").alias("token")), F.col("token")), "alive")
-    common = _common(alive.select("sig", "need", F.explode("found").alias("token")), F.struct("df", "token"))
-    tokens = F.array_sort(F.transform("found", lambda x: x["token"]))
-    rare = F.transform(F.slice(F.array_sort("found"), F.lit(1), F.size("found") - F.col("need") + 1), lambda x: x["token"])
-    common = w.written(common.select("sig", "need", tokens.alias("tokens"), rare.alias("rare")), "common")
-    w.drop("alive")
-    triples = F.array_distinct(F.array(*[F.xxhash64(*[F.get("tokens", F.lit(i)) for i in c]) for c in combinations(range(KEY), 3)]))
-    keys = common.select("sig", F.explode(triples).alias("key"))
+    counted = map_arrow(base, lambda batches: _by_token(batches, parts), _PARTS).groupBy("part").applyInArrow(lambda t: _by_set(t, parts), _PARTS)
+    alive = counted.groupBy("part").applyInArrow(lambda t: _alive(t, threshold), "sig bigint, n int, few int, rare array<bigint>, low array<bigint>")
+    alive = w.written(alive, "alive")
+    triples = F.array_distinct(F.array(*[F.xxhash64(*[F.get("low", F.lit(i)) for i in c]) for c in combinations(range(KEY), 3)]))
+    keys = alive.select("sig", F.explode(triples).alias("key"))
     held = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
     group = keys.join(held, "key").groupBy("sig").agg(F.max(F.struct("sets", "key"))["key"].alias("g"))
-    copies = members.groupBy("sig").agg(F.count(F.lit(1)).alias("copies"))
-    grouped = common.join(group, "sig", "left").withColumn("g", F.coalesce("g", F.xxhash64("sig"))).join(one.select("sig", "rep", "n"), "sig").join(copies, "sig")
+    one = members.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    grouped = alive.join(group, "sig", "left").withColumn("g", F.coalesce("g", F.xxhash64("sig"))).join(one, "sig").drop("low")
     grouped = w.written(grouped, "grouped")
-    w.drop("one", "common")
+    w.drop("alive")
     weight = F.sum(F.col("n") + EACH)
-    sizes = w.written(grouped.groupBy("g").agg(F.count(F.lit(1)).alias("members"), weight.alias("weight"), F.min("n").alias("lo"), F.max("n").alias("hi")), "sizes")
-    rare = grouped.join(sizes, "g").select("sig", "g", "members", "n", F.explode("rare").alias("token"), "lo", "hi")
-    cells = rare.select("token", F.col("g").alias("mg"), F.col("members").alias("mm"), "lo", "hi").distinct()
+    sizes = w.written(grouped.groupBy("g").agg(F.count(F.lit(1)).alias("members"), weight.alias("weight"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("few").alias("least")), "sizes")
+    rare = grouped.join(sizes, "g").select("sig", "g", "members", "n", "few", F.explode("rare").alias("token"), "lo", "hi", "least")
+    matrix = rare.select("token", F.col("g").alias("mg"), F.col("members").alias("mm"), "lo", "hi", "least").distinct()
     # of two groups the smaller one's sets are the queries, so that each pair of sets meets in one group only
     order = (F.col("members") < F.col("mm")) | ((F.col("members") == F.col("mm")) & (F.col("g") < F.col("mg")))
     fits = (F.col("n") >= F.col("lo") * threshold - 1e-9) & (F.col("n") * threshold <= F.col("hi") + 1e-9)
-    met = rare.drop("lo", "hi").join(cells, "token").where(order & fits).select("sig", "mg").distinct()
-    matrix = grouped.select(F.col("g").alias("mg"), F.explode("tokens").alias("token")).distinct()
-    bound = met.join(grouped.select("sig", "need", "n", "tokens"), "sig").select("sig", "mg", "need", "n", F.explode("tokens").alias("token")).join(matrix, ["mg", "token"])
-    queries = w.written(bound.groupBy("sig", "mg", "need", "n").agg(F.count(F.lit(1)).alias("bound")).where("bound >= need").select("sig", F.col("mg").alias("g"), "n"), "queries")
+    met = rare.drop("lo", "hi", "least").join(matrix, "token").where(order & fits).groupBy("sig", "mg", "n").agg(F.count(F.lit(1)).alias("bound"), F.first(F.least("few", "least")).alias("least"))
+    queries = w.written(met.where("bound >= least").select("sig", F.col("mg").alias("g"), "n"), "queries")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     asked = queries.groupBy("g").agg(weight.alias("asked"))
     plan = sizes.join(asked, "g", "left").where("members > 1 OR asked IS NOT NULL").select("g", blocks("weight").alias("mb"), F.coalesce(blocks("asked"), F.lit(1)).alias("qb"))

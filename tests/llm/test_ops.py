@@ -521,6 +521,33 @@ def test_jaccard_small_sets(spark, prose_of):
     assert got == slow_pairs(docs) and len(got) > 50
 
 
+def low_hashed(start, n, seed):
+    """``start`` and ``n`` more words of which each ends a trigram with a low hash."""
+    r, out = random.Random(seed), start.split()
+    for _ in range(n):
+        some = [f"q{r.randrange(10**9)}" for _ in range(60)]
+        out.append(min(some, key=lambda w: int(jaccard_join.gram_set(next(iter(words(pa.array([" ".join([*out[-2:], w])]))))[2])[0])))
+    return " ".join(out)
+
+
+def test_jaccard_no_pair_missed(spark, prose_of, monkeypatch):
+    """Pairs whose lowest-hashed trigrams are those that they don't share, in one part and in many."""
+    docs = []
+    for i in range(4):
+        base = " ".join(f"{w}{i}" for w in prose_of(150, 40 + i).split())
+        docs += [(10 * i + k, low_hashed(base, n, 7 * i + k)) for k, n in enumerate((70, 70, 74, 60))]
+        docs += [(10 * i + 7, docs[-1][1]), (10 * i + 8, prose_of(200, 90 + i))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = slow_pairs(docs)
+    sample = lambda t: set(jaccard_join.gram_set(next(iter(words(pa.array([t]))))[2])[:48].tolist())
+    text = dict(docs)
+    assert sum(len(sample(text[a]) & sample(text[b])) < 13 for a, b, _ in want) >= 20
+    for counted in (3_000_000, 500):
+        monkeypatch.setattr(jaccard_join, "COUNTED", counted, raising=False)
+        assert {tuple(x) for x in jaccard_join.similar_pairs(df).collect()} == want
+        assert {tuple(x) for x in jaccard_join.linked(df).collect()} == slow_classes(docs)
+
+
 def test_jaccard_without_broadcast(spark, prose_of, monkeypatch):
     monkeypatch.setattr(jaccard_join, "JOBS", 0)
     docs = corpus(prose_of, 4, 10)
