@@ -173,6 +173,18 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
+def group_arrow(df: DataFrame, by: str, f: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``df.groupBy(by).applyInArrow`` for groups of many MB; a group's memory is freed at its end."""
+
+    def run(group: pa.Table) -> pa.Table:
+        try:
+            return f(group)
+        finally:
+            _release()
+
+    return df.groupBy(by).applyInArrow(run, schema)
+
+
 def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function for mapInArrow from one for a batch; empty results are left out."""
 

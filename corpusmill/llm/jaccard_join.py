@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import Workspace, checked_broadcast, map_arrow, table, without
+from corpusmill.llm.common import Workspace, checked_broadcast, group_arrow, map_arrow, table, without
 from corpusmill.llm.tokens import combine, mix, words
 
 GRAM = 3
@@ -286,8 +286,8 @@ def _jobs(docs: DataFrame, threshold: float, id: str, text: str, w: Workspace) -
     members = w.kept(sets.select("sig", "doc_id").distinct(), "members")
     parts = max(1, ceil((sets.agg(F.sum(F.col("n").cast("bigint"))).first()[0] or 0) / COUNTED))
     w.drop("sets")
-    counted = map_arrow(base, lambda batches: _by_token(batches, parts), _PARTS).groupBy("part").applyInArrow(lambda t: _by_set(t, parts), _PARTS)
-    alive = counted.groupBy("part").applyInArrow(lambda t: _alive(t, threshold), "sig bigint, n int, few int, rare array<bigint>, low array<bigint>")
+    counted = group_arrow(map_arrow(base, lambda batches: _by_token(batches, parts), _PARTS), "part", lambda t: _by_set(t, parts), _PARTS)
+    alive = group_arrow(counted, "part", lambda t: _alive(t, threshold), "sig bigint, n int, few int, rare array<bigint>, low array<bigint>")
     alive = w.written(alive, "alive")
     triples = F.array_distinct(F.array(*[F.xxhash64(*[F.get("low", F.lit(i)) for i in c]) for c in combinations(range(KEY), 3)]))
     keys = alive.select("sig", F.explode(triples).alias("key"))

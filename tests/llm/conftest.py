@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
+from corpusmill.llm.jaccard_join import gram_set
+from corpusmill.llm.tokens import words
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that clash with names that the operators use.
 EXTRA = "copy string, shard string, score string, n string, sig string, g string, keep string, rate string, k string, block string, turns string, layout string, fingerprint string, gone string, __leak string, __bad string, __extra string, __fp string, __layout string, __lp string, __n string, __block string, __text string, __mix_n string, h string, q string, t string, rep string"
@@ -23,6 +27,20 @@ def prose_of():
     return prose
 
 
+def low_hashed_words(start: str, n: int, seed: int) -> str:
+    """``start`` and ``n`` more words of which each ends a trigram with a low hash."""
+    r, out = random.Random(seed), start.split()
+    for _ in range(n):
+        some = [f"q{r.randrange(10**9)}" for _ in range(60)]
+        out.append(min(some, key=lambda w: int(gram_set(next(iter(words(pa.array([" ".join([*out[-2:], w])]))))[2])[0])))
+    return " ".join(out)
+
+
+@pytest.fixture(scope="session")
+def low_hashed():
+    return low_hashed_words
+
+
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Nulls in every column, empty and very long texts, repeated rows, ties, clashing columns."""

@@ -521,16 +521,7 @@ def test_jaccard_small_sets(spark, prose_of):
     assert got == slow_pairs(docs) and len(got) > 50
 
 
-def low_hashed(start, n, seed):
-    """``start`` and ``n`` more words of which each ends a trigram with a low hash."""
-    r, out = random.Random(seed), start.split()
-    for _ in range(n):
-        some = [f"q{r.randrange(10**9)}" for _ in range(60)]
-        out.append(min(some, key=lambda w: int(jaccard_join.gram_set(next(iter(words(pa.array([" ".join([*out[-2:], w])]))))[2])[0])))
-    return " ".join(out)
-
-
-def test_jaccard_no_pair_missed(spark, prose_of, monkeypatch):
+def test_jaccard_no_pair_missed(spark, prose_of, low_hashed, monkeypatch):
     """Pairs whose lowest-hashed trigrams are those that they don't share, in one part and in many."""
     docs = []
     for i in range(4):

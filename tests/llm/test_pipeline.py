@@ -77,3 +77,11 @@ def test_stage_empty(spark, nothing, awkward, folder, tmp_path, name):
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{bare}/benchmark.parquet")
     ids = {r.doc_id for r in stage(spark, awkward, bare).collect()}
     assert ids == {r.doc_id for r in awkward.collect()} - ({2} if name == "near_duplicates" else set())
+
+
+def test_near_duplicates_missed_by_a_sample(spark, folder, prose_of, low_hashed):
+    """Near copies go though the lowest-hashed trigrams of each are not in the others."""
+    base, near = prose_of(150, 61), dict(corpus_pipeline.STAGES)["near_duplicates"]
+    docs = [(i, low_hashed(base, 60, i), "en", "a", 1) for i in (3, 4, 5)] + [(9, prose_of(150, 62), "en", "a", 1)]
+    kept = near(spark, spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long"), folder)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 9]
