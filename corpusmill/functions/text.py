@@ -132,6 +132,12 @@ def drop_blank_lines(c: Column | str) -> Column:
     return F.when(F.size(kept) == 0, "").otherwise(F.concat(F.array_join(kept, "\n"), F.lit("\n")))
 
 
+def nonblank_lines(c: Column | str) -> Column:
+    """The lines that aren't blank as they stand, carriage returns too, each ended by a newline: a newline alone if there are none, and no text for a null."""
+    kept = F.filter(F.split(col(c), "\n"), lambda x: x.rlike(r"[^ \t\r\f]"))
+    return F.coalesce(F.concat(F.array_join(kept, "\n"), F.lit("\n")), F.lit(""))
+
+
 def match_newlines(new: Column | str, old: Column | str) -> Column:
     """``new`` with the line ends of ``old``: CRLF if that has any, else LF."""
     plain = F.replace(col(new), F.lit("\r\n"), F.lit("\n"))

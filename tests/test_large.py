@@ -1,0 +1,30 @@
+"""Odd rows against the SQL, and steps that must stay bounded on large tables."""
+
+from __future__ import annotations
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from oracle import expected, rows
+
+from corpusmill.plans.catalog import QUERIES, SQL
+
+ODD = [
+    None, "", "\n", " \r\n", "a\r\nb", "a\r\n\r\n b\r\n", "a\r", "\r", "a\x85b\n\x85\n", " \n\x0b\nx", "the of the", "thethe", "   ", "\f\n\x1c\n\x1d", "a of the of b", "\n\n\na\n\n", "x\n", " of ", "the of ",
+]
+
+
+def documents(folder, texts, **more) -> str:
+    """A folder with these texts as ``documents``, six ids each."""
+    table = {"doc_id": [i * 6 + k for i in range(len(texts)) for k in range(6)], "text": [t for t in texts for _ in range(6)]}
+    n = len(table["doc_id"])
+    pq.write_table(pa.table({"doc_id": pa.array(table["doc_id"], pa.int64()), "text": pa.array(table["text"], pa.string()), "lang": ["en"] * n, "source": [f"src{i % 3}" for i in range(n)], **more}), f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def sql(name, folder) -> list:
+    return expected(SQL[name], documents=pq.read_table(f"{folder}/documents.parquet"))
+
+
+def test_blank_lines_of_odd_texts(spark, tmp_path):
+    d = documents(tmp_path, ODD)
+    assert rows(QUERIES["blank_lines"](spark, d)) == sql("blank_lines", d)
