@@ -1,13 +1,17 @@
-"""Column functions on paths, names and texts; everything here stays in the JVM."""
+"""Column functions on paths, names and texts; all but ``token_estimate`` and ``matches`` stay in the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from corpusmill.functions.names import ENTRY_NAMES, PLACEHOLDERS
+from corpusmill.functions.udf import arrow
 
 #: Text that a secret is replaced by.
 MASK = "[REDACTED]"
@@ -144,10 +148,49 @@ def match_newlines(new: Column | str, old: Column | str) -> Column:
     return F.when(F.contains(col(old), F.lit("\r\n")), F.replace(plain, F.lit("\n"), F.lit("\r\n"))).otherwise(plain)
 
 
+#: Of each byte of UTF-8: 1 in words, 2 at the start of another sign that isn't white space, else 0.
+_KIND = np.array([1 if chr(b).isalnum() or b == 95 else 0 if b in b" \t\n\r" else 2 for b in range(128)] + [0] * 64 + [2] * 64, np.uint8)
+
+
+def count_tokens(texts: pa.Array) -> pa.Array:
+    """The tokens of each text, found in all bytes of the array at once: no text is made for any of them."""
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    if not len(texts) or data is None or ends[0] == ends[-1]:
+        return pa.array(np.zeros(len(texts), np.int64), mask=np.asarray(texts.is_null()))
+    kind = _KIND[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]]
+    ends = ends - ends[0]
+    word = np.concatenate([[False], kind == 1, [False]])
+    # a word ends with its text too: the bytes of the next one follow at once
+    edges = ends[(ends > 0) & (ends < len(kind))]
+    opens, closes = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
+    opens[edges], closes[edges - 1] = word[edges + 1], word[edges]
+    first, last = np.flatnonzero(opens), np.flatnonzero(closes)
+    upto = np.concatenate([[0], np.cumsum((last - first + 4) >> 2)])
+    signs = np.flatnonzero(kind == 2)
+    n = np.diff(upto[np.searchsorted(first, ends)]) + np.diff(np.searchsorted(signs, ends))
+    return pa.array(n.astype(np.int64), mask=np.asarray(texts.is_null()))
+
+
+@arrow("bigint")
+def _tokens(texts: pa.Array) -> pa.Array:
+    return count_tokens(texts)
+
+
 def token_estimate(c: Column | str) -> Column:
     """An estimate of a text's tokens that needs no vocabulary: words by four letters, and one for each other sign."""
-    t = col(c)
-    return (F.regexp_count(t, F.lit("[0-9A-Za-z_]{1,4}")) + F.regexp_count(t, F.lit("[^0-9A-Za-z_ \\t\\n\\r]"))).cast("bigint")
+    return _tokens(col(c))
+
+
+def matches(c: Column | str, pattern: str, ignore_case: bool = False) -> Column:
+    """Whether a pattern of RE2 occurs in the text: one pass over its bytes, however many alternatives the pattern has; null for a null."""
+
+    @arrow("boolean")
+    def found(texts: pa.Array) -> pa.Array:
+        return pc.match_substring_regex(texts, pattern, ignore_case=ignore_case)
+
+    return found(col(c))
 
 
 def wider_estimate(tokens: Column | str) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pyarrow as pa
 import pyarrow.parquet as pq
 from oracle import expected, rows
+from pyspark.sql import functions as F
 
+from corpusmill.functions import text as T
 from corpusmill.plans.catalog import QUERIES, SQL
 
 ODD = [
@@ -28,3 +33,32 @@ def sql(name, folder) -> list:
 def test_blank_lines_of_odd_texts(spark, tmp_path):
     d = documents(tmp_path, ODD)
     assert rows(QUERIES["blank_lines"](spark, d)) == sql("blank_lines", d)
+
+
+def test_tokens_are_counted_over_bytes():
+    rng = random.Random(1)
+
+    def plain(t):
+        return None if t is None else len(re.findall("[0-9A-Za-z_]{1,4}", t)) + len(re.findall("[^0-9A-Za-z_ \t\n\r]", t))
+
+    for _ in range(500):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices("ab9_Z \t\n\r.,é😀\0\x85\x0b", k=rng.choice([0, 0, 1, 2, 5, 9, 30]))) for _ in range(rng.randint(0, 8))]
+        a = pa.array(texts, pa.string())
+        assert T.count_tokens(a).to_pylist() == list(map(plain, texts))
+        assert T.count_tokens(a[1:-1]).to_pylist() == list(map(plain, texts[1:-1]))
+
+
+def test_totals_search_no_text_in_the_jvm(spark, tmp_path):
+    d = documents(tmp_path, ["4111111111111111", "a4111111111111111", "x 371234567890123.", "é4111111111111", None, "", "the 😀 _end_ word9"])
+    got = QUERIES["merge_totals"](spark, d)
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString().lower() and "rlike" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    for name in ("merge_totals", "redact_cards"):
+        assert rows(QUERIES[name](spark, d)) == sql(name, d)
+
+
+def test_packing_counts_no_tokens_in_the_jvm(spark, tmp_path):
+    d = documents(tmp_path, ["word " * 30000, "", "the 😀 _end_ word9", "a" * 70001])
+    for name in ("token_bin_pack", "map_pack"):
+        assert rows(QUERIES[name](spark, d)) == sql(name, d)
+    plan = spark.range(1).select(T.token_estimate(F.lit("a"))).select("*")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan
