@@ -1,7 +1,7 @@
 """Secrets: rules, context, harvest and density.
 
 Most decisions are made for each single match (placeholder words, entropy), which no regex replacement in SQL can do; those run
-in Arrow batches, with the rules compiled once in each worker.  What SQL can express is also given as columns.
+in Arrow batches behind one search for all rules' needles, with the rules compiled once in each worker.  What SQL can express is also given as columns.
 """
 
 from __future__ import annotations
@@ -9,15 +9,17 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from corpusmill.functions.udf import vectorized
 
 from corpusmill.functions import names as N
 from corpusmill.functions.text import MASK
+from corpusmill.functions.udf import arrow, vectorized
 
 RULE_BITS, VALUE_BITS, DENSE = 3.3, 3.0, 2
 #: Files whose bare tokens are harvested if they are dense in credentials.
@@ -63,8 +65,16 @@ RULES: list[tuple[str, str, bool]] = [
 ]
 CONTEXT_RULE = "Contextual credential"
 
-# Java's digits and white space lack some of Python's; what Java doesn't know yet may be a digit
-_D, _S, _START = r"[\p{Nd}\p{Cn}]", r"[\s\x1c-\x1f]", "(?<![0-9A-Za-z_])"
+
+def _class(test: Callable[[str], bool]) -> str:
+    """A class of RE2 of the characters that pass; what RE2 knows as digits or white space isn't what Python does."""
+    found = [c for c in range(0x110000) if test(chr(c))]
+    starts = [c for c, before in zip(found, [-2, *found]) if c != before + 1]  # noqa: B905
+    ends = [c for c, after in zip(found, [*found[1:], -2]) if after != c + 1]  # noqa: B905
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+_D, _S, _START = _class(str.isdecimal), _class(str.isspace), "(?:^|[^0-9A-Za-z_])"
 #: For each rule what any of its matches holds, without regard to case: a text with none of these isn't sent to Python.
 NEEDLES: dict[str, str] = {
     "AWS Access Key ID": "A(?:KI|SI|ID|RO)A",
@@ -97,8 +107,19 @@ NEEDLES: dict[str, str] = {
     # labelled values, and the words that open the window for bare ones
     CONTEXT_RULE: "(?:key|password|passwd|pwd|secret|token)[0-9_a-z-]*" + _S + "*[|=:]|" + "|".join(map(re.escape, N.CONTEXT_WORDS)),
 }
-#: Java regex of all needles; letters, digits and case are those of Unicode, as in Python.
-SUSPECT = "(?iU)" + "|".join(f"(?:{x})" for x in NEEDLES.values())
+
+
+def _folded(needle: str) -> str:
+    """The needle with the two letters that are an i to Python without regard to case, but not to RE2."""
+    parts = re.split(r"(\\x\{[0-9a-f]+\}|\\.|\(\?:)", needle)
+    return "".join(x if i % 2 else re.sub("i", "[iıİ]", x, flags=re.I).replace("a-z", "a-zıİ") for i, x in enumerate(parts))
+
+
+#: RE2 of all needles, without regard to case.
+SUSPECT = "|".join(f"(?:{_folded(x)})" for x in NEEDLES.values())
+#: RE2 of each rule's needle wherever it stands.  No needle has a sign of a mask, so one that isn't there isn't there once others are masked;
+#: what stands before it may be.
+ANYWHERE = {n: _folded(x.removeprefix(_START)) for n, x in NEEDLES.items()}
 
 _COMPILED = [(n, re.compile(p), g) for n, p, g in RULES]
 _MAIL = r"[%+.0-9_a-z-]+@[.0-9a-z-]+\.[a-z]{2,}"
@@ -106,7 +127,8 @@ _MAIL_VALUE = re.compile(rf"({_MAIL}\s*[|:]\s*)(\S{{6,}})", re.I)
 _MAIL_ONLY = re.compile(rf"{_MAIL}\Z", re.I)
 _QUAD = re.compile(r"\b" + r"\s".join(["[a-z]{4}"] * 4) + r"\b")
 _ASSIGNED = re.compile(r"\b(?:api[-_]?key|passwd|password|pwd|secret)\b\s*[|=:]\s*\S{8,}", re.I)
-_LABELED = re.compile(r"[.0-9_a-z-]*(?:api[-_]?key|app[-_]?password|client[-_]?secret|passwd|password|pwd|secret|token)[0-9_a-z-]*\s*[|=:]\s*[\"']?([^\s,;`\"'{}<>\[\]()]{8,})", re.I)
+_LABELED = re.compile(r"(?:api[-_]?key|app[-_]?password|client[-_]?secret|passwd|password|pwd|secret|token)[0-9_a-z-]*\s*[|=:]\s*[\"']?([^\s,;`\"'{}<>\[\]()]{8,})", re.I)
+_LABELS = ("key", "passw", "pwd", "secret", "token")
 _PEM = re.compile(r"-{5}BEGIN [ A-Z]{0,20}PRIVATE KEY")
 _OUTER = "\"'(),/:;<>[\\]`{|}"
 _INNER = "\"'(),.:;[]`"
@@ -139,14 +161,21 @@ def is_version(t: str) -> bool:
     return bool(re.fullmatch(r"[0-9.:+-]+", re.sub("[vVtTzZhHms]", "", t)))
 
 
-def redact_text(text: str) -> tuple[str, list[tuple[str, int]]]:
+def may_be_labelled(line: str, low: str) -> bool:
+    """Whether a line may hold a labelled value; ``low`` is the line in lower case, which beyond ASCII isn't all that a regex takes as equal."""
+    return not line.isascii() or (any(w in low for w in _LABELS) and any(c in line for c in "|=:"))
+
+
+def redact_text(text: str, held: set[str] | None = None) -> tuple[str, list[tuple[str, int]]]:
     """The text with its secrets masked, and (rule, count) of the rules that masked any.
 
     The rules run in order, each over what the one before left; then each line is searched for labelled values, and
-    lines within two of a context word for bare ones.
+    lines within two of a context word for bare ones.  ``held`` are the rules whose needles are in the text, if that is known.
     """
     events = []
     for name, pattern, gated in _COMPILED:
+        if held is not None and name not in held:
+            continue
         n = 0
 
         def mask(m: re.Match, gated: bool = gated) -> str:
@@ -160,6 +189,8 @@ def redact_text(text: str) -> tuple[str, list[tuple[str, int]]]:
         text = pattern.sub(mask, text)
         if n:
             events.append((name, n))
+    if held is not None and CONTEXT_RULE not in held:
+        return text, events
     n = 0
 
     def labelled(m: re.Match) -> str:
@@ -174,8 +205,9 @@ def redact_text(text: str) -> tuple[str, list[tuple[str, int]]]:
         low = line.lower()
         if any(w in low for w in N.CONTEXT_WORDS):
             window = 3
-        if not is_placeholder(line):
-            line = _LABELED.sub(labelled, line)
+        labels = may_be_labelled(line, low)
+        if (labels or window) and not is_placeholder(line):
+            line = _LABELED.sub(labelled, line) if labels else line
             if window:
                 line, k = _QUAD.subn(MASK, line)
                 n += k
@@ -232,11 +264,34 @@ def credential_count(text: str) -> int:
 EVENTS = "array<struct<rule:string,n:int>>"
 
 
-@vectorized(f"struct<text:string,events:{EVENTS}>")
-def redact(text: pd.Series) -> pd.DataFrame:
-    """``redact_text`` over a column; nulls stay null."""
-    found = [(None, None) if t is None else redact_text(t) for t in text]
-    return pd.DataFrame({"text": [x[0] for x in found], "events": [None if x[1] is None else [{"rule": r, "n": n} for r, n in x[1]] for x in found]})
+def _masked(texts: pa.Array) -> dict[int, tuple[str, list[tuple[str, int]]]]:
+    """What ``redact_text`` makes of each text in which it masks anything, by its place; only texts with a needle are made strings, and only rules with theirs run."""
+    places = np.flatnonzero(pc.fill_null(pc.match_substring_regex(texts, SUSPECT, ignore_case=True), False))
+    some = texts.take(pa.array(places))
+    found = {n: pc.match_substring_regex(some, x, ignore_case=True).to_pylist() for n, x in ANYWHERE.items()}
+    made = {int(p): redact_text(some[i].as_py(), {n for n, f in found.items() if f[i]}) for i, p in enumerate(places)}
+    return {p: m for p, m in made.items() if m[1]}
+
+
+def _events(made: dict, rows: int) -> pa.Array:
+    kind = pa.list_(pa.struct([("rule", pa.string()), ("n", pa.int32())]))
+    return pa.array([[{"rule": r, "n": n} for r, n in made[i][1]] if i in made else [] for i in range(rows)], kind)
+
+
+@arrow(f"struct<text:string,events:{EVENTS}>", once=True)
+def redact(texts: pa.Array) -> pa.Array:
+    """``redact_text`` over a column; nulls stay null, without events."""
+    made = _masked(texts)
+    changed = np.zeros(len(texts), bool)
+    changed[list(made)] = True
+    out = pc.replace_with_mask(texts, pa.array(changed), pa.array([m[0] for m in made.values()], texts.type))
+    return pa.StructArray.from_arrays([out, _events(made, len(texts))], ["text", "events"])
+
+
+@arrow(EVENTS, once=True)
+def events(texts: pa.Array) -> pa.Array:
+    """The events of ``redact`` alone; the texts aren't sent back."""
+    return _events(_masked(texts), len(texts))
 
 
 @vectorized("array<string>")
@@ -258,9 +313,5 @@ def density(text: pd.Series) -> pd.Series:
 
 
 def redacted(text: Column) -> Column:
-    """``redact`` only where a text has a needle of a rule; elsewhere the text itself without events."""
-    none = F.struct(text.alias("text"), F.array().cast(EVENTS).alias("events"))
-    suspect = text.rlike(SUSPECT)
-    # a null in its place, as a Python function is given every row
-    return F.when(suspect, redact(F.when(suspect, text))).otherwise(none)
-
+    """(text, events): the text masked by ``redact``, and what was masked."""
+    return redact(text)
