@@ -1,4 +1,4 @@
-"""Column functions on paths, names and texts; all but ``token_estimate`` and ``matches`` stay in the JVM."""
+"""Column functions on paths, names and texts; all but ``token_estimate``, ``words`` and ``matches`` stay in the JVM."""
 
 from __future__ import annotations
 
@@ -152,27 +152,64 @@ def match_newlines(new: Column | str, old: Column | str) -> Column:
 _KIND = np.array([1 if chr(b).isalnum() or b == 95 else 0 if b in b" \t\n\r" else 2 for b in range(128)] + [0] * 64 + [2] * 64, np.uint8)
 
 
-def count_tokens(texts: pa.Array) -> pa.Array:
-    """The tokens of each text, found in all bytes of the array at once: no text is made for any of them."""
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(data, ends): the bytes of all texts one after the other, and where each begins and ends in them."""
     texts = texts.cast(pa.large_string())
+    if not len(texts) or texts.buffers()[2] is None:
+        return np.zeros(0, np.uint8), np.zeros(len(texts) + 1, np.int64)
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    if not len(texts) or data is None or ends[0] == ends[-1]:
-        return pa.array(np.zeros(len(texts), np.int64), mask=np.asarray(texts.is_null()))
-    kind = _KIND[np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]]
-    ends = ends - ends[0]
-    word = np.concatenate([[False], kind == 1, [False]])
-    # a word ends with its text too: the bytes of the next one follow at once
-    edges = ends[(ends > 0) & (ends < len(kind))]
-    opens, closes = word[1:-1] & ~word[:-2], word[1:-1] & ~word[2:]
-    opens[edges], closes[edges - 1] = word[edges + 1], word[edges]
-    first, last = np.flatnonzero(opens), np.flatnonzero(closes)
+    return np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _runs(inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last bytes of the runs of such bytes; a run ends with its text too, as the bytes of the next one follow at once."""
+    padded = np.concatenate([[False], inside, [False]])
+    opens, closes = inside & ~padded[:-2], inside & ~padded[2:]
+    edges = ends[(ends > 0) & (ends < len(inside))]
+    opens[edges], closes[edges - 1] = inside[edges], inside[edges - 1]
+    return np.flatnonzero(opens), np.flatnonzero(closes)
+
+
+def count_tokens(texts: pa.Array) -> pa.Array:
+    """The tokens of each text, found in all bytes of the array at once: no text is made for any of them."""
+    data, ends = _bytes(texts)
+    kind = _KIND[data]
+    first, last = _runs(kind == 1, ends)
     upto = np.concatenate([[0], np.cumsum((last - first + 4) >> 2)])
-    signs = np.flatnonzero(kind == 2)
-    n = np.diff(upto[np.searchsorted(first, ends)]) + np.diff(np.searchsorted(signs, ends))
+    n = np.diff(upto[np.searchsorted(first, ends)]) + np.diff(np.searchsorted(np.flatnonzero(kind == 2), ends))
     return pa.array(n.astype(np.int64), mask=np.asarray(texts.is_null()))
 
 
+def split_words(texts: pa.Array, heads: bool = False, least: int = 3) -> pa.Array:
+    """The runs of at least ``least`` ASCII letters in each text, with ``heads`` only those that begin a line; none in a null."""
+    data, ends = _bytes(texts)
+    first, last = _runs((data | 32) - 97 < 26, ends)
+    long = last - first + 1 >= least
+    if heads:
+        begins = np.zeros(len(data) + 1, bool)
+        begins[ends[:-1]] = True
+        begins[1:] |= data == 10
+        long &= begins[first]
+    first, last = first[long], last[long]
+    kept = np.zeros(len(data) + 1, np.int8)
+    kept[first] += 1
+    kept[last + 1] -= 1
+    letters = data[np.cumsum(kept[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.concatenate([[0], np.cumsum(last - first + 1)]).astype(np.int32)
+    values = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(letters)))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(first, ends).astype(np.int32)), values)
+
+
+def words(c: Column | str, heads: bool = False) -> Column:
+    """``split_words`` over a column."""
+
+    @arrow("array<string>", once=True)
+    def found(texts: pa.Array) -> pa.Array:
+        return split_words(texts, heads)
+
+    return found(col(c))
+
+
 @arrow("bigint")
 def _tokens(texts: pa.Array) -> pa.Array:
     return count_tokens(texts)

@@ -18,6 +18,8 @@ MOST_BLOCKS = 8
 #: Names defined by more files than this link nothing; a file's references to one name count so often at most.
 MOST_DEFINERS, MOST_WEIGHT = 5, 5
 DAMPING, ROUNDS = 0.85, 30
+#: Definitions of linking names up to which the names are broadcast.
+NAMES = 2_000_000
 #: Bytes of secrets that are broadcast at a time; more of them are masked in several passes.
 SECRET_BYTES = 16 << 20
 
@@ -193,31 +195,43 @@ def definers(defs: DataFrame) -> DataFrame:
 
 
 def reference_edges(defs: DataFrame, refs: DataFrame) -> DataFrame:
-    """(src, dst, w): how much a file refers to another; each name counts MOST_WEIGHT times at most."""
-    uses = refs.groupBy("path", "name").agg(F.least(F.count(F.lit(1)), F.lit(MOST_WEIGHT)).alias("w"))
-    links = uses.withColumnRenamed("path", "src").join(definers(defs).withColumnRenamed("path", "dst"), "name").where("src <> dst")
+    """(src, dst, w): how much a file refers to another; each name counts MOST_WEIGHT times at most.
+
+    Most references are to names that link nothing, so those are left out before any are counted or sent over the network.  The names that
+    link are few and broadcast; beyond NAMES of them the references are shuffled by name instead.
+    """
+    from corpusmill.plans.storage import checkpoint
+
+    linking = checkpoint(definers(defs))
+    names = linking.select("name").distinct()
+    usable = refs.join(F.broadcast(names) if linking.count() <= NAMES else names, "name", "left_semi")
+    uses = usable.groupBy("path", "name").agg(F.least(F.count(F.lit(1)), F.lit(MOST_WEIGHT)).alias("w"))
+    links = uses.withColumnRenamed("path", "src").join(linking.withColumnRenamed("path", "dst"), "name").where("src <> dst")
     return links.groupBy("src", "dst").agg(F.sum("w").cast("double").alias("w"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(path, rank): PageRank with even teleports over the distinct nodes; what files without references hold is spread evenly.
 
-    The edges' shares are partitioned by source once and stay on disk like that; a round moves only ranks and their sums by target.
-    What unlinked nodes hold is summed over the written ranks of a round, and the next round takes it as a constant.
+    Each source's shares are one row, partitioned by source once and kept on disk like that; a round looks its ranks up by hash, so it sorts no
+    edges, and moves only ranks and their sums by target.  What unlinked nodes hold is summed over the written ranks of a round, and the next
+    round takes it as a constant.
     """
     from corpusmill.plans.storage import checkpoint
 
     parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = edges.groupBy("src").agg(F.sum("w").alias("total"))
-    weighed = checkpoint(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
+    own = edges.groupBy("src").agg(F.sum("w").alias("total"), F.collect_list(F.struct("dst", "w")).alias("links"))
+    weighed = checkpoint(own.select("src", F.transform("links", lambda x: F.struct(x["dst"].alias("dst"), (x["w"] / F.col("total")).alias("share"))).alias("links")))
     shares = weighed.repartition(parts, "src").persist(StorageLevel.DISK_ONLY)
-    linked = weighed.select(F.col("src").alias("path"), F.lit(True).alias("linked")).distinct()
+    linked = weighed.select(F.col("src").alias("path"), F.lit(True).alias("linked"))
     ranks = checkpoint(nodes.select("path").distinct().join(linked, "path", "left").select("path", F.coalesce("linked", F.lit(False)).alias("linked")))
     n = max(ranks.count(), 1)
     loose = ranks.where("NOT linked").count() / n
     ranks = ranks.withColumn("rank", F.lit(1.0 / n))
     for _ in range(rounds):
-        got = shares.join(ranks.select(F.col("path").alias("src"), "rank").repartition(parts, "src"), "src").groupBy(F.col("dst").alias("path")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        now = ranks.select(F.col("path").alias("src"), "rank").repartition(parts, "src").hint("shuffle_hash")
+        given = shares.join(now, "src").select("rank", F.explode("links").alias("link"))
+        got = given.groupBy(F.col("link.dst").alias("path")).agg(F.sum(F.col("link.share") * F.col("rank")).alias("got"))
         rank = F.lit((1 - DAMPING) / n + DAMPING * loose / n) + DAMPING * F.coalesce("got", F.lit(0.0))
         ranks = checkpoint(ranks.select("path", "linked").join(got, "path", "left").select("path", "linked", rank.alias("rank")))
         loose = ranks.where("NOT linked").agg(F.sum("rank")).first()[0] or 0.0

@@ -11,6 +11,7 @@ from oracle import expected, rows
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.operators import corpus as O
 from corpusmill.operators import redact as R
 from corpusmill.plans.catalog import QUERIES, SQL
 
@@ -84,3 +85,42 @@ def test_redaction_searches_each_text_once_and_not_in_the_jvm(spark, tmp_path):
     got = QUERIES["redact_documents"](spark, d).where("doc_id % 6 = 0").orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == [(i, t, sum(n for _, n in e)) for i, t, e in want]
     assert QUERIES["redaction_events"](spark, d).where("doc_id % 6 = 0").count() == sum(len(e) for *_, e in want)
+
+
+def test_words_are_split_over_bytes():
+    rng = random.Random(3)
+    for _ in range(500):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choices("abZz@[`{9_\n .éK", k=rng.choice([0, 1, 3, 9, 40]))) for _ in range(rng.randint(0, 8))]
+        a = pa.array(texts, pa.string())
+        assert T.split_words(a).to_pylist() == [re.findall("[A-Za-z]{3,}", t or "") for t in texts]
+        assert T.split_words(a, heads=True).to_pylist() == [re.findall(r"(?:^|\n)([A-Za-z]{3,})", t or "") for t in texts]
+        assert T.split_words(a[1:-1], heads=True).to_pylist() == [re.findall(r"(?:^|\n)([A-Za-z]{3,})", t or "") for t in texts[1:-1]]
+
+
+def test_graph_on_both_sides_of_the_limit(spark, tmp_path, monkeypatch):
+    d = documents(tmp_path, [None, "", "Alpha beta\ngamma", "beta Alpha Alpha", "delta\nAlpha gamma gamma gamma gamma gamma gamma", "nothing ab"])
+    small = pq.read_table(f"{d}/documents.parquet").take(list(range(0, 36, 6)))
+    pq.write_table(small, f"{d}/documents.parquet")
+    for most in (O.NAMES, 0):
+        monkeypatch.setattr(O, "NAMES", most)
+        got = QUERIES["ref_edges"](spark, d)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        # references are left out before they are counted, and no regex splits texts
+        assert "regexp" not in plan and "LeftSemi" in plan
+        assert got.count() > 0 and rows(got) == sql("ref_edges", d)
+        assert rows(QUERIES["pagerank"](spark, d)) == sql("pagerank", d)
+
+
+def test_pagerank_sorts_no_edges(spark, monkeypatch):
+    from corpusmill.plans import storage
+
+    plans, plain = [], storage.checkpoint
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(storage, "checkpoint", seen)
+    edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (1, 3, 3.0)], "src int, dst int, w double")
+    O.pagerank(spark.createDataFrame([(i,) for i in range(5)], "path int"), edges, rounds=1).collect()
+    assert "ShuffledHashJoin" in plans[-1] and "links" in plans[-1]
