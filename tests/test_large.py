@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 from oracle import expected, rows
@@ -124,3 +125,16 @@ def test_pagerank_sorts_no_edges(spark, monkeypatch):
     edges = spark.createDataFrame([(1, 2, 1.0), (2, 3, 2.0), (1, 3, 3.0)], "src int, dst int, w double")
     O.pagerank(spark.createDataFrame([(i,) for i in range(5)], "path int"), edges, rounds=1).collect()
     assert "ShuffledHashJoin" in plans[-1] and "links" in plans[-1]
+
+
+def test_batches_of_texts_are_bounded(spark):
+    """What a Python worker of hunk_apply, line_diff, propagate_secrets and dense_guard holds goes by BATCH_BYTES, not by rows."""
+    from corpusmill.functions.udf import BATCH_BYTES, vectorized
+
+    @vectorized("bigint")
+    def held(t: pd.Series) -> pd.Series:
+        return pd.Series([int(t.str.len().sum())] * len(t))
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    most = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("t")).select(held("t").alias("n")).agg(F.max("n")).first()[0]
+    assert 0 < most <= 2 * BATCH_BYTES
